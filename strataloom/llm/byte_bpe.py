@@ -37,6 +37,11 @@ class Codec:
         """Ends of the pre-tokens of text[start:end], split alone."""
         return [start + m.end() for m in self.pattern.finditer(text[start:end])]
 
+    @staticmethod
+    def fit(text: str, at: int, end: int) -> bool:
+        """Whether a boundary may be a stitch. White space before it could match otherwise when nothing follows it any more."""
+        return at + LOOKAHEAD <= end and not text[at - 1].isspace()
+
     def stitches(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         """Places from 0 to len(text) that are boundaries of pre-tokens of the whole text, one for each chunk that can be stitched."""
         places, n, start = [0], len(text), 0
@@ -44,7 +49,7 @@ class Codec:
             # the chunk before reaches from its own true start to the end of the overlap, the next one begins where the overlap begins
             begin, end = start + chunk, start + chunk + overlap
             left = set(self.boundaries(text, places[-1], end))
-            sync = next((x for x in self.boundaries(text, begin, end) if x in left and x + LOOKAHEAD <= end), None)
+            sync = next((x for x in self.boundaries(text, begin, end) if x in left and self.fit(text, x, end)), None)
             if sync is not None:
                 places.append(sync)
             start = begin
@@ -103,7 +108,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             left, right = [], []
             for text in texts:
                 ends = codec.boundaries(text, 0, len(text))
-                left.append([x for x in ends if x + LOOKAHEAD <= min(overlap, len(text))])
+                left.append([x for x in ends if codec.fit(text, x, min(overlap, len(text)))])
                 right.append([x - chunk for x in ends if chunk < x])
             yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), part.column("k"), pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32()))], ["i", "h", "k", "l", "r"])
 

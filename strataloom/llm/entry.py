@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, sharding, token_counts
+from . import byte_bpe, decontaminate, language_id, quality, sharding, token_counts
 
-MODULES = (token_counts, sharding, byte_bpe)
+MODULES = (language_id, token_counts, sharding, quality, decontaminate, byte_bpe)
 
 
 def queries() -> dict:

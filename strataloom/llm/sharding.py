@@ -2,7 +2,7 @@
 
 Rows are range-partitioned by a hash of the text, so that equal texts stand side by side in a random order. Each partition sums its own
 rows; the totals of the partitions (one row each) give every partition its offset; offset plus local prefix sum is a row's place on the
-line of all bytes, which is cut at equal targets. Rows of a text share the place of the first of them, so that they share a shard, as
+line of all bytes, which is cut at equal targets; a row goes where its middle lies. Rows of a text share the place of the first of them, so that they share a shard, as
 long as they hold at most TOLERANCE of a shard's target; larger groups (at most shards / TOLERANCE of them) are dealt row by row.
 """
 
@@ -43,7 +43,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
     # rows that are kept together have own = 0 and stand in one partition; the first of them has the least start
     group = Window.partitionBy("pid", "h", "own").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("at", F.min("start").over(group))
-    placed = placed.withColumn("shard", F.expr(f"cast(at * {shards} div total as int)")).withColumn("row", F.col("rows0") + F.col("rank"))
+    placed = placed.withColumn("shard", F.expr(f"cast((2 * at + size) * {shards} div (2 * total) as int)")).withColumn("row", F.col("rows0") + F.col("rank"))
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))
     return placed.join(F.broadcast(firsts), "shard").select(F.col("i").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

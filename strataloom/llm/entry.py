@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_id, quality, sharding, token_counts
+from . import byte_bpe, decontaminate, html_text, language_id, quality, sharding, token_counts
 
-MODULES = (language_id, token_counts, sharding, quality, decontaminate, byte_bpe)
+MODULES = (language_id, html_text, token_counts, sharding, quality, decontaminate, byte_bpe)
 
 
 def queries() -> dict:

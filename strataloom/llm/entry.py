@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_text, language_id, line_dedup, quality, sharding, token_counts
+from . import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality, sharding, token_counts
 
-MODULES = (language_id, html_text, token_counts, sharding, quality, decontaminate, line_dedup, byte_bpe)
+MODULES = (language_id, html_text, token_counts, sharding, quality, decontaminate, line_dedup, near_dedup, byte_bpe)
 
 
 def queries() -> dict:

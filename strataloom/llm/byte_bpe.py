@@ -87,20 +87,39 @@ def _codec(path: str, pattern: str) -> Codec:
     return per_worker(f"{path} {pattern}", lambda: Codec(path, pattern))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, text, ids array<int>): the ids of every whole text, without special tokens.
+def _ids(codec: Codec, ids: list[list[int]]) -> list[pa.Array]:
+    return [pa.array(ids, pa.list_(pa.int32()))]
+
+
+def _digests(codec: Codec, ids: list[list[int]]) -> list[pa.Array]:
+    names = per_worker(f"names {codec.encoding.n_vocab}", lambda: list(map(str, range(codec.encoding.n_vocab))))
+    rows = []
+    for x in ids:
+        raw = codec.decode(x)
+        rows.append((len(x), hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)))
+    return [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.string(), pa.string(), pa.int64()))]
+
+
+#: What can be made of the ids in the task that has encoded a text: a function, and the columns it gives.
+IDS, DIGESTS = (_ids, "ids array<int>"), (_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, give: tuple = IDS, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id, ids array<int>): the ids of every whole text, without special tokens. With DIGESTS: (id, n_tokens, ids_sha256, decoded_sha256, n_bytes) of the ids and of the bytes they decode to.
 
     A null text counts as empty and has no ids. Rows are independent: repeated rows stay and other columns are ignored; an empty table
     gives an empty result. Texts of over `long` code points are split by chunk rows in other tasks, so that one text of any length does
     not hold up its task; only the joining of its ids needs memory in proportion to its length.
     """
+    make, columns = give
+    names = [x.split()[0] for x in columns.split(", ")]
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     size = F.length("t")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for part, texts in slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("t"), pa.array([codec.encode(x, chunk, overlap) for x in texts], pa.list_(pa.int32()))], ["i", "t", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("i"), *make(codec, [codec.encode(x, chunk, overlap) for x in texts])], ["i", *names])
 
     def pre_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
@@ -117,6 +136,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for part, texts in slices(batches, "c"):
             yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), part.column("k"), pa.array([codec.encode(x, chunk, overlap) for x in texts], pa.list_(pa.int32()))], ["i", "h", "k", "ids"])
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path, pattern)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column("i").slice(at, 1), *make(codec, batch.column("ids").slice(at, 1).to_pylist())], ["i", *names])
+
     # equal rows of long texts are taken together: (i, h) then names one
     longs = rows.where(size > long).groupBy("i", F.sha2("t", 256).alias("h")).agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
     chunks = longs.select("i", "h", "t", F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))).alias("k"))
@@ -131,8 +156,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     cuts = cuts.select("i", "h", "t", "at", F.explode(F.sequence(F.lit(0), F.size("at") - 2)).alias("k"))
     cuts = cuts.select("i", "h", "k", F.substring("t", F.get("at", "k") + 1, F.get("at", F.col("k") + 1) - F.get("at", "k")).alias("c")).repartition("i", "h", "k")
     joined = cuts.mapInArrow(pieces, "i long, h string, k int, ids array<int>").groupBy("i", "h").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    spread = longs.join(joined, ["i", "h"]).select("i", "t", "ids", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("i", "t", "ids")
-    return rows.where(size <= long).mapInArrow(short, "i long, t string, ids array<int>").unionByName(spread).toDF(id_col, text_col, "ids")
+    spread = longs.select("i", "h", "n").join(joined, ["i", "h"]).select("i", "ids", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("i", "ids")
+    if make is not _ids:
+        spread = spread.mapInArrow(finish, f"i long, {columns}")
+    return rows.where(size <= long).mapInArrow(short, f"i long, {columns}").unionByName(spread).withColumnRenamed("i", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -146,26 +173,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return encoded.select(F.col(id_col).alias("i"), F.col(ids_col).alias("ids")).mapInArrow(run, "i long, bytes binary").withColumnRenamed("i", id_col)
 
 
-def digests(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, n_bytes) of what encode() gives; the decoded bytes are hashed where they are made."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
-        names = per_worker(f"names {path}", lambda: list(map(str, range(codec.encoding.n_vocab))))
-        for batch in batches:
-            rows = []
-            for ids in batch.column("ids").to_pylist():
-                raw = codec.decode(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw)))
-            a, b, c, d = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int64())], ["i", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-
-    return encoded.select(F.col(id_col).alias("i"), "ids").mapInArrow(run, "i long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long").withColumnRenamed("i", id_col)
-
-
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary_path(), default_pattern()
-    return digests(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return encode(table(spark, sf_dir, "documents"), path, pattern, DIGESTS)
 
 
 QUERIES, SQL = {"op10_byte_bpe": op10_byte_bpe}, {}

@@ -1,5 +1,53 @@
-"""placeholder"""
+"""A corpus pipeline of five stages over documents. Each takes and gives whole tables; what a stage drops is gone for the next one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strataloom.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
+from strataloom.llm.common import cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that keep to the base rules and to the cutoffs that the labels give."""
+    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat or resemble an earlier one."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep_one(docs).select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and checksums of the ids and of what they decode to."""
+    return byte_bpe.encode(docs, byte_bpe.vocabulary_path(), byte_bpe.default_pattern(), byte_bpe.DIGESTS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("byte_bpe", byte_bpe_stage),
+]
+
+#: The cutoffs, signatures and token ids cannot be said in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from the documents of sf_dir. Each stage's rows are cut from its plan, so that none runs twice."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

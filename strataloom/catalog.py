@@ -1,5 +1,10 @@
 """The registered queries over the reference's operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans.oracle import SQL
+from .plans.queries import QUERIES
+
 FLAGSHIP = "rank_passages"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -10,7 +10,7 @@ from strataloom.llm.common import cut, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the base rules and to the cutoffs that the labels give."""
-    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,14 @@ def among(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> DataFrame:
     return rows.join(F.broadcast(cut(full)), hit, "left_semi")
 
 
+def with_contents(pairs: DataFrame, contents: DataFrame, col: str) -> DataFrame:
+    """pairs (a, b) with x and y, the col of contents (id, col) for a and b. Contents that no pair asks for are left out before they are shuffled."""
+    pairs = cut(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("g")).distinct()
+    there = among(contents.select("id", col, F.xxhash64("id").alias("g")), "g", asked, "g").drop("g")
+    return pairs.join(there.select(F.col("id").alias("a"), F.col(col).alias("x")), "a").join(there.select(F.col("id").alias("b"), F.col(col).alias("y")), "b")
+
+
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """bands (key, id) without repeated rows and without keys of a single id, with n: the ids of the key. One shuffle for counts, one to filter."""
     several = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

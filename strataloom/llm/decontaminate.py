@@ -165,7 +165,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that leak an item. A null id or text never leaks; all columns stay, whatever their names."""
     found = leaks(docs, items).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(found, (docs["doc_id"] == F.col("_i")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    return docs.join(found, (docs["doc_id"] == found["_i"]) & (F.xxhash64(docs["text"]) == found["_h"]), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import among, link_classes, shared_buckets
+from .cluster import among, link_classes, shared_buckets, with_contents
 from .common import cut, hash_words, mix, per_worker, slices, table, windows
 
 WORDS, SIMILARITY, BANDS, ROWS, FEATURES = 5, 0.8, 8, 3, 1 << 18
@@ -159,7 +159,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 yield pa.RecordBatch.from_arrays([pa.array([rows_[c][k] for k in good], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+        sides = with_contents(pairs, texts, "t")
         return sides.select("a", "b", F.col("b").alias("p"), F.col("y").alias("x"), F.col("x").alias("y")).mapInArrow(verified, "a long, b long")
 
     roots = link_classes(buckets, verify)
@@ -179,7 +179,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = classes(docs)
     first = named.groupBy("class_id").agg(F.min(F.struct("i", "h1", "h2")).alias("f")).select(F.col("f.i").alias("_i"), F.col("f.h1").alias("_h1"), F.col("f.h2").alias("_h2"))
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h1")) & (F.xxhash64(text, F.lit("second")) == F.col("_h2"))).dropDuplicates(["_i", "_h1", "_h2"]).drop("_i", "_h1", "_h2")
+    met = docs["doc_id"].eqNullSafe(first["_i"]) & (F.xxhash64(text) == first["_h1"]) & (F.xxhash64(text, F.lit("second")) == first["_h2"])
+    packed = docs.join(first, met).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), first["_i"], first["_h1"], first["_h2"])
+    return packed.dropDuplicates(["_i", "_h1", "_h2"]).select("row.*")
 
 
 QUERIES, SQL = {"op4_near_dedup": op4_near_dedup}, {}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import link_classes, shared_buckets
+from .cluster import link_classes, shared_buckets, with_contents
 from .common import cut, hash_words, mix, slices, table, windows
 
 WORDS, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 24, 26, 0.8, 3, 2
@@ -142,7 +142,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+        sides = with_contents(pairs, texts, "t")
         return sides.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
     roots = link_classes(buckets, verify)

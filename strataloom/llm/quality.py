@@ -148,6 +148,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return verdict(measured, cutoffs(measured, labels))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with just the columns of docs, whatever their names."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
+    return quality_rules(packed, labels).where("kept").select("row.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(measures(table(spark, sf_dir, "documents")).drop("text", "source", "n_chars"))
     judged = verdict(measured, cutoffs(measured, table(spark, sf_dir, "labels")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with checkpoint(); its folder is the cluster's spark.checkpoint.dir, and a folder in /tmp only where that is unset."""
+    """Cuts the lineage with checkpoint(); its folder is the cluster's spark.checkpoint.dir, and a folder in /tmp only where that is unset.
+
+    Shuffle files and checkpoints of earlier steps go when the driver collects its garbage, which a small driver heap may put off for
+    long; so it is collected here.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/strataloom-checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint(eager)
+    out = df.checkpoint(eager)
+    if eager:
+        gc.collect()
+        sc._jvm.System.gc()
+    return out
 
 
 def let(expr: Column, use: Callable[[Column], Column]) -> Column:

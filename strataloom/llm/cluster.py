@@ -103,9 +103,10 @@ def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         total = whole.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not total["pairs"]:
             break
-        if step == ROUNDS or total["pairs"] <= 2 * PIVOTS * total["rows"]:
-            other = left.select("key", F.col("id").alias("y"), F.col("root").alias("root_y"))
-            pairs = left.join(other, "key").where("root < root_y").select(F.col("id").alias("x"), "y")
+        if step == ROUNDS or total["pairs"] <= PIVOTS * total["rows"]:
+            # one side of each pair is outside the largest component, so those inside never meet each other
+            outside = left.join(whole.select("key", "big"), "key").where("root <> big").select("key", F.col("id").alias("y"), F.col("root").alias("root_y"))
+            pairs = left.join(outside, "key").where("root <> root_y").select(F.col("id").alias("x"), "y")
             last = True
         else:
             big = left.join(whole.select("key", F.col("big").alias("root")), ["key", "root"])

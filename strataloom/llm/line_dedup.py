@@ -2,8 +2,9 @@
 
 Equal lines (128 bits of hash of the line without outer white space) are one item. An item's shingles are SHINGLE code points long, in
 lower case, and start at each word and at each further STEP code points of a long word (at each code point of scripts without
-spaces). One hash of each shingle is sorted; the top bits of the hash deal it to one of BINS bins, the least hash of a bin is its MinHash
-(one permutation, an empty bin takes the next full one's). ROWS bins form a band, and items that share a band are verified by the exact
+spaces). For lines of few shingles each MinHash has a hash function of its
+own; for others one hash of each shingle is sorted, its top bits deal it to one of BINS bins, and the least hash of a bin is its MinHash
+(one permutation, an empty bin takes the next full one's). Lines near the limit get both. ROWS bins form a band, and items that share a band are verified by the exact
 Jaccard similarity of their shingles. Components of the links keep their first line; later lines go.
 """
 
@@ -12,14 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import among, link_classes, shared_buckets
+from .cluster import among, link_classes, shared_buckets, with_contents
 from .common import cut, let, table
 
-SHINGLE, STEP, SIMILARITY, BANDS, ROWS = 9, 5, 0.8, 6, 3
-#: Bins of the one permutation; more than BANDS * ROWS, so that the MinHashes start at bins of their own.
-BINS = 32
-_DENSE = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer"))
-_ANCHOR = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[{_DENSE}]|[^\s{_DENSE}]{{1,{STEP}}})\s*"
+SHINGLE, STEP, SIMILARITY, BANDS, ROWS = 9, 8, 0.8, 5, 3
+#: Bins of the one permutation, a power of two of at least BANDS * ROWS.
+BINS = 16
+# Thai to Lao, Khmer, kana, Han: scripts without spaces
+_DENSE = r"\u0E00-\u0EFF\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
+_ANCHOR = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[!-\u024F]{{1,{STEP}}}+|[{_DENSE}]|[^\s{_DENSE}]{{1,{STEP}}}+)\s*+"
+#: Lines of more distinct shingles are dense.
+SPARSE = 40
 _SPACE = " \t\r\x0b\x0c"
 
 
@@ -27,15 +31,27 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(_ANCHOR), F.lit(1))
 
 
+def _bands(mins: Column, kind: int) -> Column:
+    return let(mins, lambda m: F.array(*[F.xxhash64(F.lit(kind + b), *[F.get(m, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]))
+
+
 def band_keys(line: Column) -> Column:
-    """BANDS keys of a line with a character that is not white space."""
-    slot = lambda h: F.shiftright(h, 65 - BINS.bit_length()) + BINS // 2
-    hashes = F.transform(shingles(line), lambda x: F.xxhash64(x))
+    """2 * BANDS keys of a line with a character that is not white space: BANDS for lines of at most SPARSE shingles, BANDS for lines of at least SIMILARITY * SPARSE; null where they do not apply."""
+    shift = 65 - BINS.bit_length()
+    none = F.array_repeat(F.lit(None).cast("long"), BANDS)
     # sorted as signed numbers: bins are contiguous, and the first of each is its least
-    firsts = let(F.sort_array(hashes), lambda all_: F.filter(all_, lambda h, i: (i == 0) | (slot(h) != slot(F.get(all_, i - 1)))))
-    starts = F.array(*[F.lit(j * BINS // (BANDS * ROWS)) for j in range(BANDS * ROWS)])
-    rotated = let(firsts, lambda m: F.transform(starts, lambda j: F.coalesce(F.get(F.filter(m, lambda h: slot(h) >= j), F.lit(0)), F.get(m, F.lit(0)))))
-    return let(rotated, lambda m: F.array(*[F.xxhash64(F.lit(b), *[F.get(m, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]))
+    new = lambda all_, h, i: F.coalesce(F.shiftrightunsigned(h.bitwiseXOR(F.get(all_, i - 1)), shift) != 0, F.lit(True))
+    firsts = lambda all_: F.filter(all_, lambda h, i: new(all_, h, i))
+    slot = lambda h: F.shiftright(h, shift).cast("int")
+    # each stands for its own bin and for the empty ones before it; the first also for those after the last
+    span = lambda m: F.transform(m, lambda h, i: F.array_repeat(h, slot(h) - F.coalesce(slot(F.get(m, i - 1)), F.lit(-1 - BINS // 2))))
+    rest = lambda m: F.array(F.array_repeat(F.get(m, F.lit(0)), F.lit(BINS // 2 - 1) - slot(F.element_at(m, -1))))
+    dense = lambda all_: _bands(let(let(F.sort_array(all_), firsts), lambda m: F.when(F.size(m) == BINS, m).otherwise(F.flatten(F.concat(span(m), rest(m))))), 100)
+    # few shingles would leave bins empty and bands alike by chance; they get a hash function for each MinHash
+    least = lambda all_, j: F.array_min(F.transform(all_, lambda h: F.xxhash64(h, F.lit(j))))
+    sparse = lambda all_: _bands(F.array(*[least(all_, j) for j in range(BANDS * ROWS)]), 0)
+    hashes = F.transform(shingles(line), lambda x: F.xxhash64(x))
+    return let(hashes, lambda h: F.concat(F.when(F.size(F.array_distinct(h)) <= SPARSE, sparse(h)).otherwise(none), F.when(F.size(F.array_distinct(h)) >= SIMILARITY * SPARSE, dense(h)).otherwise(none)))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,11 +68,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     lines = lines_of(docs, id_col, text_col)
     keyed = lines.select("h1", "h2", band_keys(F.col("line")).alias("keys"))
-    keyed = keyed.select("h1", "h2", *[F.get("keys", F.lit(b)).alias(f"k{b}") for b in range(BANDS)])
+    keyed = keyed.select("h1", "h2", *[F.get("keys", F.lit(b)).alias(f"k{b}") for b in range(2 * BANDS)])
     # equal lines have equal keys; sums and least values fit the fast aggregate
-    items = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(BANDS)])
+    items = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(2 * BANDS)])
     items = cut(items.withColumn("id", F.monotonically_increasing_id()))
-    bands = items.select("id", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
+    bands = items.select("id", F.explode(F.array_compact(F.array(*[f"k{b}" for b in range(2 * BANDS)]))).alias("key"))
     buckets = cut(shared_buckets(bands))
     wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", "id")
     # any of the equal lines gives the text
@@ -64,7 +80,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = cut(found.groupBy("id").agg(F.min("line").alias("line")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.select(F.col("id").alias("a"), F.array_distinct(shingles(F.col("line"))).alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.array_distinct(shingles(F.col("line"))).alias("y")), "b")
+        sides = with_contents(pairs, texts, "line").select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
+        # sets whose sizes differ too much cannot be alike
+        sides = sides.where((F.size("x") >= SIMILARITY * F.size("y")) & (F.size("y") >= SIMILARITY * F.size("x")))
         both = sides.withColumn("both", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("both") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("both"))).where("both > 0").select("a", "b")
 
@@ -85,11 +103,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = classes(docs).where("i <> keep_i or th <> keep_th or pos <> keep_pos").distinct().groupBy("i", "th").agg(F.collect_set("pos").alias("_gone"))
     gone = gone.select(F.col("i").alias("_i"), F.col("th").alias("_th"), "_gone")
-    joined = docs.join(gone, (docs["doc_id"] == F.col("_i")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
-    kept = let(F.split(docs["text"], "\n", -1), lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_gone")), lambda p: F.get(all_, p)), "\n"))
+    joined = docs.join(gone, (docs["doc_id"] == gone["_i"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left")
+    kept = let(F.split(docs["text"], "\n", -1), lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), gone["_gone"]), lambda p: F.get(all_, p)), "\n"))
     kept = let(kept, lambda x: F.when(F.btrim(x, F.lit(_SPACE + "\n")) == "", F.lit("")).otherwise(x))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept)
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_gone").isNull(), docs["n_chars"]).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(kept)
+    columns = {"text": text} | ({"n_chars": F.when(gone["_gone"].isNull(), docs["n_chars"]).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return joined.select(*[columns.get(c, docs[c]).alias(c) for c in docs.columns])
 
 

@@ -65,7 +65,7 @@ def char_ngrams(text: Column, n: int = DEFAULT.ngram_n) -> Column:
     """Distinct n-grams of folded text with single spaces; a shorter text is its own n-gram, an empty one has none."""
 
     def grams(t: Column) -> Column:
-        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))))
 
     return let(squeeze(fold(text)), grams)
 

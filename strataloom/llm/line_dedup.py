@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines (128 bits of hash of the line without outer white space) are one item. An item's shingles are SHINGLE code points long, in
-lower case, and start at each word and at each further STEP code points of a long word (at each code point of scripts without
-spaces). For lines of few shingles each MinHash has a hash function of its
-own; for others one hash of each shingle is sorted, its top bits deal it to one of BINS bins, and the least hash of a bin is its MinHash
-(one permutation, an empty bin takes the next full one's). Lines near the limit get both. ROWS bins form a band, and items that share a band are verified by the exact
-Jaccard similarity of their shingles. Components of the links keep their first line; later lines go.
+Equal lines (128 bits of hash of the line without outer white space) are one item. An item's shingles are all its runs of SHINGLE code
+points, in lower case (a shorter line is one shingle). For lines of few shingles each MinHash has a hash function of its own; for others
+one hash of each shingle is sorted, its top bits deal it to one of BINS bins, and the least hash of a bin is its MinHash (one
+permutation, an empty bin takes the next full one's). Lines near the limit get both. ROWS MinHashes form a band; BANDS bands find a pair
+of similarity 0.8 with a probability of 0.99 or more. Items that share a band are verified by the exact Jaccard similarity of their
+shingles. Components of the links keep their first line; later lines go.
 """
 
 from __future__ import annotations
@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 from .cluster import among, link_classes, shared_buckets, with_contents
 from .common import cut, let, table
 
-SHINGLE, STEP, SIMILARITY, BANDS, ROWS = 9, 8, 0.8, 5, 3
+SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 8, 3
 #: Bins of the one permutation, a power of two of at least BANDS * ROWS.
-BINS = 16
-# Thai to Lao, Khmer, kana, Han: scripts without spaces
-_DENSE = r"\u0E00-\u0EFF\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
-_ANCHOR = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[!-\u024F]{{1,{STEP}}}+|[{_DENSE}]|[^\s{_DENSE}]{{1,{STEP}}}+)\s*+"
+BINS = 32
+# one match at each code point that a whole shingle follows, or one for a shorter line
+_EACH = rf"(?s)(?=(.{{{SHINGLE}}}|\A.{{1,{SHINGLE - 1}}}\z))."
 #: Lines of more distinct shingles are dense.
 SPARSE = 40
 _SPACE = " \t\r\x0b\x0c"
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(_ANCHOR), F.lit(1))
+    return F.regexp_extract_all(F.lower(line), F.lit(_EACH), F.lit(1))
 
 
 def _bands(mins: Column, kind: int) -> Column:

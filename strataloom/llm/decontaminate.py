@@ -2,8 +2,10 @@
 
 Numbers, names and units become typed placeholders; what remains are lower-case words without punctuation. Windows of WINDOW canonical
 tokens of the benchmark are hash-joined with those of the documents. The values behind the placeholders are slots: a document leaks an
-item if it holds at least COVERAGE of the item's windows and each value of a slot of the item always meets the same value in the
-document. So a question whose numbers or names were replaced is found, and a text that only shares the frame by chance, with slots that
+item if some occurrence in it holds at least COVERAGE of the item's windows and each value of a slot of the item always meets the same
+value there. Hits whose place in the document less that in the item is the same are an occurrence, so are those where it differs by less
+than one of WIDTHS (words put in or left out), and so is the whole document; further copies with other values do not hide one that is
+consistent. So a question whose numbers or names were replaced is found, and a text that only shares the frame by chance, with slots that
 contradict each other, is not.
 
 Before the join, windows of documents are tested against a bitmap of BITS bits that holds the benchmark's windows; its size does not
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, hash_words, per_worker, slices, table, windows
 
 WINDOW, COVERAGE, BITS, CACHED = 8, 0.3, 1 << 24, 400_000
+WIDTHS = (16, 128)
 NUMBER, NAME, UNIT, NONE = (np.uint64(x) for x in (1, 2, 3, 0))
 UNITS = frozenset(
     "% ° mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons lb lbs oz ml l liter liters litre litres gallon gallons "
@@ -113,7 +116,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "ite
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, item_id, coverage, n_slots, n_changed): the items that each document leaks; documents without a leak have no row.
+    """(id, text_hash, item_id, coverage, n_slots, n_changed): the items that each document leaks, by its best occurrence; documents without a leak have no row.
 
     text_hash is xxhash64 of the text: with the id it names rows with equal text, which share their rows here. Null and empty texts leak
     nothing; an empty table on either side gives an empty result. Other columns are ignored.
@@ -147,19 +150,25 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
                         continue
                     found = windows(token, size)
                     for at in np.flatnonzero(there(found, 0) & there(found, 32)).tolist():
-                        rows.append((int(found[at : at + 1].view(np.int64)[0]), i, th, _slots(token, place, words, at, size)))
-            a, b, c, d = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, c)), pa.array(d, pa.list_(pa.string()))], ["h", "i", "th", "values"])
+                        rows.append((int(found[at : at + 1].view(np.int64)[0]), i, th, at, _slots(token, place, words, at, size)))
+            a, b, c, d, e = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, c, d)), pa.array(e, pa.list_(pa.string()))], ["h", "i", "th", "place", "values"])
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    found = source.mapInArrow(probe, "h long, i long, th long, values array<string>")
+    found = source.mapInArrow(probe, "h long, i long, th long, place long, values array<string>")
     pairs = found.join(bench, "h").where(F.size("values") == F.size("slots"))
-    pairs = pairs.groupBy("i", "th", "item_id", "at", "n").agg(F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "values")))).alias("met"))
-    whole = pairs.groupBy("i", "th", "item_id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    # each hit counts for all the occurrences that it may belong to; of two shifted rows of stretches one holds any two near hits
+    shift = F.col("place") - F.col("at")
+    near = [F.floor((shift + half) / width) for width in WIDTHS for half in (0, width // 2)]
+    pairs = pairs.withColumn("part", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("key")) for kind, x in enumerate([F.lit(0), shift, *near])])))
+    pairs = pairs.groupBy("i", "th", "item_id", "part", "at", "n").agg(F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "values")))).alias("met"))
+    whole = pairs.groupBy("i", "th", "item_id", "part").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
     whole = whole.withColumn("n_slots", F.size(F.array_distinct(F.transform("met", lambda x: x["slots"]))))
     whole = whole.withColumn("n_changed", F.size(F.filter("met", lambda x: x["slots"] != x["values"])))
     kept = whole.where((F.col("hits") >= coverage * F.col("n")) & (F.size("met") == F.col("n_slots")))
-    return kept.select(F.col("i").alias(id_col), F.col("th").alias("text_hash"), "item_id", (F.col("hits") / F.col("n")).alias("coverage"), "n_slots", "n_changed")
+    # the occurrence with the most windows, then with the fewest changed values
+    best = kept.groupBy("i", "th", "item_id").agg(F.max(F.struct((F.col("hits") / F.col("n")).alias("coverage"), (-F.col("n_changed")).alias("same"), "n_slots")).alias("x"))
+    return best.select(F.col("i").alias(id_col), F.col("th").alias("text_hash"), "item_id", "x.coverage", "x.n_slots", (-F.col("x.same")).alias("n_changed"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

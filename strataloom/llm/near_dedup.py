@@ -105,7 +105,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """(i, h1, h2, class_id, class_size): the class of each row of docs; class_id is the least id of the class, class_size its rows.
+    """(i, h1, h2, root, class_id, class_size): the class of each row of docs; root names it, class_id is the least id of the class, class_size its rows.
 
     A null text counts as empty. Empty texts are equal to each other, so they form one class.
     """
@@ -165,7 +165,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     roots = link_classes(buckets, verify)
     member = items.select("h1", "h2", "id", "n", "i").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     whole = member.groupBy("root").agg(F.min("i").alias("class_id"), F.sum("n").alias("class_size"))
-    named = member.join(whole, "root").select("h1", "h2", "class_id", "class_size")
+    named = member.join(whole, "root").select("h1", "h2", "root", "class_id", "class_size")
     return known.select("i", "h1", "h2").join(named, ["h1", "h2"])
 
 
@@ -177,7 +177,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class: the one with the least id (and hash of the text), all columns as they are; of rows with equal id and text one stays."""
     named = classes(docs)
-    first = named.groupBy("class_id").agg(F.min(F.struct("i", "h1", "h2")).alias("f")).select(F.col("f.i").alias("_i"), F.col("f.h1").alias("_h1"), F.col("f.h2").alias("_h2"))
+    # classes of null or repeated ids may share class_id, but not root
+    first = named.groupBy("root").agg(F.min(F.struct("i", "h1", "h2")).alias("f")).select(F.col("f.i").alias("_i"), F.col("f.h1").alias("_h1"), F.col("f.h2").alias("_h2"))
     text = F.coalesce(docs["text"], F.lit(""))
     met = docs["doc_id"].eqNullSafe(first["_i"]) & (F.xxhash64(text) == first["_h1"]) & (F.xxhash64(text, F.lit("second")) == first["_h2"])
     packed = docs.join(first, met).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), first["_i"], first["_h1"], first["_h2"])

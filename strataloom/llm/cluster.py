@@ -1,47 +1,70 @@
 """Links between items that share a band, and their connected components.
 
-Nothing here collects a bucket, a component or a link to the driver or to one task, and no step makes all pairs of a bucket while that
-can be avoided without losing a link. Members of a bucket are first verified against its most popular member (the one that shares most
-buckets with most others, so the middle of a group of near copies). What this links is one component, and pairs inside a component
-need no check any more. Members that stay outside are then verified against further popular members of the bucket's largest
-component. At last all pairs that share a bucket and still lie in different components are verified, so that the components are those
-of all candidate pairs.
+Nothing here collects a bucket, a component or a link to the driver or to one task, and no step makes all pairs of a large bucket.
+
+1. Members of a bucket are verified against its most popular member (the one that shares most buckets with most others, so the middle of
+   a group of near copies). What this links is one component, and pairs inside a component need no check any more.
+2. Buckets that still hold several components but few pairs across them (at most FEW for each member) have all these pairs verified.
+3. The others are refined. Each gets a center, and all members are compared with it once. A member is then known by its differences: the
+   shingles of the center that it lacks and those that it adds. Two facts about the similarity t = s(x, y) of sets (or of weighted sets)
+   with weights C of the center, d lacked and a added, w = d + t * a, let pairs be found by their differences alone:
+   - members linked to the center are one component;
+   - if s(y, center) < t <= s(x, y), then x and y share differences of weight more than w(x) / (1 + t), and of at least w(x) - (1 - t) * C
+     and w(y) - (1 - t) * C, for any x.
+   So with the differences of a member in order of their frequency, all but an end of that weight (the prefix filter) must hold one that
+   the two share. These differences are the new, much smaller buckets, and no link is lost. They go to step 2, and again to step 3.
+
+After ROUNDS refinements the pairs that are left are verified, whatever their number, so the components are always those of all
+candidate pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, let
 
-#: Further rounds, and the pivots that each takes from the largest component of a bucket.
-ROUNDS, PIVOTS = 3, 8
+#: Refinements, and the pairs for each member up to which a bucket is compared as it is.
+ROUNDS, FEW = 4, 4
 MAX_STEPS = 60
+#: Rows that a partition of a table of links should hold at least.
+DENSE = 50_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in links (a, b): root is the least id of its component.
 
     Alternating large-star and small-star steps, each a group-by with partial aggregation and a join, cut by a checkpoint. Self-links
-    and repeated links are allowed; no links give no rows.
+    and repeated links are allowed; no links give no rows. Partitions are joined as the edges shrink, so that small graphs take few tasks.
     """
+
+    def dense(df: DataFrame, rows: int) -> DataFrame:
+        return df.coalesce(rows // DENSE + 1)
+
+    def count(df: DataFrame) -> tuple:
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark = count(edges)
     for _ in range(MAX_STEPS):
+        if not mark[0]:
+            break
+        edges = dense(edges, mark[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
         # one row: the edges are stars once a step changes nothing
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = count(edges)
         if now == mark:
+            edges = dense(edges, now[0])
             break
         mark = now
     else:
@@ -57,7 +80,8 @@ BITS = 1 << 24
 def among(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> DataFrame:
     """The rows whose hash in col may be among those of wanted[by] (all that are, and few others); a join has still to follow.
 
-    The bits of wanted are set in a map of BITS bits, one row of BITS / 64 numbers, which every task gets.
+    The bits of wanted are set in a map of BITS bits, one row of BITS / 64 numbers, which every task gets. Where wanted has so many rows
+    that most bits are set, most rows pass; the join is right all the same.
     """
     at = lambda c: F.col(c).bitwiseAND(F.lit(BITS - 1))
     words = wanted.select(at(by).alias("b")).select(F.expr("b div 64").cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
@@ -68,11 +92,26 @@ def among(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> DataFrame:
 
 
 def with_contents(pairs: DataFrame, contents: DataFrame, col: str) -> DataFrame:
-    """pairs (a, b) with x and y, the col of contents (id, col) for a and b. Contents that no pair asks for are left out before they are shuffled."""
-    pairs = cut(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("g")).distinct()
-    there = among(contents.select("id", col, F.xxhash64("id").alias("g")), "g", asked, "g").drop("g")
-    return pairs.join(there.select(F.col("id").alias("a"), F.col(col).alias("x")), "a").join(there.select(F.col("id").alias("b"), F.col(col).alias("y")), "b")
+    """pairs (a, b) with x and y, the col of contents (id, col) for a and b."""
+    sides = pairs.join(contents.select(F.col("id").alias("a"), F.col(col).alias("x")), "a")
+    return sides.join(contents.select(F.col("id").alias("b"), F.col(col).alias("y")), "b")
+
+
+def contrast_sets(sides: DataFrame, x: Column, y: Column, threshold: float) -> DataFrame:
+    """A contrast (see link_classes) of pairs (a, b) with sets x and y, arrays without repeated elements of type long."""
+    # a generator evaluates the sets once
+    parts = sides.select("a", "b", F.inline(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda s: F.struct(F.array_except(s["x"], s["y"]).alias("less"), F.array_except(s["y"], s["x"]).alias("more"), F.size(s["x"]).alias("n")))))
+    d, a, n = F.size("less"), F.size("more"), F.col("n")
+    return parts.select(
+        "a", "b", ((n - d >= threshold * (n + a)) & (n > d)).alias("linked"), (d + threshold * a).cast("double").alias("w"), n.cast("double").alias("whole"),
+        F.concat("less", "more").alias("tokens"), F.array_repeat(F.lit(1.0), d + a).alias("weights"),
+    )
+
+
+def alike_sets(x: Column, y: Column, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two such sets is threshold or more; each is evaluated once."""
+    enough = lambda s, n: (n > 0) & (n >= threshold * (F.size(s["x"]) + F.size(s["y"]) - n))
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda s: let(F.size(F.array_intersect(s["x"], s["y"])), lambda n: enough(s, n)))
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -81,50 +120,98 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return bands.join(several, "key")
 
 
-def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], contrast: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(id, root) of the ids with a link, by the components of all verified candidate pairs.
 
-    buckets: (key, id, n) as shared_buckets gives them. verify takes distinct pairs (a, b), a < b, and returns those that are links; it
-    may be called several times.
+    buckets: (key, id, n) as shared_buckets gives them. verify takes distinct pairs (a, b), a < b, and returns those that are links: the
+    ones of similarity threshold or more. contrast takes distinct pairs (a, b) in any order and returns a row for each: (a, b, linked;
+    tokens, weights: the differences of b from a with their weights; w, whole: w and C of the text above). A token stands for a shingle
+    and the sign of the difference. Both may be called several times.
     """
     rows = buckets.select("key", "id", "n")
-    popular = rows.groupBy("id").agg(F.sum("n").alias("pop"))
+    popular = cut(rows.groupBy("id").agg(F.sum("n").alias("pop")))
     rows = cut(rows.join(popular, "id").select("key", "id", "pop"))
     pivots = rows.groupBy("key").agg(F.max(F.struct("pop", "id"))["id"].alias("p"))
-    links = cut(verify(_pairs(rows.join(pivots, "key").select(F.col("id").alias("x"), F.col("p").alias("y")))))
-    roots = components(links)
+    # members of one side need not meet: here each is a side of its own
+    rows = rows.join(pivots, "key").withColumn("side", F.col("id"))
+    roots = components(cut(verify(_pairs(rows.select(F.col("id").alias("x"), F.col("p").alias("y"))))))
+    roots = cut(roots)
     for step in range(ROUNDS + 1):
-        # members of buckets that hold several components
         labelled = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        left = cut(labelled.join(open_keys, "key"))
-        sizes = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-        whole = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "root"))["root"].alias("big"))
-        total = whole.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
-        if not total["pairs"]:
+        sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+        whole = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("roots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        whole = whole.where("roots > 1 and lo <> hi")
+        few = ((F.col("all") * F.col("all") - F.col("squares")) / 2 <= FEW * F.col("all")) | F.lit(step == ROUNDS)
+        left = cut(labelled.join(whole.select("key", few.alias("few")), "key"))
+        # two numbers
+        there = {r["few"] for r in left.select("few").distinct().collect()}
+        if not there:
             break
-        if step == ROUNDS or total["pairs"] <= PIVOTS * total["rows"]:
-            # one side of each pair is outside the largest component, so those inside never meet each other
-            outside = left.join(whole.select("key", "big"), "key").where("root <> big").select("key", F.col("id").alias("y"), F.col("root").alias("root_y"))
-            pairs = left.join(outside, "key").where("root <> root_y").select(F.col("id").alias("x"), "y")
-            last = True
-        else:
-            big = left.join(whole.select("key", F.col("big").alias("root")), ["key", "root"])
-            order = Window.partitionBy("key").orderBy(F.desc("pop"), "id")
-            chosen = big.withColumn("r", F.row_number().over(order)).where(f"r <= {PIVOTS * (step + 1)}").where(f"r > {PIVOTS * step}").select("key", F.col("id").alias("y"), F.col("root").alias("root_y"))
-            pairs = left.join(chosen, "key").where("root <> root_y").select(F.col("id").alias("x"), "y")
-            last = False
-        more = cut(verify(_pairs(pairs)))
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        links = links.unionByName(more)
-        roots = components(links)
-        if last:
+        links = []
+        if True in there:
+            # a bucket's first pivot has met all its members
+            one = left.where("few and (p is null or id <> p)")
+            half = lambda x: one.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("side").alias(f"side_{x}"))
+            pairs = half("x").join(half("y"), "key").where("x < y and root_x <> root_y and side_x <> side_y")
+            links.append(cut(verify(_pairs(pairs))))
+        if False in there:
+            many = left.where("not few")
+            compared = cut(contrast(_centers(many, popular).select(F.col("c").alias("a"), F.col("id").alias("b"))))
+            links.append(compared.where("linked").select("a", "b"))
+        roots = cut(_joined(roots, links))
+        if False not in there:
             break
+        rows = cut(_refined(compared, roots, threshold))
     return roots
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+
+
+def _joined(roots: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """roots after further links, by the components of the roots that they join."""
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+    edges = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    new = cut(components(edges)).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    moved = roots.join(new, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    # ids that had no link so far
+    fresh = new.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("to").alias("root"))
+    return moved.unionByName(fresh)
+
+
+def _centers(rows: DataFrame, popular: DataFrame) -> DataFrame:
+    """(c, id): each member of a bucket with its center, the most popular item that the bucket's most popular member meets in any bucket. So buckets of one group of copies share a center."""
+    pivots = rows.select("key", "id").join(popular, "id").groupBy("key").agg(F.max(F.struct("pop", "id")).alias("best"))
+    met = rows.select("key", "id").join(pivots, "key").groupBy("id").agg(F.max("best")["id"].alias("c"))
+    centers = pivots.select("key", F.col("best.id").alias("id")).join(met, "id").select("key", "c")
+    # a center that is no member is compared as well, as it may join the members
+    return rows.select("key", "id").join(centers, "key").select("c", "id").distinct().where("c <> id")
+
+
+def _refined(compared: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, p, side): buckets of the members that share a difference that the prefix filter keeps, of several components and sides."""
+    name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+    rows = compared.join(name("a"), "a", "left").join(name("b"), "b", "left").withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+    several = rows.groupBy("a").agg(F.min("root_b").alias("lo"), F.max("root_b").alias("hi")).where("lo <> hi").select("a")
+    rows = rows.join(several, "a")
+    tiny = 1e-6 * F.greatest(F.col("whole"), F.lit(1.0))
+    to_outer, to_any = F.col("w") / (1 + threshold) + tiny, F.col("w") - (1 - threshold) * F.col("whole") - tiny
+    # kind 0: pairs of members that are both not linked to the center; kind 1: a linked one and one of another component
+    kinds = F.array_compact(F.array(
+        F.when(~F.col("linked"), F.struct(F.lit(0).alias("kind"), F.greatest(to_outer, to_any).alias("keep"))),
+        F.when(F.col("linked"), F.struct(F.lit(1).alias("kind"), F.greatest(to_outer, to_any).alias("keep"))),
+        F.when(~F.col("linked") & (F.col("root_a") != F.col("root_b")), F.struct(F.lit(1).alias("kind"), to_any.alias("keep"))),
+    ))
+    rows = rows.select("a", "b", "root_b", "linked", F.explode(kinds).alias("x"), F.arrays_zip("tokens", "weights").alias("z"))
+    rows = rows.select("a", "b", F.col("root_b").alias("root"), "linked", "x.kind", "x.keep", F.explode("z").alias("z"))
+    rows = rows.select(F.xxhash64("a", "kind", "z.tokens").alias("key"), "a", F.col("b").alias("id"), "kind", "keep", F.col("z.weights").alias("weight"), F.when(F.col("kind") == 0, F.col("root")).otherwise(F.col("linked").cast("long")).alias("label"))
+    useful = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "df")
+    # the weight of a difference and of all commoner ones
+    end = Window.partitionBy("a", "id", "kind").orderBy(F.desc("df"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = rows.join(useful, "key").withColumn("end", F.sum("weight").over(end)).where("end > keep")
+    side = F.when(F.col("kind") == 0, F.col("id")).otherwise(F.col("label")).alias("side")
+    return kept.select("key", "id", F.lit(None).cast("long").alias("p"), side)

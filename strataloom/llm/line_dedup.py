@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import among, link_classes, shared_buckets, with_contents
+from .cluster import alike_sets, among, contrast_sets, link_classes, shared_buckets, with_contents
 from .common import cut, let, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 8, 3
@@ -30,6 +30,11 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(_EACH), F.lit(1))
 
 
+def shingle_set(line: Column) -> Column:
+    """Hashes of 64 bits of the distinct shingles."""
+    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
+
+
 def _bands(mins: Column, kind: int) -> Column:
     return let(mins, lambda m: F.array(*[F.xxhash64(F.lit(kind + b), *[F.get(m, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]))
 
@@ -49,8 +54,7 @@ def band_keys(line: Column) -> Column:
     # few shingles would leave bins empty and bands alike by chance; they get a hash function for each MinHash
     least = lambda all_, j: F.array_min(F.transform(all_, lambda h: F.xxhash64(h, F.lit(j))))
     sparse = lambda all_: _bands(F.array(*[least(all_, j) for j in range(BANDS * ROWS)]), 0)
-    hashes = F.transform(shingles(line), lambda x: F.xxhash64(x))
-    return let(hashes, lambda h: F.concat(F.when(F.size(F.array_distinct(h)) <= SPARSE, sparse(h)).otherwise(none), F.when(F.size(F.array_distinct(h)) >= SIMILARITY * SPARSE, dense(h)).otherwise(none)))
+    return let(shingle_set(line), lambda h: F.concat(F.when(F.size(h) <= SPARSE, sparse(h)).otherwise(none), F.when(F.size(h) >= SIMILARITY * SPARSE, dense(h)).otherwise(none)))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,13 +83,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = cut(found.groupBy("id").agg(F.min("line").alias("line")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = with_contents(pairs, texts, "line").select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
-        # sets whose sizes differ too much cannot be alike
-        sides = sides.where((F.size("x") >= SIMILARITY * F.size("y")) & (F.size("y") >= SIMILARITY * F.size("x")))
-        both = sides.withColumn("both", F.size(F.array_intersect("x", "y")))
-        return both.where(F.col("both") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("both"))).where("both > 0").select("a", "b")
+        sides = with_contents(pairs, texts, "line")
+        return sides.where(alike_sets(shingle_set(F.col("x")), shingle_set(F.col("y")), SIMILARITY)).select("a", "b")
+
+    def contrast(pairs: DataFrame) -> DataFrame:
+        return contrast_sets(with_contents(pairs, texts, "line"), shingle_set(F.col("x")), shingle_set(F.col("y")), SIMILARITY)
 
-    roots = link_classes(buckets, verify)
+    roots = link_classes(buckets, verify, contrast, SIMILARITY)
     member = items.select("h1", "h2", "id", "n").join(roots, "id", "left").where("n > 1 or root is not null").select("h1", "h2", F.coalesce("root", "id").alias("class"))
     member = cut(member)
     places = among(lines.select("i", "th", "pos", "h1", "h2"), "h1", member, "h1").join(member, ["h1", "h2"]).select("class", "i", "th", "pos")

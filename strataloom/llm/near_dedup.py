@@ -2,7 +2,8 @@
 
 A document is the bag of its runs of WORDS words (lower case; the text's words as one run if it has fewer). A shingle weighs its term
 frequency times its inverse document frequency. As with the usual hashing trick, document frequencies are counted in FEATURES cells
-over all documents; so the table of weights has one size whatever the corpus, and only shingles that are common indeed weigh less.
+over all documents; so the table of weights has one size whatever the corpus. What a cell holds of rare shingles by chance is about the
+same for all (the median), and is taken off; so only shingles that are common indeed weigh less, however large the corpus.
 Each of BANDS * ROWS samples picks a (shingle, level) of a document, so that two documents agree in a sample with the probability of
 their weighted Jaccard similarity. ROWS samples form a band. Documents that share a band are verified by their weighted Jaccard
 similarity, SIMILARITY or more; linked documents form classes.
@@ -63,7 +64,7 @@ def document_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     df[counts.cell] = counts.n
     n = max(1.0, df[FEATURES])
     # from 1 / IDF_RANGE (in every document) to 1 (in one), in the logarithm of the frequency
-    common = np.log(np.maximum(df[:FEATURES], 1.0)) / np.log(max(n, 2.0))
+    common = np.log(np.maximum(df[:FEATURES] - np.median(df[:FEATURES]), 1.0)) / np.log(max(n, 2.0))
     return (1 - np.minimum(common, 1.0) * (1 - 1 / IDF_RANGE)).astype(np.float32)
 
 
@@ -99,15 +100,30 @@ def samples(shingle: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted shingles, weights); 0 if either is empty."""
     _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][x], b[1][y]).sum()
-    whole = a[1].sum() + b[1].sum() - least
+    least = np.minimum(a[1][x], b[1][y]).sum(dtype=np.float64)
+    whole = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - least
     return float(least / whole) if whole > 0 else 0.0
 
 
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple:
+    """What cluster.link_classes asks of a contrast, for two (sorted shingles, weights): linked, w, whole, tokens, weights."""
+    shingle = np.union1d(a[0], b[0])
+    more = np.zeros(len(shingle))
+    more[np.searchsorted(shingle, b[0])] += b[1]
+    more[np.searchsorted(shingle, a[0])] -= a[1]
+    token = mix(shingle, 1)
+    token[more > 0] = mix(shingle[more > 0], 2)
+    there = more != 0
+    less, added = -more[more < 0].sum(), more[more > 0].sum()
+    return similarity(a, b) >= threshold, float(less + threshold * added), float(a[1].sum(dtype=np.float64)), token[there].view(np.int64), np.abs(more[there])
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(i, h1, h2, root, class_id, class_size): the class of each row of docs; root names it, class_id is the least id of the class, class_size its rows.
 
-    A null text counts as empty. Empty texts are equal to each other, so they form one class.
+    A null text counts as empty. Empty texts are equal to each other, so they form one class. Rows with a null id take part; class_id is
+    the least id that is not null, null if there is none. Repeated rows are rows of one class. Other columns are ignored, whatever their
+    names; an empty table gives an empty result. A very long text needs memory in proportion to its own length only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("second")).alias("h2"), text.alias("t"))
@@ -135,47 +151,63 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         return out
 
     known = cut(rows.mapInArrow(sketch, "i long, h1 long, h2 long, keys array<bigint>"))
-    items = known.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "keys")).alias("first"))
-    items = cut(items.select("h1", "h2", "n", F.col("first.i").alias("i"), F.col("first.keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()))
+    items = known.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("lo"), F.min(F.struct("i", "keys")).alias("first"))
+    items = cut(items.select("h1", "h2", "n", "lo", F.col("first.i").alias("i"), F.col("first.keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()))
     buckets = cut(shared_buckets(items.select("id", F.explode("keys").alias("key")).distinct()))
-    wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", "id")
-    # any of the equal texts
-    found = among(rows.select("h1", "h2", "t"), "h1", wanted, "h1").join(wanted, ["h1", "h2"]).select("id", "t")
-    texts = cut(found.dropDuplicates(["id"]))
+    wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", F.col("i").alias("first"), "id")
+    # one of the equal texts, by the least id
+    found = among(rows, "h1", wanted, "h1").join(wanted, ["h1", "h2"]).where(F.col("i").eqNullSafe(F.col("first"))).select("id", "t")
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "t"):
+            shingle, count, starts = _bags(texts)
+            weight = weigh(shingle, count)
+            packed = [shingle[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "bag"])
+
+    bags = cut(found.dropDuplicates(["id"]).mapInArrow(contents, "id long, bag binary"))
+
+    def unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(packed) // 12
+        return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.float32, n, 8 * n)
+
+    def sides(part: pa.RecordBatch) -> Iterator[tuple]:
+        for x, y in zip(part.column("x"), part.column("y")):
+            yield unpacked(x.as_buffer()), unpacked(y.as_buffer())
+
+    def parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(at, n) for batch in batches for at in range(0, batch.num_rows, n))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows_ = batch.slice(at, 64).to_pydict()
-                good = []
-                for k, (a, x, y) in enumerate(zip(rows_["p"], rows_["x"], rows_["y"])):
-                    if last[0] != a:
-                        shingle, count = bag(x)
-                        last = a, (shingle, weigh(shingle, count))
-                    shingle, count = bag(y)
-                    if similarity(last[1], (shingle, weigh(shingle, count))) >= threshold:
-                        good.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array([rows_[c][k] for k in good], pa.int64()) for c in ("a", "b")], ["a", "b"])
+        for part in parts(batches, 1024):
+            yield part.select(["a", "b"]).filter(pa.array([similarity(x, y) >= threshold for x, y in sides(part)], pa.bool_()))
+
+    def contrasted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 64):
+            found = [differences(x, y, threshold) for x, y in sides(part)]
+            kinds = (pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *(pa.array(x, t) for x, t in zip(zip(*found), kinds))], ["a", "b", "linked", "w", "whole", "tokens", "weights"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = with_contents(pairs, texts, "t")
-        return sides.select("a", "b", F.col("b").alias("p"), F.col("y").alias("x"), F.col("x").alias("y")).mapInArrow(verified, "a long, b long")
+        return with_contents(pairs, bags, "bag").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+    def contrast(pairs: DataFrame) -> DataFrame:
+        return with_contents(pairs, bags, "bag").select("a", "b", "x", "y").mapInArrow(contrasted, "a long, b long, linked boolean, w double, whole double, tokens array<bigint>, weights array<double>")
 
-    roots = link_classes(buckets, verify)
-    member = items.select("h1", "h2", "id", "n", "i").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    whole = member.groupBy("root").agg(F.min("i").alias("class_id"), F.sum("n").alias("class_size"))
+    roots = link_classes(buckets, verify, contrast, threshold)
+    member = items.select("h1", "h2", "id", "n", "lo").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    whole = member.groupBy("root").agg(F.min("lo").alias("class_id"), F.sum("n").alias("class_size"))
     named = member.join(whole, "root").select("h1", "h2", "root", "class_id", "class_size")
     return known.select("i", "h1", "h2").join(named, ["h1", "h2"])
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of documents: its class, named by the least doc_id in it, and the rows of the class."""
-    return classes(table(spark, sf_dir, "documents")).select(F.col("i").alias("doc_id"), "class_id", "class_size", (F.col("i") == F.col("class_id")).alias("kept"))
+    return classes(table(spark, sf_dir, "documents")).select(F.col("i").alias("doc_id"), "class_id", "class_size", F.col("i").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: the one with the least id (and hash of the text), all columns as they are; of rows with equal id and text one stays."""
+    """One row of each class: the one with the least id (null first; then by the hash of the text), all columns as they are, whatever their names; of rows with equal id and text one stays. An empty table stays empty."""
     named = classes(docs)
     # classes of null or repeated ids may share class_id, but not root
     first = named.groupBy("root").agg(F.min(F.struct("i", "h1", "h2")).alias("f")).select(F.col("f.i").alias("_i"), F.col("f.h1").alias("_h1"), F.col("f.h2").alias("_h2"))

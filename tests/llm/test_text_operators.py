@@ -50,14 +50,79 @@ def test_components(links):
     assert got == {x: expected[x] for a, b in links if a != b for x in (a, b)}
 
 
-def test_a_bucket_with_many_components_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "PIVOTS", 1)
-    # one bucket; numbers link if they differ by one, so no pivot links many
-    groups = [range(0, 12), range(20, 25), [40], [50]]
-    ids = [x for g in groups for x in g]
-    bands = spark.createDataFrame([(7, x) for x in ids] + [(1000 + x, x) for x in ids], "key bigint, id bigint")
-    got = {r["id"]: r["root"] for r in cluster.link_classes(cluster.shared_buckets(bands), lambda pairs: pairs.where("b - a = 1")).collect()}
-    assert got == {x: g[0] for g in (groups[0], groups[1]) for x in g}
+def grouped_sets(rng, n):
+    """Sets of a large group of near copies of one set, of a second group, of copies of copies, and of strangers, all in one bucket."""
+    new = iter(range(10_000, 10**9))
+    edit = lambda x, k: (set(x) - set(rng.sample(sorted(x), k))) | {next(new) for _ in range(k)}
+    base, other = set(range(60)), set(range(30, 90))
+    sets = [base, other] + [edit(base, rng.randint(0, 14)) for _ in range(n)] + [edit(other, rng.randint(0, 14)) for _ in range(n // 2)]
+    sets += [edit(rng.choice(sets), rng.randint(0, 6)) for _ in range(n // 2)]
+    return sets + [{next(new) for _ in range(rng.randint(1, 40))} for _ in range(n // 4)] + [set(range(k)) for k in (1, 2, 3)]
+
+
+def clustered(spark, monkeypatch, sets, weights=None, bands=None):
+    monkeypatch.setattr(cluster, "FEW", 0.5)
+    seen = []
+    if weights is None:
+        packed = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id bigint, s array<bigint>")
+
+        def verify(pairs):
+            pairs = pairs.localCheckpoint()
+            seen.append(pairs.count())
+            return cluster.with_contents(pairs, packed, "s").where(cluster.alike_sets(F.col("x"), F.col("y"), 0.8)).select("a", "b")
+
+        def contrast(pairs):
+            return cluster.contrast_sets(cluster.with_contents(pairs, packed, "s"), F.col("x"), F.col("y"), 0.8)
+    else:
+        bags = [(np.array(sorted(x), np.uint64), np.array([weights[i, k] for k in sorted(x)])) for i, x in enumerate(sets)]
+
+        def verify(pairs):
+            rows = pairs.collect()
+            seen.append(len(rows))
+            return spark.createDataFrame([(r["a"], r["b"]) for r in rows if near_dedup.similarity(bags[r["a"]], bags[r["b"]]) >= 0.8], "a bigint, b bigint")
+
+        def contrast(pairs):
+            rows = [(r["a"], r["b"], *near_dedup.differences(bags[r["a"]], bags[r["b"]], 0.8)) for r in pairs.collect()]
+            rows = [(*r[:5], r[5].tolist(), r[6].tolist()) for r in rows]
+            return spark.createDataFrame(rows, "a bigint, b bigint, linked boolean, w double, whole double, tokens array<bigint>, weights array<double>")
+
+    bands = spark.createDataFrame(bands or [(7, i) for i in range(len(sets))], "key bigint, id bigint")
+    got = {r["id"]: r["root"] for r in cluster.link_classes(cluster.shared_buckets(bands), verify, contrast, 0.8).collect()}
+    return got, sum(seen)
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    rng = random.Random(13)
+    sets = grouped_sets(rng, 40)
+    got, pairs = clustered(spark, monkeypatch, sets)
+    expected = union_find(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert [got.get(i, i) for i in range(len(sets))] == expected and 3 < len(set(expected)) < len(sets) - 20
+    assert pairs < len(sets) ** 2 / 8
+
+
+def test_large_buckets_of_weighted_sets_lose_no_link(spark, monkeypatch):
+    rng = random.Random(14)
+    sets = grouped_sets(rng, 30)
+    common = {k: rng.uniform(0.6, 3) for x in sets for k in x}
+    weights = {(i, k): common[k] + (rng.random() < 0.1) for i, x in enumerate(sets) for k in sorted(x)}
+    got, pairs = clustered(spark, monkeypatch, sets, weights)
+    bags = [(np.array(sorted(x), np.uint64), np.array([weights[i, k] for k in sorted(x)])) for i, x in enumerate(sets)]
+    expected = union_find(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near_dedup.similarity(bags[a], bags[b]) >= 0.8])
+    assert [got.get(i, i) for i in range(len(sets))] == expected and len(set(expected)) < len(sets) - 15
+    assert pairs < len(sets) ** 2 / 4
+
+
+def test_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    counts = []
+    for n in (60, 240):
+        rng = random.Random(15)
+        base, new = set(range(100)), iter(range(1000, 10**9))
+        # half of the copies are linked to the base, half to nothing
+        sets = [base] + [(base - set(rng.sample(range(100), k))) | {next(new) for _ in range(k)} for k in (8, 18) for _ in range(n)]
+        least = lambda x, k: min(hash((k, v)) for v in x)
+        bands = [(hash((b, *(least(x, 3 * b + r) for r in range(3)))), i) for i, x in enumerate(sets) for b in range(8)]
+        counts.append(clustered(spark, monkeypatch, sets, bands=bands)[1])
+    assert counts[1] <= 6 * counts[0]
 
 
 def test_among_keeps_all_that_is_wanted(spark):
@@ -177,37 +242,58 @@ def test_samples_agree_as_often_as_texts_are_alike():
 
 
 def test_passages(spark):
-    passage = [prose(60) for _ in range(6)]
-    texts = [prose(90) + " " + passage[i % 6] + " " + prose(50) for i in range(12)] + [prose(150) for _ in range(20)] + EDGE
-    line = prose(80)
-    texts += [line, line.replace(line.split()[40], "changed")]
-    rows = docs(spark, texts)
+    rng = random.Random(31)
+    passage = [prose(60, rng) for _ in range(6)]
+    texts = [prose(90, rng) + " " + passage[i % 6] + " " + prose(50, rng) for i in range(12)] + [prose(150, rng) for _ in range(20)] + EDGE
+    line = prose(80, rng)
+    texts += [line, line.replace(line.split()[40], "changed"), "own words. " + passage[0] + "\n" + prose(30, rng) + " " + passage[0], "loop " * 300]
+    rows = docs(spark, texts).withColumn("keys", F.lit("clash"))
     got = defaultdict(list)
     for r in passage_dedup.removed_spans(rows).collect():
         got[r["doc_id"]].append(r)
     n = len(texts)
-    assert set(got) == {*range(6, 12), n - 1}
+    covered = lambda i: {w for r in got[i] for w in range(r["first_word"], r["last_word"] + 1)}
+    assert set(got) == {*range(6, 12), n - 3, n - 2, n - 1}
     for i in range(6, 12):
         assert {x for r in got[i] for x in r["keep_doc_ids"]} == {i - 6}
-        covered = {w for r in got[i] for w in range(r["first_word"], r["last_word"] + 1)}
-        assert covered <= set(range(90, 150)) and len(covered) >= passage_dedup.BLOCK
+        # the whole passage, and a neighbour only if it happens to be equal
+        assert covered(i) >= set(range(90, 150)) and len(covered(i)) <= 62
+    assert covered(n - 3) == set(range(80)) and covered(n - 2) == {*range(2, 62), *range(92, 152)}
+    # of a text that repeats itself the first copy stays
+    assert 0 not in covered(n - 1) and max(covered(n - 1)) == 299 and min(covered(n - 1)) >= passage_dedup.BLOCK
     assert passage_dedup.removed_spans(rows.unionByName(rows)).count() == sum(map(len, got.values()))
     assert passage_dedup.removed_spans(rows.limit(0)).count() == 0
 
 
+def test_paragraphs_against_all_pairs(spark):
+    rng = random.Random(32)
+    lines = []
+    for _ in range(150):
+        words = prose(rng.randint(3, 70), rng).split()
+        lines.append(words)
+        for _ in range(rng.randint(0, 2)):
+            lines.append([w if rng.random() > 0.02 else rng.choice(VOCABULARY) for w in words])
+    rng.shuffle(lines)
+    rows = docs(spark, [" ".join(x) for x in lines])
+    bags = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in lines]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if bags[a] and bags[b] and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
+    root = union_find(len(lines), links)
+    expected = {i: r for i, r in enumerate(root) if i != r}
+    got = {r["i"]: r["keep_i"] for r in passage_dedup.paragraph_classes(passage_dedup.sketches(rows).where("keys is not null"), rows.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("th"), F.col("text").alias("t"))).collect()}
+    assert got.items() <= expected.items() and len(got) >= 0.98 * len(expected) > 50
+
+
 def test_any_long_passage_shares_a_block():
+    from strataloom.llm.common import hash_words
+
     rng = random.Random(9)
-    for _ in range(100):
-        shared = prose(passage_dedup.NEAR + passage_dedup.BLOCK, rng).split()
-        starts = []
-        for _ in range(2):
-            before = prose(rng.randint(0, 60), rng).split()
-            words = before + shared + prose(rng.randint(0, 60), rng).split()
-            from strataloom.llm.common import hash_words
-
-            blocks = passage_dedup.blocks(hash_words(words)) - len(before)
-            starts.append({x for x in blocks.tolist() if 0 <= x <= passage_dedup.NEAR})
-        assert starts[0] & starts[1]
+    for _ in range(60):
+        shared = prose(passage_dedup.NEAR + passage_dedup.BLOCK - 1, rng).split()
+        befores = [prose(rng.randint(0, 60), rng).split() for _ in range(3)]
+        texts = [b + shared + prose(rng.randint(0, 60), rng).split() for b in befores]
+        owner, at = passage_dedup.blocks(hash_words([w for t in texts for w in t]), np.array([len(t) for t in texts]))
+        starts = [{x - len(b) for x in at[owner == k].tolist() if 0 <= x - len(b) < passage_dedup.NEAR} for k, b in enumerate(befores)]
+        assert starts[0] & starts[1] & starts[2]
 
 
 def test_decontamination(spark):

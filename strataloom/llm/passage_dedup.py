@@ -1,11 +1,16 @@
-"""Repeated passages: MinHash banding of paragraphs, and of blocks inside them.
-
-A paragraph is a line of at least BLOCK words. As passages are also copied into the middle of other text, blocks of BLOCK words are
-compared as well: they start where a run of three words has the least hash among NEAR neighbours (winnowing), so that two copies of any
-passage of NEAR + BLOCK words or more choose a common block inside it, wherever the copies stand. Paragraphs get BANDS bands of ROWS
-MinHashes over their runs of WORDS words, blocks one band, as copies share many blocks. What shares a band is verified by exact Jaccard
-similarity; links form components. The first member of a component stays, and those of other documents are removed. Removed paragraphs
-and blocks of a document that overlap or touch are one removed span.
+"""Repeated passages: MinHash banding of paragraphs, and runs of equal words inside them.
+
+A paragraph is a line of at least WORDS words. Paragraphs get BANDS bands of ROWS MinHashes over their runs of WORDS words (so a pair of
+similarity 0.8 meets with a probability of 0.997); those that share a band are verified by the exact Jaccard similarity of these runs,
+links form components, the first paragraph of a component stays.
+
+Passages are also copied into the middle of other text. For these, blocks of BLOCK words are compared: they start where a run of three
+words has the least hash among NEAR neighbours (winnowing), so that two copies of any passage of NEAR + BLOCK - 1 words or more choose a
+common block inside it, wherever the copies stand. The first of equal blocks stays. Neighbouring blocks of a document that meet the same
+passage elsewhere are one run, and runs are extended on both sides, word by word, as far as both texts agree: a flank holds no block, so
+it has fewer than NEAR words.
+
+Removed paragraphs and runs of a document that overlap or touch are one removed span.
 """
 
 from __future__ import annotations
@@ -18,81 +23,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import link_classes, shared_buckets, with_contents
+from .cluster import among, contrast_sets, link_classes, shared_buckets, with_contents
 from .common import cut, hash_words, mix, slices, table, windows
 
-WORDS, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 24, 26, 0.8, 3, 2
+WORDS, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 24, 26, 0.8, 8, 3
+_MOST = np.uint64(2**64 - 1)
 
 
 def paragraphs(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of the text, and first and last word + 1 of each line of at least BLOCK words."""
+    """Words of the text, and first and last word + 1 of each line of at least WORDS words."""
     words, edges = [], [0]
     for line in text.split("\n"):
         words += line.split()
         edges.append(len(words))
     bounds = np.array(edges)
-    whole = np.flatnonzero(np.diff(bounds) >= BLOCK)
+    whole = np.flatnonzero(np.diff(bounds) >= WORDS)
     return words, bounds[whole], bounds[whole + 1]
 
 
-def blocks(hashes: np.ndarray) -> np.ndarray:
-    """First words of the blocks, from the hashes of all words."""
-    n = len(hashes) - BLOCK + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    h = windows(hashes, 3)[:n].copy()
-    # of a run of equal ones, only the first can be the least
-    h[1:][h[1:] == h[:-1]] = np.uint64(2**64 - 1)
-    if n <= NEAR:
-        return h.argmin(keepdims=True)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, NEAR).argmin(1) + np.arange(n - NEAR + 1))
-
-
-def _minhashes(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
-    """n MinHashes of each paragraph over its runs of WORDS words."""
-    grams = windows(hashes, WORDS)
-    last = np.maximum(np.minimum(stop - WORDS + 1, len(grams)), first + 1)
+def blocks(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which text each block is of, and its first word there, from the hashes of the words of all texts; texts of fewer than BLOCK words have none."""
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    full = np.flatnonzero(lengths >= BLOCK)
+    if not len(full):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # the places of each text's possible blocks, with a gap of NEAR before the next text
+    sizes = lengths[full] - BLOCK + 1
+    begin = np.concatenate([[0], np.cumsum(sizes + NEAR)])
+    owner = np.repeat(np.arange(len(full)), sizes)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h = windows(hashes, 3)[starts[full][owner] + inner]
+    padded = np.full(begin[-1], _MOST)
+    padded[begin[owner] + inner] = h
+    # of a run of equal ones only the first can be the least
+    same = np.flatnonzero((padded[1:] == padded[:-1]) & (padded[1:] != _MOST)) + 1
+    padded[same] = _MOST - np.uint64(1)
+    least = np.lib.stride_tricks.sliding_window_view(padded, NEAR)
+    firsts = begin[owner] + inner
+    firsts = firsts[inner < np.maximum(sizes - NEAR + 1, 1)[owner]]
+    at = np.unique(np.concatenate([least[part].argmin(1) + part for part in np.array_split(firsts, len(firsts) // 100_000 + 1)]))
+    text = np.searchsorted(begin, at, "right") - 1
+    return full[text], at - begin[text]
+
+
+def minhashes(grams: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """n MinHashes of each paragraph (of at least WORDS words) over its runs of WORDS words."""
+    edges = np.stack([first, stop - WORDS + 1], 1).ravel()
     out = np.empty((n, len(first)), np.uint64)
-    edges = np.stack([first, last], 1).ravel()
-    over = edges >= len(grams)
     for k in range(n):
-        h = mix(grams, k + 1)
-        h = np.append(h, np.uint64(2**64 - 1)) if over.any() else h
-        out[k] = np.minimum.reduceat(h, edges)[::2]
+        out[k] = np.minimum.reduceat(np.append(mix(grams, k + 1), _MOST), edges)[::2] if len(first) else []
+    return out
+
+
+def _sums(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Prefix sums from which any run of words gets a hash of its words and their order."""
+    out = np.zeros(len(hashes) + 1, np.uint64)
+    pair = mix(hashes, seed)
+    pair[:-1] = mix(hashes[:-1] ^ mix(hashes[1:], seed), seed + 1)
+    with np.errstate(over="ignore"):
+        np.cumsum(pair, out=out[1:])
     return out
 
 
+def _run_hash(sums: np.ndarray, hashes: np.ndarray, first: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(sums[stop - 1] - sums[first] + mix(hashes[stop - 1], seed + 2) + (stop - first).astype(np.uint64), seed).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, h, i, th, place): a row for each band of each paragraph or block; h is the hash of its words, place its first word << 32 | last word + 1. Rows with equal id and text give equal rows."""
+    """(h, h2, i, th, place, keys): a row for each paragraph and block; h and h2 are hashes of its words, place is first word << 32 | last word + 1, keys are its bands (null for a block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, th, text in zip(part.column("i").to_pylist(), part.column("th").to_pylist(), texts):
-                words, first, stop = paragraphs(text or "")
-                hashes = hash_words(words)
-                inner = blocks(hashes)
-                if not len(inner):
-                    continue
-                inner = inner[~np.isin(inner, first[stop - first == BLOCK])]
-                lines, first, stop = len(first), np.concatenate([first, inner]), np.concatenate([stop, inner + BLOCK])
-                got = _minhashes(hashes, first, stop, BANDS * ROWS)
-                sums = np.zeros(len(hashes) + 1, np.uint64)
-                with np.errstate(over="ignore"):
-                    # the words and their order: a rolling sum of hashes of (word, next word)
-                    pair = hashes.copy()
-                    pair[:-1] = mix(hashes[:-1] ^ mix(hashes[1:], 3), 5)
-                    np.cumsum(pair, out=sums[1:])
-                    whole = mix(sums[stop - 1] - sums[first] + mix(hashes[stop - 1], 11) + (stop - first).astype(np.uint64)).view(np.int64)
-                place = (first.astype(np.int64) << 32) + stop
-                for b in range(BANDS):
-                    n = len(first) if b == 0 else lines
-                    for c, x in zip(cols, (_band(got[b * ROWS : (b + 1) * ROWS, :n], b).view(np.int64), whole[:n], np.full(n, i), np.full(n, th), place[:n])):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], ["key", "h", "i", "th", "place"])
+            found = [paragraphs(text or "") for text in texts]
+            lengths = np.array([len(w) for w, _, _ in found], np.int64)
+            start = np.concatenate([[0], np.cumsum(lengths)])
+            hashes = hash_words([w for words, _, _ in found for w in words])
+            owner = np.repeat(np.arange(len(found)), [len(x) for _, x, _ in found])
+            first = np.concatenate([x for _, x, _ in found]).astype(np.int64)
+            stop = np.concatenate([x for _, _, x in found]).astype(np.int64)
+            if not len(hashes) or not len(first):
+                first, stop, owner = (np.zeros(0, np.int64) for _ in range(3))
+            of_block, at = blocks(hashes, lengths)
+            got = minhashes(windows(hashes, WORDS), first + start[owner], stop + start[owner]) if len(first) else np.zeros((BANDS * ROWS, 0), np.uint64)
+            keys = np.stack([_band(got[b * ROWS : (b + 1) * ROWS], b) for b in range(BANDS)], 1).view(np.int64)
+            every = np.concatenate([owner, of_block])
+            first, stop = np.concatenate([first, at]), np.concatenate([stop, at + BLOCK])
+            if not len(every):
+                continue
+            h, h2 = (_run_hash(_sums(hashes, s), hashes, first + start[every], stop + start[every], s) for s in (3, 17))
+            ends = np.concatenate([np.arange(0, keys.size, BANDS), np.full(len(at) + 1, keys.size)]).astype(np.int32)
+            empty = np.concatenate([np.zeros(len(keys), bool), np.ones(len(at), bool)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(empty, False)), pa.array(keys.ravel(), pa.int64()))
+            i, th = (np.asarray(part.column(x))[every] for x in ("i", "th"))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, h2, i, th, (first << 32) + stop)), lists], ["h", "h2", "i", "th", "place", "keys"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    return source.mapInArrow(run, "key long, h long, i long, th long, place long")
+    return source.mapInArrow(run, "h long, h2 long, i long, th long, place long, keys array<bigint>")
 
 
 def _band(rows: np.ndarray, band: int) -> np.ndarray:
@@ -102,65 +129,120 @@ def _band(rows: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def jaccard(a: list[str], b: list[str]) -> float:
-    """Exact, over runs of WORDS words."""
-    x, y = ({tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))} for w in (a, b))
-    return len(x & y) / len(x | y)
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """(i, th, first, stop, class, keep_i, keep_th, keep_first) of the paragraphs of classes that span several documents."""
-    bands = sketches(docs, id_col, text_col)
-    # most bands hold paragraphs of a single document and go here; only keys and two numbers are shuffled for that
-    owner = bands.select("key", F.xxhash64("i", "th").alias("d"))
-    several = owner.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key")
-    rows = cut(bands.join(several, "key").select("key", "h", "i", "th", F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("stop")))
-    items = rows.groupBy("h").agg(F.min(F.struct("i", "th", "first", "stop")).alias("x")).select("h", "x.*")
-    items = cut(items.withColumn("id", F.monotonically_increasing_id()))
-    buckets = cut(shared_buckets(rows.select("key", "h").distinct().join(items.select("h", "id"), "h").select("key", "id")))
-    # the words of one paragraph of each item, from its document
-    places = items.join(buckets.select("id").distinct(), "id").groupBy("i", "th").agg(F.collect_list(F.struct("id", "first", "stop")).alias("at"))
+def _words(docs: DataFrame, places: DataFrame, give, columns: str) -> DataFrame:
+    """(id, ...): what give makes of the words and a place, for places (i, th, id, first, stop); docs has i, th, t. Each text is read once for all of its places."""
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
-            ids, out = [], []
+            rows = []
             for at, text in zip(part.column("at").to_pylist(), texts):
                 words = (text or "").split()
-                for x in at:
-                    ids.append(x["id"])
-                    out.append(" ".join(words[x["first"] : x["stop"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "t"])
+                rows += [(x["id"], *give(words, x["first"], x["stop"])) for x in at]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    texts = cut(source.join(places, ["i", "th"]).select("t", "at").mapInArrow(words_of, "id long, t string").dropDuplicates(["id"]))
+    names = ["id", *(x.split()[0] for x in columns.split(", "))]
+    kinds = [pa.int64(), *(pa.list_(pa.int64()) if "array" in x else pa.string() for x in columns.split(", "))]
+    wanted = places.groupBy("i", "th").agg(F.collect_list(F.struct("id", "first", "stop")).alias("at"))
+    return docs.join(wanted, ["i", "th"]).dropDuplicates(["i", "th"]).select("t", "at").mapInArrow(run, f"id long, {columns}")
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                good = [jaccard(x.split(), y.split()) >= threshold for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sides = with_contents(pairs, texts, "t")
-        return sides.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+def _grams(words: list[str], first: int, stop: int) -> tuple:
+    return (np.unique(windows(hash_words(words[first:stop]), WORDS)).view(np.int64),)
+
+
+def _flanks(words: list[str], first: int, stop: int) -> tuple:
+    """Hashes of the words before (the nearest first) and behind, NEAR of each."""
+    before, behind = words[max(0, first - NEAR) : first][::-1], words[stop : stop + NEAR]
+    return hash_words(before).view(np.int64), hash_words(behind).view(np.int64)
 
-    roots = link_classes(buckets, verify)
-    named = items.select("h", "id").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("class"))
-    members = cut(rows.select("h", "i", "th", "first", "stop").distinct().join(named, "h").select("class", "i", "th", "first", "stop"))
-    first = members.groupBy("class").agg(F.min(F.struct("i", "th", "first")).alias("keep"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("th").alias("t0"), F.max("th").alias("t1")).where("i0 <> i1 or t0 <> t1")
-    return members.join(first.select("class", "keep"), "class").select("i", "th", "first", "stop", "class", F.col("keep.i").alias("keep_i"), F.col("keep.th").alias("keep_th"), F.col("keep.first").alias("keep_first"))
 
+def paragraph_classes(lines: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(i, th, place, keep_i) of the paragraphs that go. lines: (h, h2, i, th, place, keys)."""
+    items = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "th", "place", "keys")).alias("x"))
+    items = cut(items.select("h", "h2", "n", "x.*").withColumn("id", F.monotonically_increasing_id()))
+    buckets = cut(shared_buckets(items.select("id", F.explode("keys").alias("key"))))
+    there = items.join(buckets.select("id").distinct(), "id").select("i", "th", "id", *_place())
+    sets = cut(_words(docs, there, _grams, "s array<bigint>"))
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                both = len(np.intersect1d(x.values, y.values, assume_unique=True))
+                good.append(both >= threshold * (len(x.values) + len(y.values) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return with_contents(pairs, sets, "s").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+    def contrast(pairs: DataFrame) -> DataFrame:
+        return contrast_sets(with_contents(pairs, sets, "s"), F.col("x"), F.col("y"), threshold)
+
+    roots = link_classes(buckets, verify, contrast, threshold)
+    named = items.select("h", "h2", "id", "n").join(roots, "id", "left").where("n > 1 or root is not null").select("h", "h2", F.coalesce("root", "id").alias("class"))
+    named = cut(named)
+    members = cut(among(lines.drop("keys"), "h", named, "h").join(named, ["h", "h2"]).select("class", "i", "th", "place"))
+    first = members.groupBy("class").agg(F.min(F.struct("i", "th", "place")).alias("keep"))
+    return members.join(first, "class").where("i <> keep.i or th <> keep.th or place <> keep.place").select("i", "th", "place", F.col("keep.i").alias("keep_i"))
+
+
+def _place() -> list:
+    return [F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("stop")]
+
+
+def equal_runs(inner: DataFrame, docs: DataFrame) -> DataFrame:
+    """(i, th, first, stop, keep_i) of the runs of words that stand elsewhere as well, extended to their full length. inner: (h, h2, i, th, place) of blocks."""
+    # most blocks stand in one place and go here; only a key and a number are shuffled for that
+    several = inner.select("h", F.xxhash64("i", "th", "place").alias("d")).groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h")
+    several = cut(several)
+    rows = cut(among(inner, "h", several, "h").join(several, "h"))
+    first = rows.groupBy("h", "h2").agg(F.min(F.struct("i", "th", "place")).alias("keep"))
+    gone = rows.join(first, ["h", "h2"]).where("i <> keep.i or th <> keep.th or place <> keep.place")
+    begin = lambda x: F.shiftright(x, 32).cast("int")
+    gone = gone.select("i", "th", begin("place").alias("first"), F.col("keep.i").alias("keep_i"), F.col("keep.th").alias("keep_th"), begin("keep.place").alias("at")).distinct()
+    gone = gone.withColumn("shift", F.col("at") - F.col("first"))
+    # a block that overlaps the one that stays would take that away
+    same = (F.col("i") == F.col("keep_i")) & (F.col("th") == F.col("keep_th"))
+    gone = gone.where(~same | (F.col("first") >= F.col("at") + BLOCK))
+    # blocks that meet the same text at the same distance, and touch or overlap
+    line = Window.partitionBy("i", "th", "keep_i", "keep_th", "shift").orderBy("first")
+    new = F.coalesce(F.col("first") - F.lag("first").over(line) > BLOCK, F.lit(True))
+    runs = gone.withColumn("new", new).withColumn("k", F.count_if("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("i", "th", "keep_i", "keep_th", "shift", "k").agg(F.min("first").alias("first"), (F.max("first") + BLOCK).alias("stop"))
+    runs = cut(runs.withColumn("id", F.monotonically_increasing_id()))
+    columns = "before array<bigint>, behind array<bigint>"
+    own = _words(docs, runs.select("i", "th", "id", "first", "stop"), _flanks, columns)
+    # many runs may meet one place, so each place is taken once
+    spots = {"i": F.col("keep_i"), "th": F.col("keep_th"), "first": F.col("first") + F.col("shift"), "stop": F.col("stop") + F.col("shift")}
+    there = cut(runs.select(*[x.alias(k) for k, x in spots.items()]).distinct().withColumn("id", F.monotonically_increasing_id()))
+    met = runs.select("id", *[x.alias(f"_{k}") for k, x in spots.items()]).join(there.select(F.col("id").alias("spot"), *[F.col(k).alias(f"_{k}") for k in spots]), [f"_{k}" for k in spots]).select("id", "spot")
+    other = met.join(_words(docs, there, _flanks, columns).toDF("spot", "before2", "behind2"), "spot").drop("spot")
+
+    def agreed(a: str, b: str):
+        """How many elements agree from the start."""
+        unlike = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+        return F.when(unlike == 0, F.least(F.size(a), F.size(b))).otherwise(unlike - 1).cast("int")
+
+    grown = runs.join(own, "id").join(other, "id").select("i", "th", "keep_i", "keep_th", "shift", (F.col("first") - agreed("before", "before2")).alias("begin"), (F.col("stop") + agreed("behind", "behind2")).alias("stop"))
+    # inside a document the copy that stays ends where the other may begin
+    grown = grown.withColumn("first", F.when(same, F.greatest("begin", F.col("stop") + F.col("shift"))).otherwise(F.col("begin")))
+    return grown.where("first < stop").select("i", "th", "first", "stop", "keep_i")
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_word, last_word, n_words, keep_doc_id, keep_doc_ids): the spans to remove from each document, by places of its words.
 
-    keep_doc_id is the document that keeps the first paragraph of the span, keep_doc_ids all that keep a part of it. Rows with a null id
-    are left out, null and empty texts have no paragraphs; rows with equal id and text are one document. Texts of fewer than BLOCK
-    words have none either. Ties are settled by (id, hash of the text, place).
+    keep_doc_id is the document that keeps the first part of the span, keep_doc_ids all that keep a part of it; it may be the document
+    itself, whose later copies of a passage go. Rows with a null id are left out, null and empty texts have no paragraphs; rows with equal
+    id and text are one document and have their spans once. Lines of fewer than WORDS words are no paragraphs, texts of fewer than BLOCK
+    words have no blocks. Ties are settled by (id, hash of the text, place). Other columns are ignored, whatever their names; an empty
+    table gives an empty result. A very long text needs memory in proportion to its own length only.
     """
-    gone = classes(docs).where("i <> keep_i or th <> keep_th")
-    # overlapping or touching paragraphs of a document
+    found = cut(sketches(docs, id_col, text_col))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    whole = paragraph_classes(found.where("keys is not null"), source).select("i", "th", *_place(), "keep_i").distinct()
+    gone = whole.unionByName(equal_runs(found.where("keys is null").drop("keys"), source))
+    # overlapping or touching parts of a document
     line = Window.partitionBy("i", "th").orderBy("first", "stop")
     opened = gone.withColumn("new", F.coalesce(F.col("first") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     numbered = opened.withColumn("span", F.count_if("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

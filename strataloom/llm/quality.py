@@ -22,8 +22,8 @@ SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Allowed share of good documents that are rejected by all rules together, and the chance of exceeding it anywhere.
 ALPHA, DELTA = 0.02, 0.05
-#: At most so many strata of their own (those with most labels); all others are one. It bounds the table of cutoffs.
-MAX_STRATA = 256
+#: Up to so many strata the table of cutoffs is broadcast; more are joined by shuffling, with the same result.
+BROADCAST_STRATA = 100_000
 #: Rule: expression, and its cutoffs from loose to strict; a document with more is rejected.
 RULES = {
     "symbol_share": ("n_symbols / word_chars", (0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02)),
@@ -66,15 +66,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bare = F.translate(text, " \t\n\x0b\x0c\r", "")
-    out = docs.withColumn("_words", words).withColumn("_lines", lines)
+    out = docs.withColumn("_strataloom_words", words).withColumn("_strataloom_lines", lines)
+    words, lines = F.col("_strataloom_words"), F.col("_strataloom_lines")
     return out.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size(words).cast("long"),
         "word_chars": F.length(bare).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-    }).drop("_words", "_lines")
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(words),
+    }).drop("_strataloom_words", "_strataloom_lines")
 
 
 def base_failed() -> Column:
@@ -101,7 +102,7 @@ def binomial_tail(n: Column, k: Column, alpha: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
     """(stratum, one column for each rule): chosen cutoffs, null where none passes. labels: (doc_id, quality 1 good or 0 bad); null labels are left out, repeated ones count each.
 
-    The strata are at most MAX_STRATA + 1 rows; the stratum '' takes the languages that have no row of their own, and null.
+    Each language with labels is a stratum; a null language belongs to the stratum ''.
     """
     values = _values()
     rows = measured.where(~base_failed()).select(F.col(id_col).alias("i"), F.coalesce(F.col(stratum_col), F.lit("")).alias("s"), *[v.alias(k) for k, v in values.items()])
@@ -109,10 +110,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     known = rows.join(marks, "i")
     cells = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(j).alias("step"), (F.col(k) > c).alias("hit")) for k, (_, grid) in RULES.items() for j, c in enumerate(grid)])
     counts = known.select("s", "good", F.inline(cells)).groupBy("s", "rule", "step").agg(*[F.count_if(F.expr(x)).alias(y) for x, y in (("good", "n"), ("good and hit", "k"), ("not good", "bad_n"), ("not good and hit", "bad_k"))])
-    # few rows: cutoffs times strata
-    own = counts.groupBy("s").agg(F.max("n").alias("n")).where("s <> ''").orderBy(F.desc("n"), "s").limit(MAX_STRATA).select("s", F.lit(True).alias("own"))
-    counts = counts.join(F.broadcast(own), "s", "left").withColumn("s", F.when(F.col("own"), F.col("s")).otherwise("")).groupBy("s", "rule", "step").agg(*[F.sum(x).alias(x) for x in ("n", "k", "bad_n", "bad_k")])
-    chains = len(RULES) * F.size(F.collect_set("s").over(Window.partitionBy()))
+    # few rows: cutoffs times labelled strata
+    counts = cut(counts)
+    # one number
+    chains = max(1, len(RULES) * counts.select("s").distinct().count())
     tested = counts.withColumn("passed", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / chains)
     line = Window.partitionBy("s", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     valid = tested.withColumn("all_passed", F.min("passed").over(line)).where("all_passed")
@@ -121,37 +122,39 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     grid = F.create_map(*[F.lit(x) for k, (_, g) in RULES.items() for j, c in enumerate(g) for x in (f"{k} {j}", float(c))])
     best = best.withColumn("cutoff", grid[F.concat_ws(" ", "rule", "step")])
     chosen = best.groupBy("s").agg(*[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"max_{k}") for k in RULES])
-    return counts.select("s").distinct().join(F.broadcast(chosen), "s", "left").withColumnRenamed("s", "stratum")
+    return counts.select("s").distinct().join(chosen, "s", "left").withColumnRenamed("s", "stratum")
 
 
 def verdict(measured: DataFrame, chosen: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """measured with base_failed and kept. A language without cutoffs of its own takes those of the stratum '', or none."""
-    own = F.broadcast(chosen.withColumnRenamed("stratum", "_own"))
-    rest = F.broadcast(chosen.where("stratum = ''").select(*[F.col(f"max_{k}").alias(f"rest_{k}") for k in RULES]))
-    out = measured.withColumn("_s", F.coalesce(F.col(stratum_col), F.lit("")))
-    out = out.join(own, F.col("_s") == F.col("_own"), "left").join(rest, F.lit(True), "left")
+    """measured with base_failed and kept (columns of these names are replaced). In a language without labels nothing but the base rules rejects, as nothing was tested there."""
+    chosen = cut(chosen)
+    own = chosen.select(F.col("stratum").alias("_strataloom_stratum"), F.struct(*[f"max_{k}" for k in RULES]).alias("_strataloom_cutoffs"))
+    if chosen.count() <= BROADCAST_STRATA:
+        own = F.broadcast(own)
+    out = measured.join(own, F.coalesce(F.col(stratum_col), F.lit("")) == F.col("_strataloom_stratum"), "left")
     failed = F.lit(False)
     for name, value in _values().items():
-        limit = F.when(F.col("_own").isNotNull(), F.col(f"max_{name}")).otherwise(F.col(f"rest_{name}"))
-        failed = failed | F.coalesce(value > limit, F.lit(False))
+        failed = failed | F.coalesce(value > F.col(f"_strataloom_cutoffs.max_{name}"), F.lit(False))
     out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~failed)
-    return out.drop("_s", "_own", *[f"{x}_{k}" for k in RULES for x in ("max", "rest")])
+    return out.drop("_strataloom_stratum", "_strataloom_cutoffs")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of docs with its measures, base_failed and kept.
 
     A null or empty text has no words and fails the base rules. Rows with the same doc_id are judged each by its own text; every label
-    of the id counts for each. Without labels nothing but the base rules rejects. Columns of docs named as a measure are replaced.
+    of the id counts for each; a null id has no labels. Without labels nothing but the base rules rejects. Columns of docs named as a
+    measure are replaced, all others stay. An empty table gives an empty result; a very long text is measured in its own row.
     """
     measured = measures(docs)
     return verdict(measured, cutoffs(measured, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with just the columns of docs, whatever their names."""
+    """The rows of docs that quality_rules keeps, with just the columns of docs, whatever their names. Each text is measured once: rows are cut with their measures."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    return quality_rules(packed, labels).where("kept").select("row.*")
+    measured = cut(measures(packed).drop("text"))
+    return verdict(measured, cutoffs(measured, labels)).where("kept").select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Nothing here collects a bucket, a component or a link to the driver or to one ta
 1. Members of a bucket are verified against its most popular member (the one that shares most buckets with most others, so the middle of
    a group of near copies). What this links is one component, and pairs inside a component need no check any more.
 2. Buckets that still hold several components but few pairs across them (at most FEW for each member) have all these pairs verified.
-3. The others are refined. Each gets a center, and all members are compared with it once. A member is then known by its differences: the
+3. The others are refined. Each gets a center near its middle, and all members are compared with it. A member is then known by its differences: the
    shingles of the center that it lacks and those that it adds. Two facts about the similarity t = s(x, y) of sets (or of weighted sets)
    with weights C of the center, d lacked and a added, w = d + t * a, let pairs be found by their differences alone:
    - members linked to the center are one component;
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import cut, let
 
 #: Refinements, and the pairs for each member up to which a bucket is compared as it is.
-ROUNDS, FEW = 4, 4
+ROUNDS, FEW = 3, 4
 MAX_STEPS = 60
 #: Rows that a partition of a table of links should hold at least.
 DENSE = 50_000
@@ -91,8 +91,14 @@ def among(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> DataFrame:
     return rows.join(F.broadcast(cut(full)), hit, "left_semi")
 
 
+def placed(contents: DataFrame) -> DataFrame:
+    """contents (id, ...), cut, and dealt and sorted by id once, so that the joins of with_contents leave them where they are."""
+    n = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(contents.repartition(n, "id").sortWithinPartitions("id"))
+
+
 def with_contents(pairs: DataFrame, contents: DataFrame, col: str) -> DataFrame:
-    """pairs (a, b) with x and y, the col of contents (id, col) for a and b."""
+    """pairs (a, b) with x and y, the col of contents (id, col) for a and b. Contents that are placed are not shuffled; x is, once for each pair."""
     sides = pairs.join(contents.select(F.col("id").alias("a"), F.col(col).alias("x")), "a")
     return sides.join(contents.select(F.col("id").alias("b"), F.col(col).alias("y")), "b")
 
@@ -156,8 +162,8 @@ def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], c
             links.append(cut(verify(_pairs(pairs))))
         if False in there:
             many = left.where("not few")
-            compared = cut(contrast(_centers(many, popular).select(F.col("c").alias("a"), F.col("id").alias("b"))))
-            links.append(compared.where("linked").select("a", "b"))
+            compared, more = _contrasted(_centers(many, popular).select(F.col("c").alias("a"), F.col("id").alias("b")), contrast)
+            links += more
         roots = cut(_joined(roots, links))
         if False not in there:
             break
@@ -192,6 +198,23 @@ def _centers(rows: DataFrame, popular: DataFrame) -> DataFrame:
     return rows.select("key", "id").join(centers, "key").select("c", "id").distinct().where("c <> id")
 
 
+def _contrasted(members: DataFrame, contrast: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """The contrast of members (a, b) with their center a, or with a better one, and the links met.
+
+    Differences that most members share belong to the center. The member that has most of these and few others lies nearest to the middle
+    of the group, and takes the center's place.
+    """
+    first = cut(contrast(members))
+    spread = first.select("a", "b", F.explode(F.arrays_zip("tokens", "weights")).alias("z")).select("a", "b", "z.tokens", "z.weights")
+    sizes = first.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    common = spread.groupBy("a", "tokens").agg(F.count(F.lit(1)).alias("df")).join(sizes, "a").where("2 * df > n + 1").select("a", "tokens", F.lit(-1).alias("sign"))
+    far = spread.join(common, ["a", "tokens"], "left").groupBy("a", "b").agg(F.sum(F.col("weights") * F.coalesce("sign", F.lit(1))).alias("far"))
+    better = cut(far.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).where("x.far < 0").select("a", F.col("x.b").alias("c")))
+    rows = first.select("a", "b").unionByName(better.select("a", F.col("a").alias("b"))).join(better, "a")
+    second = cut(contrast(rows.select(F.col("c").alias("a"), "b").where("a <> b").distinct()))
+    return first.join(better, "a", "left_anti").unionByName(second), [x.where("linked").select("a", "b") for x in (first, second)]
+
+
 def _refined(compared: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(key, id, p, side): buckets of the members that share a difference that the prefix filter keeps, of several components and sides."""
     name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))

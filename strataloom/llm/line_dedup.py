@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import alike_sets, among, contrast_sets, link_classes, shared_buckets, with_contents
+from .cluster import alike_sets, among, contrast_sets, link_classes, placed, shared_buckets, with_contents
 from .common import cut, let, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 8, 3
@@ -80,7 +80,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", "id")
     # any of the equal lines gives the text
     found = among(lines.select("h1", "h2", "line"), "h1", wanted, "h1").join(wanted, ["h1", "h2"])
-    texts = cut(found.groupBy("id").agg(F.min("line").alias("line")))
+    texts = placed(found.groupBy("id").agg(F.min("line").alias("line")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         sides = with_contents(pairs, texts, "line")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import among, link_classes, shared_buckets, with_contents
+from .cluster import among, link_classes, placed, shared_buckets, with_contents
 from .common import cut, hash_words, mix, per_worker, slices, table, windows
 
 WORDS, SIMILARITY, BANDS, ROWS, FEATURES = 5, 0.8, 8, 3, 1 << 18
@@ -44,6 +44,18 @@ def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]), np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)]), starts
 
 
+def pack(shingle: np.ndarray, count: np.ndarray) -> bytes:
+    """A bag as bytes: shingles, counts of one byte each (of four if one needs them), and the bytes of a count."""
+    size = 1 if count.max(initial=0) < 256 else 4
+    return shingle.tobytes() + count.astype(f"<u{size}").tobytes() + bytes([size])
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = packed[-1]
+    n = (len(packed) - 1) // (8 + size)
+    return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, f"<u{size}", n, 8 * n)
+
+
 def document_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The inverse document frequency of each of FEATURES cells, from all documents; null and empty texts count as documents. The driver gets FEATURES numbers at most."""
 
@@ -161,15 +173,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
             shingle, count, starts = _bags(texts)
-            weight = weigh(shingle, count)
-            packed = [shingle[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            packed = [pack(shingle[a:b], count[a:b]) for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "bag"])
 
-    bags = cut(found.dropDuplicates(["id"]).mapInArrow(contents, "id long, bag binary"))
+    bags = placed(found.dropDuplicates(["id"]).mapInArrow(contents, "id long, bag binary"))
 
     def unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(packed) // 12
-        return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.float32, n, 8 * n)
+        shingle, count = unpack(packed)
+        return shingle, weigh(shingle, count)
 
     def sides(part: pa.RecordBatch) -> Iterator[tuple]:
         for x, y in zip(part.column("x"), part.column("y")):

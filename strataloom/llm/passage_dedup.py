@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import among, contrast_sets, link_classes, shared_buckets, with_contents
+from .cluster import among, contrast_sets, link_classes, placed, shared_buckets, with_contents
 from .common import cut, hash_words, mix, slices, table, windows
 
 WORDS, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 24, 26, 0.8, 8, 3
@@ -162,7 +162,7 @@ def paragraph_classes(lines: DataFrame, docs: DataFrame, threshold: float = SIMI
     items = cut(items.select("h", "h2", "n", "x.*").withColumn("id", F.monotonically_increasing_id()))
     buckets = cut(shared_buckets(items.select("id", F.explode("keys").alias("key"))))
     there = items.join(buckets.select("id").distinct(), "id").select("i", "th", "id", *_place())
-    sets = cut(_words(docs, there, _grams, "s array<bigint>"))
+    sets = placed(_words(docs, there, _grams, "s array<bigint>"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

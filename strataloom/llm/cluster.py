@@ -105,8 +105,9 @@ def with_contents(pairs: DataFrame, contents: DataFrame, col: str) -> DataFrame:
 
 def contrast_sets(sides: DataFrame, x: Column, y: Column, threshold: float) -> DataFrame:
     """A contrast (see link_classes) of pairs (a, b) with sets x and y, arrays without repeated elements of type long."""
-    # a generator evaluates the sets once
-    parts = sides.select("a", "b", F.inline(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda s: F.struct(F.array_except(s["x"], s["y"]).alias("less"), F.array_except(s["y"], s["x"]).alias("more"), F.size(s["x"]).alias("n")))))
+    # a generator evaluates the sets once; a and b go through it too, as constraints on them do not outlive a checkpoint and a union
+    both = F.array(F.struct("a", "b", x.alias("x"), y.alias("y")))
+    parts = sides.select(F.inline(F.transform(both, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_except(s["x"], s["y"]).alias("less"), F.array_except(s["y"], s["x"]).alias("more"), F.size(s["x"]).alias("n")))))
     d, a, n = F.size("less"), F.size("more"), F.col("n")
     return parts.select(
         "a", "b", ((n - d >= threshold * (n + a)) & (n > d)).alias("linked"), (d + threshold * a).cast("double").alias("w"), n.cast("double").alias("whole"),

@@ -101,8 +101,18 @@ def test_shards(spark):
         where[text].add(r["shard"])
     assert sorted(size) == list(range(8)) and len(got) == len(texts)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert all(len(x) == 1 for x in where.values())
     assert max(size.values()) - min(size.values()) <= 2 * 401 + sum(size.values()) * 0.01
     assert sharding.shard_by_bytes(docs(spark, texts).limit(0)).count() == 0
+    # one text of more than a shard's bytes has a shard of its own, the others share the rest
+    large = [*texts, *["q" * 1000] * 60]
+    size, where = Counter(), defaultdict(set)
+    for r in sharding.shard_by_bytes(docs(spark, large).withColumn("heavy", F.lit("clash"))).collect():
+        size[r["shard"]] += r["size"]
+        where[large[r["doc_id"]] or ""].add(r["shard"])
+    alone = where["q" * 1000]
+    rest = [n for k, n in size.items() if k not in alone]
+    assert all(len(x) == 1 for x in where.values()) and size[min(alone)] == 60060 and max(rest) - min(rest) <= 2 * 401 + sum(rest) * 0.01
 
 
 def plain_measures(text):

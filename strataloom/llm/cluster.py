@@ -78,7 +78,12 @@ BITS = 1 << 24
 
 
 def among(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> DataFrame:
-    """The rows whose hash in col may be among those of wanted[by] (all that are, and few others); a join has still to follow.
+    """The rows whose hash in col may be among those of wanted[by] (all that are, and few others); a join has still to follow."""
+    return sifted(rows, col, wanted, by)[0]
+
+
+def sifted(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """What among gives, and all other rows.
 
     The bits of wanted are set in a map of BITS bits, one row of BITS / 64 numbers, which every task gets. Where wanted has so many rows
     that most bits are set, most rows pass; the join is right all the same.
@@ -88,7 +93,8 @@ def among(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> DataFrame:
     slots = rows.sparkSession.range(BITS // 64).select(F.col("id").cast("int").alias("w"))
     full = slots.join(words, "w", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0).cast("long")).alias("m")))), lambda x: x["m"]).alias("_map"))
     hit = F.expr(f"(element_at(_map, cast(({col} & {BITS - 1}) div 64 as int) + 1) & shiftleft(1L, cast(({col} & 63) as int))) <> 0")
-    return rows.join(F.broadcast(cut(full)), hit, "left_semi")
+    full = F.broadcast(cut(full))
+    return rows.join(full, hit, "left_semi"), rows.join(full, hit, "left_anti")
 
 
 def placed(contents: DataFrame) -> DataFrame:
@@ -122,9 +128,9 @@ def alike_sets(x: Column, y: Column, threshold: float) -> Column:
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """bands (key, id) without repeated rows and without keys of a single id, with n: the ids of the key. One shuffle for counts, one to filter."""
-    several = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return bands.join(several, "key")
+    """bands (key, id) without repeated rows and without keys of a single id, with n: the ids of the key. One shuffle for counts, and a small one for what may have a common key."""
+    several = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return among(bands, "key", several, "key").join(several, "key")
 
 
 def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], contrast: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:

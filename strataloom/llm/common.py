@@ -21,19 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder for checkpoints. A folder of this machine is taken only on a local master, as in tests; a cluster has to name a shared one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; checkpoints need a folder that the cluster shares")
+        sc.setCheckpointDir(named or f"/tmp/strataloom-checkpoints-{uuid.uuid4().hex}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a table in the folder of checkpoints and read again: smaller than a checkpoint, and a reader takes only the columns that it needs."""
+    path = f"{_folder(df.sparkSession)}/strataloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with checkpoint(); its folder is the cluster's spark.checkpoint.dir, and a folder in /tmp only where that is unset.
+    """Cuts the lineage with checkpoint(); its folder is the cluster's spark.checkpoint.dir.
 
     Shuffle files and checkpoints of earlier steps go when the driver collects its garbage, which a small driver heap may put off for
     long; so it is collected here.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/strataloom-checkpoints-{uuid.uuid4().hex}")
+    _folder(df.sparkSession)
     out = df.checkpoint(eager)
     if eager:
         gc.collect()
-        sc._jvm.System.gc()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cluster import among, contrast_sets, link_classes, placed, shared_buckets, with_contents
-from .common import cut, hash_words, mix, slices, table, windows
+from .common import cut, hash_words, mix, slices, stored, table, windows
 
 WORDS, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 24, 26, 0.8, 8, 3
+KEYS = [f"k{b}" for b in range(BANDS)]
 _MOST = np.uint64(2**64 - 1)
 
 
@@ -91,7 +92,7 @@ def _run_hash(sums: np.ndarray, hashes: np.ndarray, first: np.ndarray, stop: np.
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, h2, i, th, place, keys): a row for each paragraph and block; h and h2 are hashes of its words, place is first word << 32 | last word + 1, keys are its bands (null for a block)."""
+    """(h, h2, i, th, place, k0, k1, …): a row for each paragraph and block; h and h2 are hashes of its words, place is first word << 32 | last word + 1, the k are its bands (null for a block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
@@ -112,14 +113,14 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if not len(every):
                 continue
             h, h2 = (_run_hash(_sums(hashes, s), hashes, first + start[every], stop + start[every], s) for s in (3, 17))
-            ends = np.concatenate([np.arange(0, keys.size, BANDS), np.full(len(at) + 1, keys.size)]).astype(np.int32)
-            empty = np.concatenate([np.zeros(len(keys), bool), np.ones(len(at), bool)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(empty, False)), pa.array(keys.ravel(), pa.int64()))
+            block = np.concatenate([np.zeros(len(keys), bool), np.ones(len(at), bool)])
+            keys = np.concatenate([keys, np.zeros((len(at), BANDS), np.int64)])
             i, th = (np.asarray(part.column(x))[every] for x in ("i", "th"))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, h2, i, th, (first << 32) + stop)), lists], ["h", "h2", "i", "th", "place", "keys"])
+            columns = [*(pa.array(x, pa.int64()) for x in (h, h2, i, th, (first << 32) + stop)), *(pa.array(k, pa.int64(), mask=block) for k in keys.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "h2", "i", "th", "place", *KEYS])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    return source.mapInArrow(run, "h long, h2 long, i long, th long, place long, keys array<bigint>")
+    return source.mapInArrow(run, "h long, h2 long, i long, th long, place long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
 def _band(rows: np.ndarray, band: int) -> np.ndarray:
@@ -157,11 +158,15 @@ def _flanks(words: list[str], first: int, stop: int) -> tuple:
 
 
 def paragraph_classes(lines: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(i, th, place, keep_i) of the paragraphs that go. lines: (h, h2, i, th, place, keys)."""
-    items = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "th", "place", "keys")).alias("x"))
-    items = cut(items.select("h", "h2", "n", "x.*").withColumn("id", F.monotonically_increasing_id()))
-    buckets = cut(shared_buckets(items.select("id", F.explode("keys").alias("key"))))
-    there = items.join(buckets.select("id").distinct(), "id").select("i", "th", "id", *_place())
+    """(i, th, place, keep_i) of the paragraphs that go. lines: (h, h2, i, th, place, k0, k1, …)."""
+    # equal paragraphs have equal keys, and any of them stands for all; numbers alone fit the fast aggregate
+    one = F.xxhash64("i", "th", "place")
+    items = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"), *[F.min(k).alias(k) for k in KEYS])
+    items = cut(items.withColumn("id", F.monotonically_increasing_id()))
+    buckets = cut(shared_buckets(items.select("id", F.explode(F.array(*KEYS)).alias("key"))))
+    wanted = cut(items.select("h", "h2", "one", "id").join(buckets.select("id").distinct(), "id"))
+    lines = lines.drop(*KEYS)
+    there = among(lines, "h", wanted, "h").withColumn("one", one).join(wanted, ["h", "h2", "one"]).select("i", "th", "id", *_place())
     sets = placed(_words(docs, there, _grams, "s array<bigint>"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,7 @@ def paragraph_classes(lines: DataFrame, docs: DataFrame, threshold: float = SIMI
     roots = link_classes(buckets, verify, contrast, threshold)
     named = items.select("h", "h2", "id", "n").join(roots, "id", "left").where("n > 1 or root is not null").select("h", "h2", F.coalesce("root", "id").alias("class"))
     named = cut(named)
-    members = cut(among(lines.drop("keys"), "h", named, "h").join(named, ["h", "h2"]).select("class", "i", "th", "place"))
+    members = cut(among(lines, "h", named, "h").join(named, ["h", "h2"]).select("class", "i", "th", "place"))
     first = members.groupBy("class").agg(F.min(F.struct("i", "th", "place")).alias("keep"))
     return members.join(first, "class").where("i <> keep.i or th <> keep.th or place <> keep.place").select("i", "th", "place", F.col("keep.i").alias("keep_i"))
 
@@ -238,10 +243,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words have no blocks. Ties are settled by (id, hash of the text, place). Other columns are ignored, whatever their names; an empty
     table gives an empty result. A very long text needs memory in proportion to its own length only.
     """
-    found = cut(sketches(docs, id_col, text_col))
+    found = stored(sketches(docs, id_col, text_col))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    whole = paragraph_classes(found.where("keys is not null"), source).select("i", "th", *_place(), "keep_i").distinct()
-    gone = whole.unionByName(equal_runs(found.where("keys is null").drop("keys"), source))
+    whole = paragraph_classes(found.where("k0 is not null"), source).select("i", "th", *_place(), "keep_i").distinct()
+    gone = whole.unionByName(equal_runs(found.where("k0 is null").drop(*KEYS), source))
     # overlapping or touching parts of a document
     line = Window.partitionBy("i", "th").orderBy("first", "stop")
     opened = gone.withColumn("new", F.coalesce(F.col("first") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cluster import sifted
 from .common import cut, hash_words, slices, table
 
 COPY, REACH, STRETCH = 0.5, 2, 256
@@ -294,7 +295,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             found = [result(x, y) for x, y in zip(texts, batch.column("gone").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("u"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["i", "u", "text", "n_chars"])
 
-    joined = named.join(gone, ["k1", "k2"], "left").select("i", "u", "t", "gone")
+    # pages that lose nothing by differencing, most of them, stay where they are
+    gone = cut(gone)
+    some, none = sifted(named, "k1", gone, "k1")
+    joined = some.join(gone, ["k1", "k2"], "left").select("i", "u", "t", "gone").unionByName(none.select("i", "u", "t", F.lit(None).cast("array<int>").alias("gone")))
     return joined.mapInArrow(finish, "i long, u string, text string, n_chars long").toDF(id_col, url_col, "text", "n_chars")
 
 

@@ -1,5 +1,6 @@
 import html as html_lib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -196,6 +197,63 @@ def test_page_differencing(spark):
     assert html_lib.unescape("&amp;") == "&"
 
 
+def test_differencing_inside_the_article_whatever_the_partitions(spark):
+    page = lambda k, more: f"<html><body><main><p>Shared head line</p><h1>Title {k}</h1><p>{prose(20, random.Random(k))}</p><p>Read our other pages</p>{more}</main></body></html>"
+    quoted = "<p>a sentence that two of the articles quote</p>"
+    rows = [(k, f"http://h/a/{k:04}", page(k, quoted if k % 4 == 0 else "")) for k in range(600)] + [(600, "http://h/a/0003x", page(3, "")), (601, None, None), (601, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    results = []
+    for n in (1, 8, 64):
+        results.append(sorted((r["page_id"], r["text"]) for r in html_text.extract(pages.repartition(n)).collect()))
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
+    for k, text in results[0][:600]:
+        assert text == f"Title {k}\n{prose(20, random.Random(k))}" + "\na sentence that two of the articles quote" * (k % 4 == 0)
+
+
+def plain_template(pages):
+    """Deleted places by page, with all neighbours looked up in plain lists and a quadratic alignment."""
+    order, out = sorted(range(len(pages)), key=lambda k: (pages[k]["host"], pages[k]["path"], k)), {}
+    for at, k in enumerate(order):
+        page = pages[k]
+        sides = [order[at + d] for d in (-1, 1, -2, 2) if 0 <= at + d < len(order) and pages[order[at + d]]["host"] == page["host"]]
+        sides.sort(key=lambda j: -html_text.near(pages[j]["path"], page["path"]))
+        total, seen = sum(s for s, g in zip(page["size"], page["good"]) if g), []
+        for j in sides:
+            common = html_text.shared(page["line"], pages[j]["line"])
+            if sum(page["size"][i] for i in common if page["good"][i]) <= html_text.COPY * total:
+                seen.append(common)
+        out[k] = [i for i, g in enumerate(page["good"]) if g and seen and i in seen[0] and (not page["main"][i] or len(seen) > 1 and i in seen[1])]
+    return out
+
+
+def test_differencing_against_plain_lists(spark):
+    rng = random.Random(41)
+    lines = [f"line number {i} of all" for i in range(12)]
+    rows = []
+    for k in range(300):
+        body = "".join(f"<{t}>{rng.choice(lines) if rng.random() < 0.4 else prose(8, rng)}</{t}>" for t in rng.choices(["p", "div", "h2"], k=rng.randint(1, 8)))
+        rows.append((k, f"http://h{rng.randint(0, 3)}/{k:05}", f"<body><p>{rng.choice(lines)}</p><main>{body}</main></body>"))
+    pages = []
+    for _, url, page in rows:
+        found = html_text.blocks(page)
+        pages.append({"host": url.split("/")[2], "path": "/" + url.split("/")[3], "line": [t for t, _, _ in found], "size": [len(t) for t, _, _ in found], "good": [g for _, g, _ in found], "main": [m for _, _, m in found]})
+    gone = plain_template(pages)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert any(gone.values()) and got == {k: html_text.result(rows[k][2], gone[k]) for k in got}
+
+
+def test_markup_of_all_kinds():
+    kept = lambda page: [x for x, good, _ in html_text.blocks(page) if good]
+    assert kept("<p title=it's>hello <b>w</b></p>") == ["hello w"]
+    assert kept("<form><div><p>the whole article stands in a form</p></div></form><nav>menu</nav>") == ["the whole article stands in a form"]
+    assert kept('<div class="post-header"><h1>Title</h1><p>lead</p></div><p class="related">text</p><p class="ad">buy</p>') == ["Title", "lead", "text"]
+    assert kept("<p>long enough text of a page<div class=sidebar>beside</div><svg><p>after</p>") == ["long enough text of a page", "after"]
+    for page in ("<p '" * 1_200_000, "<!" * 500_000, "<div>" * 200_000 + "</span></p>" * 200_000, "<svg>" * 300_000, "<p a=\"" * 300_000, "<" * 1_000_000):
+        start = time.time()
+        html_text.blocks(page)
+        assert time.time() - start < 8
+
+
 def near_texts():
     rng = random.Random(5)
     texts = [*EDGE, *EDGE]
@@ -247,7 +305,7 @@ def test_passages(spark):
     texts = [prose(90, rng) + " " + passage[i % 6] + " " + prose(50, rng) for i in range(12)] + [prose(150, rng) for _ in range(20)] + EDGE
     line = prose(80, rng)
     texts += [line, line.replace(line.split()[40], "changed"), "own words. " + passage[0] + "\n" + prose(30, rng) + " " + passage[0], "loop " * 300]
-    rows = docs(spark, texts).withColumn("keys", F.lit("clash"))
+    rows = docs(spark, texts).withColumn("k0", F.lit("clash"))
     got = defaultdict(list)
     for r in passage_dedup.removed_spans(rows).collect():
         got[r["doc_id"]].append(r)
@@ -279,7 +337,7 @@ def test_paragraphs_against_all_pairs(spark):
     links = [(a, b) for a in range(len(lines)) for b in range(a) if bags[a] and bags[b] and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
     root = union_find(len(lines), links)
     expected = {i: r for i, r in enumerate(root) if i != r}
-    got = {r["i"]: r["keep_i"] for r in passage_dedup.paragraph_classes(passage_dedup.sketches(rows).where("keys is not null"), rows.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("th"), F.col("text").alias("t"))).collect()}
+    got = {r["i"]: r["keep_i"] for r in passage_dedup.paragraph_classes(passage_dedup.sketches(rows).where("k0 is not null"), rows.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("th"), F.col("text").alias("t"))).collect()}
     assert got.items() <= expected.items() and len(got) >= 0.98 * len(expected) > 50
 
 

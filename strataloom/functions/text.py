@@ -92,15 +92,15 @@ def extractive_summary(content: Column, heading: Column) -> Column:
 def repair_json(raw: Column) -> Column:
     """The object in a model's reply: without thoughts, from a fenced block or between the outer braces, without trailing commas."""
     bare = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
     outer = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     return F.regexp_replace(F.when(fenced != "", fenced).otherwise(outer), r",\s*([}\]])", "$1")
 
 
 def valid_ids(raw: Column, present: Column) -> Column:
     """Of ids given as JSON texts of numbers or strings, those that are whole numbers and present, in order."""
-    whole = F.filter(raw, lambda x: x.rlike(r"^[0-9]{1,9}$"))
-    return F.filter(F.transform(whole, lambda x: x.cast("int")), lambda x: F.array_contains(present, x))
+    whole = F.transform(F.filter(raw, lambda x: x.rlike(r"^[0-9]+$")), lambda x: x.try_cast("bigint"))
+    return F.filter(whole, lambda x: F.coalesce(F.array_contains(present, x), F.lit(False)))
 
 
 def heat_class(heat: Column) -> Column:

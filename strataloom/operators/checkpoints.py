@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; a folder in /tmp is set only where that is unset, as in tests."""
+    """checkpoint() in spark.checkpoint.dir. A folder of this machine is taken only on a local master, as in tests; a cluster has to name a shared one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/strataloom-checkpoints-{uuid.uuid4().hex}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; checkpoints need a folder that the cluster shares")
+        sc.setCheckpointDir(named or f"/tmp/strataloom-checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint()

@@ -65,7 +65,7 @@ def descend(nodes: DataFrame, queries: DataFrame, heat: DataFrame, decide: Navig
         if shown.isEmpty():
             break
         visited = shown.select("query_id", "node_id") if visited is None else visited.unionByName(shown.select("query_id", "node_id"))
-        present = shown.groupBy("query_id").agg(F.collect_list(F.col("node_id").cast("int")).alias("present"))
+        present = shown.groupBy("query_id").agg(F.collect_list(F.col("node_id").cast("bigint")).alias("present"))
         replies = present.join(decide(shown, step), "query_id", "left")
         replies = _cut(replies.select("query_id", F.coalesce("confidence", F.when(F.col("select").isNull() & F.col("descend").isNull(), "LOW").otherwise("MEDIUM")).alias("confidence"), valid_ids(F.coalesce("select", F.array().cast("array<string>")), F.col("present")).alias("select"), valid_ids(F.coalesce("descend", F.array().cast("array<string>")), F.col("present")).alias("descend")))
         now = replies.select("query_id", "confidence", F.lit(step).alias("step"))

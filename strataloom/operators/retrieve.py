@@ -81,7 +81,7 @@ def spread_heat(heat: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, document_id, node_id, heat): each node of the query's document with the greatest heat in its subtree, 0 without any."""
     from .tree import ancestors
 
-    up = ancestors(nodes.select("document_id", "node_id", "parent_id"), 3).select("document_id", "node_id", F.explode("up").alias("a"))
+    up = ancestors(nodes.select("document_id", "node_id", "parent_id")).select("document_id", "node_id", F.explode("up").alias("a"))
     warm = heat.join(up, ["document_id", "node_id"]).groupBy("query_id", "document_id", F.col("a").alias("node_id")).agg(F.max("heat").alias("heat"))
     frame = heat.select("query_id", "document_id").distinct().join(nodes.select("document_id", "node_id"), "document_id")
     return frame.join(warm, ["query_id", "document_id", "node_id"], "left").select("query_id", "document_id", "node_id", F.coalesce("heat", F.lit(0.0)).alias("heat"))

@@ -14,8 +14,10 @@ from .checkpoints import cut
 PREAMBLE, WHOLE = "Giriş", "Belge İçeriği"
 NOISE = ("icindekiler", "sekiller listesi", "tablolar listesi", "sekil listesi", "tablo listesi")
 ABSTRACTS = ("özet", "abstract", "ozet", "öz", "summary")
-#: Levels that raw nodes may have.
-MAX_LEVEL = 12
+#: Distinct levels that raw nodes may have; more are refused. Markdown has MARKDOWN_LEVELS.
+MAX_LEVELS, MARKDOWN_LEVELS = 64, (1, 2, 3, 4, 5)
+#: Doubling steps after which a chain of parents must be a circle.
+MAX_STEPS = 40
 HEADING, MARKER = r"^(#{1,5})\s+(.+)$", r"^<!-- Page (\d+) -->"
 
 
@@ -35,81 +37,108 @@ def raw_sections(docs: DataFrame) -> DataFrame:
     # text before the first heading makes a section if it is more than blank lines
     body = ~F.col("is_head") & (F.col("marker") == "")
     early = F.count_if(body & (F.col("heads") == 0) & (F.col("line") != "")).over(everything) > 0
-    lines = lines.withColumn("early", early).where("heads > 0 or early")
-    lines = lines.withColumn("seq", F.col("heads") + F.when(F.col("early"), 1).otherwise(0))
+    # a document without any section is one empty node
+    whole = (F.max("heads").over(everything) == 0) & ~F.col("early")
+    lines = lines.withColumn("early", early).withColumn("whole", whole).where("heads > 0 or early or whole")
+    lines = lines.withColumn("seq", F.col("heads") + F.when(F.col("early") | F.col("whole"), 1).otherwise(0))
     first_text = F.min(F.when((F.col("heads") == 0) & body & (F.col("line") != ""), F.col("no")))
     grouped = lines.groupBy("document_id", "seq").agg(
         F.max(F.when(F.col("is_head"), F.length(F.regexp_extract("line", HEADING, 1)))).alias("level"),
         F.max(F.when(F.col("is_head"), strip(F.regexp_extract("line", HEADING, 2)))).alias("heading"),
         strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("pos", "raw")))), lambda x: x["raw"]), "\n")).alias("content"),
-        F.coalesce(F.max(F.when(F.col("is_head"), F.col("no"))), first_text).alias("start_line"),
+        F.coalesce(F.max(F.when(F.col("is_head"), F.col("no"))), first_text, F.lit(1)).alias("start_line"),
         F.max("no").alias("end_line"),
-        F.coalesce(F.max(F.when(F.col("is_head"), F.col("page"))), F.min(F.when(body & (F.col("line") != ""), F.col("page")))).alias("start_page"),
+        F.coalesce(F.max(F.when(F.col("is_head"), F.col("page"))), F.min(F.when(body & (F.col("line") != ""), F.col("page"))), F.lit(1)).alias("start_page"),
         F.max("page").alias("end_page"),
+        F.max("whole").alias("whole"),
     )
-    found = grouped.withColumn("level", F.coalesce("level", F.lit(1))).withColumn("heading", F.coalesce("heading", F.lit(PREAMBLE)))
-    # documents without any section: one empty node
-    empty = docs.select("document_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n")).join(found.select("document_id").distinct(), "document_id", "left_anti")
-    empty = empty.select("document_id", F.lit(1).alias("seq"), F.lit(1).alias("level"), F.lit(WHOLE).alias("heading"), F.lit("").alias("content"), F.lit(1).alias("start_line"), F.col("n").alias("end_line"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
-    return found.select(empty.columns).unionByName(empty)
+    found = grouped.withColumn("level", F.coalesce("level", F.lit(1))).withColumn("heading", F.coalesce("heading", F.when(F.col("whole"), WHOLE).otherwise(PREAMBLE)))
+    return found.withColumn("end_page", F.when(F.col("whole"), 1).otherwise(F.col("end_page"))).drop("whole")
 
 
-def with_parents(sections: DataFrame) -> DataFrame:
-    """Adds node_id (1-based in order), parent_id (the nearest earlier node of a lower level) and path. Levels may skip."""
-    order = Window.partitionBy("document_id").orderBy("seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    nodes = sections.withColumn("node_id", F.row_number().over(order)).withColumn("level", F.greatest("level", F.lit(1)))
-    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("node_id"))).over(before)) for k in range(1, MAX_LEVEL)]
-    return with_paths(nodes.withColumn("parent_id", F.greatest(*last)))
+def _noise(heading: Column) -> Column:
+    return strip(fold(heading)).isin(*NOISE)
 
 
-def ancestors(nodes: DataFrame, steps: int) -> DataFrame:
-    """(document_id, node_id, up): ids of the node and of its ancestors, the root last, by pointer doubling (steps joins reach 2**steps levels).
+def with_parents(sections: DataFrame, levels: tuple[int, ...] | None = None) -> DataFrame:
+    """Adds node_id (1-based in order), parent_id (the nearest earlier node of a lower level), path (the headings from the root, joined by ' > ') and up: structs (node_id, level, heading, noise) of the ancestors, the root first.
 
-    Only ids take part. Each step is cut, as its plan would hold the one before twice.
+    Levels may skip; below 1 they count as 1. levels are those that may occur; without them they are looked up (at most MAX_LEVELS, else
+    ValueError). One window by document gives it all: the last node of level k before a node is its ancestor if no node of a lower level
+    has come since.
+    """
+    sections = sections.withColumn("level", F.greatest("level", F.lit(1)))
+    if levels is None:
+        # at most MAX_LEVELS + 1 numbers
+        levels = sorted(r["level"] for r in sections.select("level").distinct().limit(MAX_LEVELS + 1).collect())
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"nodes of more than {MAX_LEVELS} levels")
+    order = Window.partitionBy("document_id").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    nodes = sections.withColumn("node_id", F.row_number().over(order))
+    own = F.struct("node_id", "level", "heading", _noise(F.col("heading")).alias("noise"))
+    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.struct("node_id", "level", "heading", "noise"))).over(before)) for k in levels[:-1]]
+    nodes = nodes.withColumn("noise", own["noise"])
+    if not last:
+        kind = "array<struct<node_id:int,level:int,heading:string,noise:boolean>>"
+        return nodes.drop("noise").withColumn("up", F.array().cast(kind)).withColumn("parent_id", F.lit(None).cast("int")).withColumn("path", F.col("heading"))
+    nodes = nodes.withColumn("up", F.array_compact(F.array(*last))).drop("noise")
+    open_ = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, 1, i), lambda y: y["node_id"] > x["node_id"]))
+    nodes = nodes.withColumn("up", open_(F.col("up")))
+    nodes = nodes.withColumn("parent_id", F.try_element_at("up", F.lit(-1))["node_id"])
+    return nodes.withColumn("path", F.array_join(F.concat(F.transform("up", lambda x: x["heading"]), F.array("heading")), " > "))
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(document_id, node_id, up): ids of the node and of its ancestors, the root last, by pointer doubling until no chain grows.
+
+    Only ids take part. Each step is cut, as its plan would hold the one before twice. Parents in a circle are an error.
     """
     out = cut(nodes.select("document_id", "node_id", F.when(F.col("parent_id").isNull(), F.array("node_id")).otherwise(F.array("node_id", "parent_id")).alias("up")))
-    for _ in range(steps):
+    for _ in range(MAX_STEPS):
         top = out.where("size(up) > 1").select(F.col("document_id").alias("_d"), F.col("node_id").alias("_n"), F.col("up").alias("_up"))
+        if top.isEmpty():
+            return out
         joined = out.join(top, (F.col("document_id") == F.col("_d")) & (F.element_at("up", -1) == F.col("_n")), "left")
-        out = cut(joined.select("document_id", "node_id", F.coalesce(F.concat("up", F.expr("slice(_up, 2, size(_up))")), F.col("up")).alias("up")))
-    return out
-
-
-def with_paths(nodes: DataFrame, steps: int = 3) -> DataFrame:
-    """Adds path: the headings from the root, joined by ' > '."""
-    nodes = cut(nodes)
-    up = ancestors(nodes, steps).select("document_id", "node_id", F.posexplode("up").alias("k", "a"))
-    names = nodes.select("document_id", F.col("node_id").alias("a"), "heading")
-    paths = up.join(names, ["document_id", "a"]).groupBy("document_id", "node_id").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("k", "heading")))), lambda x: x["heading"]), " > ").alias("path"))
-    return nodes.join(paths, ["document_id", "node_id"])
+        out = cut(joined.select("document_id", "node_id", F.coalesce(F.concat("up", F.expr("slice(_up, 2, size(_up))")), F.col("up")).alias("up"), F.col("_up").isNotNull().alias("grew")))
+        if out.where("grew").isEmpty():
+            return out.drop("grew")
+        out = out.drop("grew")
+    raise ValueError("the parents of some nodes form a circle")
 
 
 def finalize(nodes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Without list-of-contents headings; nodes deeper than the limit are folded into their nearest kept ancestor; leaves are marked.
 
-    Children of a removed node become roots and keep their path. What hangs too deep below a removed node is lost.
+    nodes are those of with_parents. Children of a removed node become roots and keep their path. What hangs too deep below a removed
+    node is lost. A node knows its ancestors, so each row says where its text goes and whose child it is; one group-by does the rest.
     """
     limit = settings.max_tree_depth
-    kept = nodes.where(~strip(fold(F.col("heading"))).isin(*NOISE))
-    parents = kept.select("document_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_there"))
-    kept = kept.join(parents, ["document_id", "parent_id"], "left").withColumn("_parent", F.when(F.col("_there"), F.col("parent_id"))).drop("_there")
-    kept = cut(kept)
-    chain = ancestors(kept.withColumn("parent_id", F.col("_parent")), 3).select("document_id", "node_id", F.posexplode("up").alias("k", "a"))
-    levels = kept.select("document_id", F.col("node_id").alias("a"), F.col("level").alias("a_level"))
-    home = chain.join(levels, ["document_id", "a"]).where(f"a_level <= {limit}").groupBy("document_id", "node_id").agg(F.min_by("a", "k").alias("home"))
-    housed = kept.join(home, ["document_id", "node_id"], "left")
-    folded = housed.where(f"level > {limit}").select("document_id", F.col("home").alias("node_id"), F.struct("node_id", F.regexp_replace(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("heading"), F.lit("\n"), F.coalesce("content", F.lit(""))), r"\s+$", "").alias("text"), "end_page").alias("f"))
-    extra = folded.groupBy("document_id", "node_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    extra = extra.select("document_id", "node_id", F.array_join(F.transform("f", lambda x: x["text"]), "").alias("_text"), F.try_element_at(F.filter(F.transform("f", lambda x: x["end_page"]), lambda x: x.isNotNull()), F.lit(-1)).alias("_end"))
-    out = housed.where(f"level <= {limit}").drop("home", "parent_id").withColumnRenamed("_parent", "parent_id").join(extra, ["document_id", "node_id"], "left")
-    out = out.withColumn("content", F.when(F.col("_text").isNull(), F.col("content")).otherwise(strip(F.concat(F.coalesce("content", F.lit("")), "_text")))).withColumn("end_page", F.coalesce("_end", "end_page")).drop("_text", "_end")
-    inner = out.where("parent_id is not null").select("document_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_inner", F.lit(True))
-    return out.join(inner, ["document_id", "node_id"], "left").withColumn("is_leaf", F.when(F.col("_inner"), 0).otherwise(1)).drop("_inner")
+    kept = nodes.where(~_noise(F.col("heading")))
+    # from the parent up to the first removed node
+    chain = F.reverse("up")
+    kept = kept.withColumn("_chain", F.transform(F.filter(chain, lambda x, i: ~F.exists(F.slice(chain, 1, i + 1), lambda y: y["noise"])), lambda x: F.struct(x["node_id"].alias("node_id"), x["level"].alias("level"))))
+    kept = kept.withColumn("parent_id", F.get("_chain", F.lit(0))["node_id"])
+    home = F.when(F.col("level") <= limit, F.col("node_id")).otherwise(F.get(F.filter("_chain", lambda x: x["level"] <= limit), F.lit(0))["node_id"])
+    columns = [c for c in nodes.columns if c not in ("document_id", "up")]
+    text = F.regexp_replace(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("heading"), F.lit("\n"), F.coalesce("content", F.lit(""))), r"\s+$", "")
+    kept = kept.withColumn("_home", home).where("_home is not null")
+    stays = F.col("level") <= limit
+    said = F.array_compact(F.array(
+        F.struct(F.col("_home").alias("at"), F.when(stays, F.struct(*columns)).alias("own"), F.when(~stays, F.struct("node_id", text.alias("text"), "end_page")).alias("more"), F.lit(False).alias("inner")),
+        F.when(stays & F.col("parent_id").isNotNull(), F.struct(F.col("parent_id").alias("at"), F.lit(None).alias("own"), F.lit(None).alias("more"), F.lit(True).alias("inner"))),
+    ))
+    told = kept.select("document_id", F.inline(said))
+    whole = told.groupBy("document_id", "at").agg(F.max("own").alias("own"), F.array_sort(F.collect_list("more")).alias("f"), F.max("inner").alias("inner"))
+    out = whole.where("own is not null").select("document_id", "own.*", "f", "inner")
+    joined = F.array_join(F.transform("f", lambda x: x["text"]), "")
+    out = out.withColumn("content", F.when(F.size("f") == 0, F.col("content")).otherwise(strip(F.concat(F.coalesce("content", F.lit("")), joined))))
+    last = F.try_element_at(F.filter(F.transform("f", lambda x: x["end_page"]), lambda x: x.isNotNull()), F.lit(-1))
+    return out.withColumn("end_page", F.coalesce(last, "end_page")).withColumn("is_leaf", F.when(F.col("inner"), 0).otherwise(1)).drop("f", "inner")
 
 
 def markdown_tree(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return finalize(with_parents(raw_sections(docs)), settings)
+    return finalize(with_parents(raw_sections(docs), MARKDOWN_LEVELS), settings)
 
 
 def tree_from_raw(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -123,9 +152,9 @@ def children(nodes: DataFrame, parent: Column | int | None) -> DataFrame:
     return nodes.where(F.col("parent_id").eqNullSafe(at)).orderBy("node_id")
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, steps: int = 3) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(…roots' columns, node_id) of all nodes at or below the roots (document_id, root, …). Each node names its ancestors, so one join is enough."""
-    up = ancestors(nodes.select("document_id", "node_id", "parent_id"), steps).select("document_id", "node_id", F.explode("up").alias("root"))
+    up = ancestors(nodes.select("document_id", "node_id", "parent_id")).select("document_id", "node_id", F.explode("up").alias("root"))
     return roots.join(up, ["document_id", "root"]).drop("root").distinct()
 
 

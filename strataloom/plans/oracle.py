@@ -92,7 +92,7 @@ chk as (select {keys}, unnest(done) as content, generate_subscripts(done, 1) - 1
 _PROSE = _strip(r"regexp_replace(regexp_replace({}, '-\s*\n\s*', '', 'g'), '\s+', ' ', 'g')")
 
 _VECTORS = """
-v as (select vec_id, label, label % 2 as document_id, embedding::double[] as e from embeddings),
+v as (select vec_id, label, label % {n} as document_id, embedding::double[] as e from embeddings),
 sim as (select q.vec_id as query_id, p.vec_id as chunk_id, p.label as node_id, greatest(0, round(list_dot_product(p.e, q.e) / (sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(q.e, q.e))), 4)) as similarity
   from v q join v p on q.document_id = p.document_id where q.vec_id % 20 = 0)"""
 
@@ -127,7 +127,7 @@ _CLASS = "case when heat >= 0.7 then 'high' when heat >= 0.5 then 'medium' when
 _SPANS = r"""
 sp0 as (select doc_id as document_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as p from documents where text is not null),
 sp as (select document_id, (p // 10 + 1)::int as page_no, (p % 10)::int as block_no,
-   case when p % 7 = 3 then '2.' || p || ' ' || regexp_replace(left(raw, 30), '[.!?,:;]+\s*$', '') else left(raw, 60) end as text,
+   case when p % 7 = 3 then '2.' || p || ' ' || regexp_replace(raw, '[.!?,:;]+\s*$', '') else raw end as text,
    case when p % 4 = 1 then 16.0 when p % 9 = 5 then 12.0 else 10.0 end::double as size, p % 2 = 0 as bold, (p % 10) * 40.0 as y0 from sp0)"""
 
 _LAYOUT = (
@@ -170,9 +170,9 @@ select n.document_id, n.node_id, level, heading, parent_id, path, start_line, en
     "node_chunks": "with recursive " + _TREE + "," + _chunks("select document_id, node_id, start_page as sp, end_page as ep, " + _PROSE.format("content") + r" as c from tree where not regexp_matches(content, '(?m)^\s*\|')", "document_id, node_id, sp, ep") + """
 select 'doc_' || document_id || '_node_' || node_id || '_p_' || p_idx as chunk_id, document_id, node_id, p_idx,
   case when coalesce(sp, 0) = 0 then -1 when n <= 1 or ep <= sp then sp else sp + round_even(p_idx::double * (ep - sp) / (n - 1), 0)::int end as start_page, length(content) as n_chars from chk""",
-    "knn": "with " + _VECTORS + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim) select * from r where rank <= 30",
-    "knn_scoped": "with " + _VECTORS + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim where query_id % 3 = 0 or node_id % 5 = query_id % 5) select * from r where rank <= 10",
-    "label_heat": f"with {_VECTORS}, r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim), h as (select query_id, node_id, round(max(similarity) * (1 + 0.1::double * log2(count(*))), 4) as heat from r where rank <= 30 group by 1, 2) select *, {_CLASS} as heat_class from h",
+    "knn": "with " + _VECTORS.format(n=1) + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim) select * from r where rank <= 30",
+    "knn_scoped": "with " + _VECTORS.format(n=2) + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim where query_id % 3 = 0 or node_id % 5 = query_id % 5) select * from r where rank <= 10",
+    "label_heat": f"with {_VECTORS.format(n=1)}, r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim), h as (select query_id, node_id, round(max(similarity) * (1 + 0.1::double * log2(count(*))), 4) as heat from r where rank <= 30 group by 1, 2) select *, {_CLASS} as heat_class from h",
     "rank_passages": f"with {_HITS} select query_id, chunk_id, node_id, similarity, round(bm25, 4) as bm25, round(lexical, 4) as lexical, hybrid_score, hybrid_rank from hit where hybrid_rank <= 10",
     "passage_heat": f"with {_HITS} select query_id, node_id, heat, {_CLASS} as heat_class from heat",
     "hottest_nodes": f"with {_HITS}, r as (select *, row_number() over (partition by query_id order by heat desc, first_rank, node_id) as heat_rank from heat) select query_id, node_id, heat, heat_rank from r where heat_rank <= 3",
@@ -182,6 +182,12 @@ w as (select query_id, 0::bigint as ord, 0 as used, []::varchar[] as blocks from
   union all select b.query_id, b.ord, case when used + n <= 200 then used + n else used end, case when used + n <= 200 then list_append(blocks, block) else blocks end from w join b on b.query_id = w.query_id and b.ord = w.ord + 1),
 e as (select query_id, arg_max(used, ord) as used, arg_max(blocks, ord) as blocks from w group by 1)
 select query_id, len(blocks) as n_blocks, used, md5(array_to_string(blocks, chr(10))) as blocks_md5 from e""",
+    "chain_sizes": "select o_custkey as document_id, o_orderkey as node_id, count(*) over (partition by o_custkey order by o_orderkey desc) as n_below from orders",
+    "chain_heat": "select o_custkey as document_id, o_orderkey as node_id, max(o_totalprice) over (partition by o_custkey order by o_orderkey desc) as heat from orders",
+    "raw_tree": """with recursive n as (select l_orderkey as document_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as node_id, greatest(1, l_quantity::int) as level, 'Line ' || l_linenumber as heading from lineitem),
+p as (select a.document_id, a.node_id, a.level, any_value(a.heading) as heading, max(b.node_id) as parent_id from n a left join n b on b.document_id = a.document_id and b.node_id < a.node_id and b.level < a.level group by 1, 2, 3),
+t as (select document_id, node_id, heading as path from p where parent_id is null union all select p.document_id, p.node_id, t.path || ' > ' || p.heading from p join t on t.document_id = p.document_id and t.node_id = p.parent_id)
+select p.document_id, p.node_id, p.level, p.parent_id, t.path, case when exists (select 1 from p c where c.document_id = p.document_id and c.parent_id = p.node_id) then 0 else 1 end as is_leaf from p join t on t.document_id = p.document_id and t.node_id = p.node_id""",
     "ancestor_heat": """with h as (select l_orderkey, max(l_extendedprice) as heat from lineitem group by 1),
 c as (select c_custkey, c_nationkey, max(heat) as heat from customer left join orders on o_custkey = c_custkey left join h on l_orderkey = o_orderkey group by 1, 2),
 n as (select n_nationkey, n_regionkey, max(heat) as heat from nation left join c on c_nationkey = n_nationkey group by 1, 2),
@@ -189,7 +195,7 @@ r as (select r_regionkey, max(heat) as heat from region left join n on n_regionk
 select 'c' || c_custkey as node_id, coalesce(heat, 0.0) as heat from c union all select 'n' || n_nationkey, coalesce(heat, 0.0) from n union all select 'r' || r_regionkey, coalesce(heat, 0.0) from r""",
     "frontier": "with r as (select o_custkey as query_id, o_orderkey as node_id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders) select query_id, node_id from r where k <= 8",
     "replies": """with k as (select event_id, event_type, json_extract_string(props, '$.k') as k from events) select event_id, '{"select": [' || k || ', "7", "x", 2.5], "confidence": "' || event_type || '"}' as repaired, event_type as confidence, case when k::int between 0 and 50 then k || ',7' else '7' end as ids from k where k is not null""",
-    "bookmarks": f"""with m as (select conv_id as document_id, (turn * 3 + conv_id % 3)::int as page, turn from conversations where role <> 'system' and {_strip("left(text, 20)")} <> ''),
+    "bookmarks": f"""with m as (select conv_id as document_id, (turn * 3 + conv_id % 3)::int as page, turn from conversations where role <> 'system' and {_strip("text")} <> ''),
 g as (select document_id, coalesce(lead(page) over (partition by document_id order by page, turn), 25) - page as gap from m)
 select document_id, count(*) as n, round(max(gap) / 24.0::double, 4) as share, count(*) >= 3 and max(gap) / 24.0::double <= 0.25 as usable from g group by 1""",
     "bookmark_tree": f"""with t as (select conv_id as document_id, turn, role, text from conversations where text is not null),
@@ -209,6 +215,6 @@ select document_id as query_id, node_id, case when is_leaf = 1 then 'target' els
     "boxes_outside": "with " + _SPANS + " select document_id, page_no, count(*) as n from sp where not (y0 >= 78 and y0 + 20 <= 182) group by 1, 2",
     "renumbered": """select p_partkey, case when p_size % 3 = 0 then '### ' || p_size || '.' || (p_size % 7) || '.1 ' when p_size % 3 = 1 then '# ' || p_size || ' ' else '# ' end || p_type || chr(10) || 'body # no' as markdown from part""",
     "golden": f"""with c as (select m.mode, i.text as t, i.item_id, d.doc_id, d.text as a from benchmark i, (values ('full', 0), ('flat', 3)) m(mode, shift), documents d where i.text is not null and d.text is not null and d.doc_id = i.item_id * 5 + m.shift),
-j as (select *, contains({_strip("regexp_replace(lower(a), '\\s+', ' ', 'g')")}, {_strip("regexp_replace(lower(left(t, 12)), '\\s+', ' ', 'g')")}) and not contains(lower(a), 'zzzz') as passed, item_id % 4 = doc_id % 3 as routed from c)
+j as (select *, contains({_strip("regexp_replace(lower(a), '\\s+', ' ', 'g')")}, {_strip("regexp_replace(lower(t), '\\s+', ' ', 'g')")}) and not contains(lower(a), 'zzzz') as passed, item_id % 4 = doc_id % 3 as routed from c)
 select mode, count(*) as n, count(*) filter (where passed) as n_passed, round(count(*) filter (where passed) / count(*)::double, 6) as pass_rate, count(*) filter (where routed) as n_routed, count(*) as n_routable, 1.0::double as mean_latency from j group by 1""",
 }

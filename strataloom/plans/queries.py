@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
 from ..functions.text import approx_tokens, char_ngrams, extractive_summary, fold, heat_class, repair_json, tokens, valid_ids, words
@@ -63,7 +64,7 @@ def table_chunks(spark, sf):
 
 
 def markdown_sections(spark, sf):
-    nodes = tree.with_parents(tree.raw_sections(markdown_docs(spark, sf)))
+    nodes = tree.with_parents(tree.raw_sections(markdown_docs(spark, sf)), tree.MARKDOWN_LEVELS)
     return nodes.select("document_id", "node_id", "level", "heading", "parent_id", "path", "start_line", "end_line", "start_page", "end_page", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
@@ -92,10 +93,11 @@ def node_chunks(spark, sf):
     return chunk.chunk_nodes(_tree(spark, sf)).select("chunk_id", "document_id", "node_id", "p_idx", "start_page", F.length("content").alias("n_chars"))
 
 
-def _vectors(spark, sf):
+def _vectors(spark, sf, documents: int = 1):
+    """Every twentieth vector as a query, all vectors as passages; of one document, or dealt to several by their label."""
     rows = read(spark, sf, "embeddings")
-    passages = rows.select((F.col("label") % 2).cast("bigint").alias("document_id"), F.col("label").alias("node_id"), F.col("vec_id").alias("chunk_id"), "embedding")
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).cast("bigint").alias("document_id"), F.col("embedding").alias("query_vector"))
+    passages = rows.select((F.col("label") % documents).cast("bigint").alias("document_id"), F.col("label").alias("node_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % documents).cast("bigint").alias("document_id"), F.col("embedding").alias("query_vector"))
     return queries, passages
 
 
@@ -106,7 +108,7 @@ def knn(spark, sf):
 
 def knn_scoped(spark, sf):
     """Only labels that the query's id allows; queries without any search their whole document."""
-    queries, passages = _vectors(spark, sf)
+    queries, passages = _vectors(spark, sf, 2)
     labels = spark.range(10).select(F.col("id").cast("int").alias("node_id"))
     scope = queries.where("query_id % 3 <> 0").select("query_id").join(F.broadcast(labels), F.col("node_id") % 5 == F.col("query_id") % 5)
     return retrieve.nearest(queries, passages, DEFAULT.context_passages, scope).select("query_id", "chunk_id", "node_id", "similarity", "rank")
@@ -169,6 +171,33 @@ def _star(spark, sf):
     return region.union(nation).union(customer).union(orders).withColumn("document_id", F.lit(0).cast("bigint"))
 
 
+def _long_chain(spark, sf):
+    """Orders of a customer as one chain, each the parent of the next: trees of any depth."""
+    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("node_id"))
+    return rows.withColumn("parent_id", F.lag("node_id").over(Window.partitionBy("document_id").orderBy("node_id")))
+
+
+def chain_sizes(spark, sf):
+    """Nodes at or below each node of the chains."""
+    nodes = _long_chain(spark, sf)
+    every = nodes.select("document_id", F.col("node_id").alias("root"), F.col("node_id").alias("top"))
+    return tree.subtree(nodes, every).groupBy("document_id", F.col("top").alias("node_id")).agg(F.count(F.lit(1)).alias("n_below"))
+
+
+def chain_heat(spark, sf):
+    """The greatest price at or below each node of the chains."""
+    heat = read(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("node_id"), F.col("o_totalprice").alias("heat"))
+    return retrieve.spread_heat(heat, cut(_long_chain(spark, sf))).select("document_id", "node_id", "heat")
+
+
+def raw_tree(spark, sf):
+    """Lines of an order as raw nodes whose levels go up and down by quantity, skip, and reach fifty."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.row_number().over(order).alias("seq"), F.col("l_quantity").cast("int").alias("level"), F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("heading"), F.col("l_returnflag").alias("content"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    nodes = tree.tree_from_raw(rows, Settings(max_tree_depth=50))
+    return nodes.select("document_id", "node_id", "level", "parent_id", "path", "is_leaf")
+
+
 def ancestor_heat(spark, sf):
     """The greatest line price below each region, nation and customer."""
     heat = read(spark, sf, "lineitem").groupBy(F.concat(F.lit("o"), "l_orderkey").alias("node_id")).agg(F.max("l_extendedprice").alias("heat")).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).cast("bigint").alias("document_id"), "node_id", "heat")
@@ -200,7 +229,7 @@ def replies(spark, sf):
 
 
 def bookmarks(spark, sf):
-    marks = read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("seq"), F.lit(1).alias("level"), F.when(F.col("role") == "system", "Blank Page").otherwise(F.left("text", F.lit(20))).alias("title"), (F.col("turn") * 3 + F.col("conv_id") % 3).cast("int").alias("page"), F.lit(24).alias("page_count"))
+    marks = read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("seq"), F.lit(1).alias("level"), F.when(F.col("role") == "system", "Blank Page").otherwise(F.col("text")).alias("title"), (F.col("turn") * 3 + F.col("conv_id") % 3).cast("int").alias("page"), F.lit(24).alias("page_count"))
     return layout.usable_bookmarks(marks).select("document_id", "n", F.round("share", 4).alias("share"), "usable")
 
 
@@ -215,7 +244,7 @@ def bookmark_tree(spark, sf):
 def spans_of(spark, sf):
     """Lines of documents as spans: ten lines a page, larger and bold ones in between, some numbered."""
     lines = read(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("p", "raw"))
-    text = F.when(F.col("p") % 7 == 3, F.concat(F.lit("2."), F.col("p").cast("string"), F.lit(" "), F.regexp_replace(F.left("raw", F.lit(30)), r"[.!?,:;]+\s*$", ""))).otherwise(F.left("raw", F.lit(60)))
+    text = F.when(F.col("p") % 7 == 3, F.concat(F.lit("2."), F.col("p").cast("string"), F.lit(" "), F.regexp_replace("raw", r"[.!?,:;]+\s*$", ""))).otherwise(F.col("raw"))
     size = F.when(F.col("p") % 4 == 1, 16.0).when(F.col("p") % 9 == 5, 12.0).otherwise(10.0)
     y = (F.col("p") % 10) * 40.0
     return lines.select("document_id", (F.floor(F.col("p") / 10) + 1).cast("int").alias("page_no"), (F.col("p") % 10).cast("int").alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("span_no"), F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 20).alias("y1"), text.alias("text"), size.alias("size"), F.when(F.col("p") % 2 == 0, 2).otherwise(0).alias("flags"))
@@ -244,8 +273,8 @@ def golden(spark, sf):
     docs = read(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").alias("answer"))
     modes = spark.createDataFrame([("full", 0), ("flat", 3)], "mode string, shift int")
     cases = items.join(F.broadcast(modes)).select("mode", F.col("text").alias("t"), "item_id", (F.col("item_id") * 5 + F.col("shift")).alias("doc_id"))
-    cases = cases.join(docs, "doc_id").select("mode", F.array(F.left("t", F.lit(12))).alias("expect_any"), F.array(F.lit("zzzz")).alias("forbid_any"), F.array((F.col("item_id") % 4).cast("bigint")).alias("expected_node_ids"), F.array((F.col("doc_id") % 3).cast("bigint")).alias("selected_node_ids"), "answer", F.lit(1.0).alias("latency"))
+    cases = cases.join(docs, "doc_id").select("mode", F.array(F.col("t")).alias("expect_any"), F.array(F.lit("zzzz")).alias("forbid_any"), F.array((F.col("item_id") % 4).cast("bigint")).alias("expected_node_ids"), F.array((F.col("doc_id") % 3).cast("bigint")).alias("selected_node_ids"), "answer", F.lit(1.0).alias("latency"))
     return evaluate.summary(evaluate.judge(cases)).select("mode", "n", "n_passed", F.round("pass_rate", 6).alias("pass_rate"), "n_routed", "n_routable", "mean_latency")
 
 
-QUERIES = {f.__name__: f for f in (text_features, ngram_counts, summaries, chunks, table_chunks, markdown_sections, folded_tree, tree_stats, subtree_sizes, descent_gate, node_chunks, knn, knn_scoped, label_heat, rank_passages, passage_heat, hottest_nodes, flat_context, fitting_blocks, ancestor_heat, descent, frontier, replies, bookmarks, bookmark_tree, layout_headings, boxes_outside, renumbered, golden)}
+QUERIES = {f.__name__: f for f in (text_features, ngram_counts, summaries, chunks, table_chunks, markdown_sections, folded_tree, tree_stats, subtree_sizes, descent_gate, node_chunks, knn, knn_scoped, label_heat, rank_passages, passage_heat, hottest_nodes, flat_context, fitting_blocks, chain_sizes, chain_heat, raw_tree, ancestor_heat, descent, frontier, replies, bookmarks, bookmark_tree, layout_headings, boxes_outside, renumbered, golden)}

@@ -6,9 +6,9 @@ links form components, the first paragraph of a component stays.
 
 Passages are also copied into the middle of other text. For these, blocks of BLOCK words are compared: they start where a run of three
 words has the least hash among NEAR neighbours (winnowing), so that two copies of any passage of NEAR + BLOCK - 1 words or more choose a
-common block inside it, wherever the copies stand. The first of equal blocks stays. Neighbouring blocks of a document that meet the same
-passage elsewhere are one run, and runs are extended on both sides, word by word, as far as both texts agree: a flank holds no block, so
-it has fewer than NEAR words.
+common block inside it, wherever the copies stand. The first of equal blocks stays. Blocks of a document that stand elsewhere as well and
+touch are one run, and runs are extended on both sides, word by word, as far as the text agrees that the first (last) block meets: a
+flank holds no block, so it has at most NEAR words.
 
 Removed paragraphs and runs of a document that overlap or touch are one removed span.
 """
@@ -196,7 +196,7 @@ def _place() -> list:
 
 
 def equal_runs(inner: DataFrame, docs: DataFrame) -> DataFrame:
-    """(i, th, first, stop, keep_i) of the runs of words that stand elsewhere as well, extended to their full length. inner: (h, h2, i, th, place) of blocks."""
+    """(i, th, first, stop, keep_i, keeps) of the runs of words that stand elsewhere as well, extended to their full length; keep_i holds the first part, keeps are all that hold a part. inner: (h, h2, i, th, place) of blocks."""
     # most blocks stand in one place and go here; only a key and a number are shuffled for that
     several = inner.select("h", F.xxhash64("i", "th", "place").alias("d")).groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h")
     several = cut(several)
@@ -209,29 +209,46 @@ def equal_runs(inner: DataFrame, docs: DataFrame) -> DataFrame:
     # a block that overlaps the one that stays would take that away
     same = (F.col("i") == F.col("keep_i")) & (F.col("th") == F.col("keep_th"))
     gone = gone.where(~same | (F.col("first") >= F.col("at") + BLOCK))
-    # blocks that meet the same text at the same distance, and touch or overlap
-    line = Window.partitionBy("i", "th", "keep_i", "keep_th", "shift").orderBy("first")
-    new = F.coalesce(F.col("first") - F.lag("first").over(line) > BLOCK, F.lit(True))
+    # blocks that touch or overlap are one run; so are neighbours with a small gap that meet the same text at the same distance
+    line = Window.partitionBy("i", "th").orderBy("first")
+    alike = F.coalesce(F.struct("keep_i", "keep_th", "shift") == F.lag(F.struct("keep_i", "keep_th", "shift")).over(line), F.lit(False))
+    gap = F.col("first") - F.lag("first").over(line) - BLOCK
+    new = F.coalesce(gap > F.when(alike, NEAR - BLOCK).otherwise(0), F.lit(True))
     runs = gone.withColumn("new", new).withColumn("k", F.count_if("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.groupBy("i", "th", "keep_i", "keep_th", "shift", "k").agg(F.min("first").alias("first"), (F.max("first") + BLOCK).alias("stop"))
+    end = F.struct("first", "keep_i", "keep_th", "shift")
+    runs = runs.groupBy("i", "th", "k").agg(F.min(end).alias("left"), F.max(end).alias("right"), F.collect_set("keep_i").alias("keeps"))
     runs = cut(runs.withColumn("id", F.monotonically_increasing_id()))
-    columns = "before array<bigint>, behind array<bigint>"
-    own = _words(docs, runs.select("i", "th", "id", "first", "stop"), _flanks, columns)
+    # before its first block and behind its last one a run may go on, as far as the text that it meets there does
+    own = {"left": ("i", "th", "left.first"), "right": ("i", "th", "right.first")}
+    met = {k: (f"{k}.keep_i", f"{k}.keep_th", f"{k}.at") for k in own}
+    sides = runs.select("id", "i", "th", *[F.struct(*[F.col(f"{k}.{c}").alias(c) for c in ("first", "keep_i", "keep_th", "shift")], (F.col(f"{k}.first") + F.col(f"{k}.shift")).alias("at")).alias(k) for k in own])
+    asked = None
+    for places in (own, met):
+        for x, y, z in places.values():
+            part = sides.select(F.col(x).alias("i"), F.col(y).alias("th"), F.col(z).alias("first"))
+            asked = part if asked is None else asked.unionByName(part)
     # many runs may meet one place, so each place is taken once
-    spots = {"i": F.col("keep_i"), "th": F.col("keep_th"), "first": F.col("first") + F.col("shift"), "stop": F.col("stop") + F.col("shift")}
-    there = cut(runs.select(*[x.alias(k) for k, x in spots.items()]).distinct().withColumn("id", F.monotonically_increasing_id()))
-    met = runs.select("id", *[x.alias(f"_{k}") for k, x in spots.items()]).join(there.select(F.col("id").alias("spot"), *[F.col(k).alias(f"_{k}") for k in spots]), [f"_{k}" for k in spots]).select("id", "spot")
-    other = met.join(_words(docs, there, _flanks, columns).toDF("spot", "before2", "behind2"), "spot").drop("spot")
+    spots = cut(asked.distinct().withColumn("stop", F.col("first") + BLOCK).withColumn("id", F.monotonically_increasing_id()))
+    flanks = spots.join(_words(docs, spots, _flanks, "before array<bigint>, behind array<bigint>"), "id")
 
     def agreed(a: str, b: str):
         """How many elements agree from the start."""
         unlike = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
         return F.when(unlike == 0, F.least(F.size(a), F.size(b))).otherwise(unlike - 1).cast("int")
 
-    grown = runs.join(own, "id").join(other, "id").select("i", "th", "keep_i", "keep_th", "shift", (F.col("first") - agreed("before", "before2")).alias("begin"), (F.col("stop") + agreed("behind", "behind2")).alias("stop"))
+    def grown(side: str, flank: str) -> DataFrame:
+        """(id, side: by how many words the run grows there)."""
+        out = sides.select("id", *[F.col(c).alias(f"_{n}") for n, c in enumerate(own[side])], *[F.col(c).alias(f"_{n + 3}") for n, c in enumerate(met[side])])
+        for n, name in ((0, "x"), (3, "y")):
+            out = out.join(flanks.select(*[F.col(c).alias(f"_{n + m}") for m, c in enumerate(("i", "th", "first"))], F.col(flank).alias(name)), [f"_{n}", f"_{n + 1}", f"_{n + 2}"])
+        return out.select("id", agreed("x", "y").alias(f"grow_{side}"))
+
+    out = runs.join(grown("left", "before"), "id").join(grown("right", "behind"), "id")
+    out = out.withColumn("stop", F.col("right.first") + BLOCK + F.col("grow_right"))
     # inside a document the copy that stays ends where the other may begin
-    grown = grown.withColumn("first", F.when(same, F.greatest("begin", F.col("stop") + F.col("shift"))).otherwise(F.col("begin")))
-    return grown.where("first < stop").select("i", "th", "first", "stop", "keep_i")
+    here = (F.col("i") == F.col("left.keep_i")) & (F.col("th") == F.col("left.keep_th"))
+    least = F.when(here, F.least(F.col("left.first"), F.col("left.first") + F.col("left.shift") + BLOCK)).otherwise(0)
+    return out.select("i", "th", F.greatest(least, F.col("left.first") - F.col("grow_left")).alias("first"), "stop", F.col("left.keep_i").alias("keep_i"), "keeps")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,13 +262,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = stored(sketches(docs, id_col, text_col))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    whole = paragraph_classes(found.where("k0 is not null"), source).select("i", "th", *_place(), "keep_i").distinct()
+    whole = paragraph_classes(found.where("k0 is not null"), source).select("i", "th", *_place(), "keep_i", F.array("keep_i").alias("keeps")).distinct()
     gone = whole.unionByName(equal_runs(found.where("k0 is null").drop(*KEYS), source))
     # overlapping or touching parts of a document
     line = Window.partitionBy("i", "th").orderBy("first", "stop")
     opened = gone.withColumn("new", F.coalesce(F.col("first") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     numbered = opened.withColumn("span", F.count_if("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = numbered.groupBy("i", "th", "span").agg(F.min("first").alias("first_word"), (F.max("stop") - 1).alias("last_word"), F.min(F.struct("first", "keep_i"))["keep_i"].alias("keep_doc_id"), F.sort_array(F.collect_set("keep_i")).alias("keep_doc_ids"))
+    spans = numbered.groupBy("i", "th", "span").agg(F.min("first").alias("first_word"), (F.max("stop") - 1).alias("last_word"), F.min(F.struct("first", "keep_i"))["keep_i"].alias("keep_doc_id"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("keeps")))).alias("keep_doc_ids"))
     return spans.select(F.col("i").alias("doc_id"), "first_word", "last_word", (F.col("last_word") - F.col("first_word") + 1).alias("n_words"), "keep_doc_id", "keep_doc_ids")
 
 

@@ -1,12 +1,14 @@
 """Exact token counts by prefix dynamic programming over a SentencePiece vocabulary.
 
 The vocabulary marks a word's start with U+2581 and has no piece in which that mark follows another character (checked when it is
-loaded). So no merge crosses the start of a word, and the count of a prefix obeys
+loaded), so no merge crosses the start of a word. Nor does one cross two neighbouring characters that stand side by side in no piece:
+there a word falls into segments that are encoded alone. So the count of a prefix obeys
 
-    count(prefix) = count(all words that end before it) + count(the part of the last word that lies in it)
+    count(prefix) = count(all segments that end before it) + count(the part of the last segment that lies in it)
 
-The first term is a running sum over words; the second comes from the word alone. Words repeat, so each worker keeps the counts of
-those it has met (at most CACHED of them). All questions about budgets and cuts are then answered from the stored sums.
+The first term is a running sum over words, and in a word over its segments; the second comes from the segment alone. Words repeat, so
+each worker keeps the counts of those it has met (at most CACHED of them). All questions about budgets and cuts are then answered from
+these sums, to the code point.
 """
 
 from __future__ import annotations
@@ -35,7 +37,13 @@ class PrefixCounter:
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         if any(MARK in piece.lstrip(MARK) for piece in pieces):
             raise ValueError("a piece crosses the start of a word; prefix sums by word would be wrong")
+        # without the mark that the library puts before a text, for segments inside a word: messages of a model that follow are merged
+        # into it, and this one says normalizer_spec { add_dummy_prefix: false }
+        with open(path, "rb") as file:
+            self.bare = sentencepiece.SentencePieceProcessor(model_proto=file.read() + b"\x1a\x02\x18\x00")
+        self.pairs = {piece[i : i + 2] for piece in map(self.model.id_to_piece, range(self.model.get_piece_size())) for i in range(len(piece) - 1)}
         self.known: dict[str, int] = {}
+        self.tables: dict[str, np.ndarray] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -64,36 +72,67 @@ class PrefixCounter:
                 known[""] = 1
         return list(map(known.__getitem__, words))
 
+    def table(self, word: str) -> np.ndarray:
+        """The count of each prefix of a word (as words gives it), from one code point on."""
+        if word in self.tables:
+            return self.tables[word]
+        marked = MARK + word.replace(" ", MARK)
+        # a segment of the word begins where its first character never follows the one before it in a piece
+        starts = [0, *(k for k in range(1, len(word)) if marked[k : k + 2] not in self.pairs), len(word)]
+        out, base = [], 0
+        for a, b in zip(starts, starts[1:]):
+            model = self.bare if a else self.model
+            counts = [base + len(x) for x in model.encode([word[a:k] for k in range(a + 1, b + 1)], num_threads=1)]
+            out += counts
+            base = counts[-1] if counts else base
+        if len(self.tables) >= CACHED // 10:
+            self.tables.clear()
+        self.tables[word] = np.array(out, np.int64)
+        return self.tables[word]
+
     def prefix(self, text: str) -> "Prefix":
         words = self.words(text)
         # every word but the first has one space more than its string
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        return Prefix(self, text, ends, np.cumsum(self.counts(words)))
+        return Prefix(self, text, words, ends, np.cumsum(self.counts(words)))
 
 
 class Prefix:
-    """Answers questions on one text from the counts stored at the ends of its words."""
+    """Answers questions on one text from the counts stored at the ends of its words, and from the tables of single words."""
 
-    def __init__(self, counter: PrefixCounter, text: str, ends: np.ndarray, sums: np.ndarray):
-        self.counter, self.text, self.ends, self.sums = counter, text, ends, sums
+    def __init__(self, counter: PrefixCounter, text: str, words: list[str], ends: np.ndarray, sums: np.ndarray):
+        self.counter, self.text, self.words, self.ends, self.sums = counter, text, words, ends, sums
 
     def count(self, at: int) -> int:
         """Tokens of text[:at]."""
         if at <= 0:
             return 0
-        j = bisect.bisect_right(self.ends, at) - 1
-        if j < 0:
-            return sum(self.counter.counts(self.counter.words(self.text[:at])))
-        rest = self.text[self.ends[j] + 1 : at].replace(MARK, " ")
-        return int(self.sums[j]) + (self.counter.counts([rest])[0] if at > self.ends[j] else 0)
+        at = min(at, len(self.text))
+        j = bisect.bisect_left(self.ends, at)
+        before, start = (int(self.sums[j - 1]), int(self.ends[j - 1]) + 1) if j else (0, 0)
+        # a space alone at the end is a token of its own
+        return before + (int(self.counter.table(self.words[j])[at - start - 1]) if at > start else 1)
+
+    def every(self) -> np.ndarray:
+        """The counts of all prefixes, from one code point to the whole text."""
+        out = []
+        for j, word in enumerate(self.words):
+            before = int(self.sums[j - 1]) if j else 0
+            out.append(np.concatenate([[before + 1] if j else [], before + self.counter.table(word)]))
+        return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
     def total(self) -> int:
         return int(self.sums[-1]) if len(self.sums) else 0
 
     def cut(self, budget: int) -> int:
-        """The length of the longest prefix that ends with a word and has at most budget tokens."""
-        j = bisect.bisect_right(self.sums, budget) - 1
-        return int(self.ends[j]) if j >= 0 else 0
+        """The length of the longest prefix that has at most budget tokens and does not end with a cut-off space; it may end inside a word."""
+        j = bisect.bisect_right(self.sums, budget)
+        whole = int(self.ends[j - 1]) if j else 0
+        if j == len(self.words):
+            return whole
+        before = int(self.sums[j - 1]) if j else 0
+        fits = np.flatnonzero(before + self.counter.table(self.words[j]) <= budget)
+        return (whole + 1 if j else 0) + int(fits[-1]) + 1 if len(fits) else whole
 
 
 def _counter(path: str) -> PrefixCounter:
@@ -107,7 +146,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit, cut_chars) of every whole text. cut_chars: the longest prefix of whole words within limit.
+    """(id, n_bytes, n_tokens, over_limit, cut_chars) of every whole text. cut_chars: the longest prefix within limit; it may end inside a word.
 
     A null text counts as empty (0 bytes, 0 tokens). Rows are independent: repeated ids stay, other columns are ignored, an empty
     table gives an empty result, and a very long text needs memory in proportion to its own length only.
@@ -131,6 +170,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     return source.mapInArrow(run, "i long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long").withColumnRenamed("i", id_col)
 
 
+def every_prefix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, counts): the token counts of all prefixes of a text, from one code point to the whole; an empty array for null or empty texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path)
+        for part, texts in slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([counter.prefix(x or "").every().astype("int32") for x in texts], pa.list_(pa.int32()))], ["i", "counts"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    return source.mapInArrow(run, "i long, counts array<int>").withColumnRenamed("i", id_col)
+
+
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ends, sums): code points up to each word's end, and the token count of the prefix that ends there; empty arrays for null or empty texts."""
 

@@ -47,7 +47,19 @@ def test_every_prefix(text):
     prefix = counter.prefix(text)
     for i in range(len(text) + 1):
         assert prefix.count(i) == len(counter.model.encode(text[:i]))
-    assert prefix.count(prefix.cut(5)) <= 5
+    brute = [len(counter.model.encode(text[:i])) for i in range(1, len(text) + 1)]
+    assert prefix.every().tolist() == brute
+    ok = [i for i, n in enumerate(brute, 1) if n <= 5 and not (text[i - 1] in " ▁" and i < len(text))]
+    assert prefix.count(prefix.cut(5)) <= 5 and prefix.cut(5) >= max(ok, default=0)
+
+
+def test_a_text_without_spaces_is_cut_inside():
+    counter = _counter()
+    for text in ("汉字没有空格" * 4000, "x" * 3000, "Donaudampfschifffahrt" * 100):
+        prefix = counter.prefix(text)
+        at = prefix.cut(1000)
+        assert 0 < at and prefix.total() == len(counter.model.encode(text))
+        assert len(counter.model.encode(text[:at])) <= 1000 and (at == len(text) or len(counter.model.encode(text[: at + 1])) > 1000)
 
 
 _KEPT = []

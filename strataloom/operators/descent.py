@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +48,30 @@ def heat_navigator(threshold: float = 0.3) -> Navigator:
     return decide
 
 
+def model_navigator(llm) -> Navigator:
+    """A language model chooses: each query's frontier becomes a prompt, which is asked in at most two tries. One row a query goes through Arrow; a reply that cannot be read gives nulls, and so ends the query."""
+    from ..sources.providers import ask, one_object
+
+    def texts(found: dict, key: str) -> list[str] | None:
+        ids = found.get(key)
+        return [str(x) for x in ids if isinstance(x, int | str) and not isinstance(x, bool)] if isinstance(ids, list) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [ask(llm, prompt, one_object) or {} for prompt in part["prompt"]]
+            yield pd.DataFrame({"query_id": part["query_id"], "select": [texts(x, "select") for x in found], "descend": [texts(x, "descend") for x in found], "confidence": [str(x["confidence"]).upper() if x.get("confidence") else None for x in found]})
+
+    def decide(frontier: DataFrame, step: int) -> DataFrame:
+        prompts = descent_prompt(frontier)
+        # a query without words has only its sections in the prompt
+        asked = frontier.select("query_id", "query").distinct() if "query" in frontier.columns else None
+        if asked is not None:
+            prompts = prompts.join(asked, "query_id").select("query_id", F.concat(F.col("prompt"), F.lit("\nQuestion: "), F.col("query")).alias("prompt"))
+        return prompts.mapInPandas(run, "query_id bigint, select array<string>, descend array<string>, confidence string")
+
+    return decide
+
+
 def descend(nodes: DataFrame, queries: DataFrame, heat: DataFrame, decide: Navigator, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(targets, descended, confidence): (query_id, document_id, node_id) twice, and (query_id, confidence) of the last round.
 
@@ -56,6 +81,8 @@ def descend(nodes: DataFrame, queries: DataFrame, heat: DataFrame, decide: Navig
     spark = nodes.sparkSession
     plain = nodes.select("document_id", "node_id", "parent_id", "level", "is_leaf", "heading", *[c for c in ("summary",) if c in nodes.columns])
     warm = heat.select("query_id", "node_id", "heat")
+    # the words of a question are for a navigator that reads them
+    known = queries.select("query_id", *(["query"] if "query" in queries.columns else []))
     front = queries.select("query_id", "document_id").join(plain.where("parent_id is null"), "document_id")
     ids = "query_id bigint, document_id bigint, node_id bigint"
     targets = descended = visited = None
@@ -66,7 +93,7 @@ def descend(nodes: DataFrame, queries: DataFrame, heat: DataFrame, decide: Navig
             break
         visited = shown.select("query_id", "node_id") if visited is None else visited.unionByName(shown.select("query_id", "node_id"))
         present = shown.groupBy("query_id").agg(F.collect_list(F.col("node_id").cast("bigint")).alias("present"))
-        replies = present.join(decide(shown, step), "query_id", "left")
+        replies = present.join(decide(shown.join(known, "query_id"), step), "query_id", "left")
         replies = _cut(replies.select("query_id", F.coalesce("confidence", F.when(F.col("select").isNull() & F.col("descend").isNull(), "LOW").otherwise("MEDIUM")).alias("confidence"), valid_ids(F.coalesce("select", F.array().cast("array<string>")), F.col("present")).alias("select"), valid_ids(F.coalesce("descend", F.array().cast("array<string>")), F.col("present")).alias("descend")))
         now = replies.select("query_id", "confidence", F.lit(step).alias("step"))
         last = now if last is None else last.unionByName(now)

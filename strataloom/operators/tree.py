@@ -101,9 +101,13 @@ def ancestors(nodes: DataFrame) -> DataFrame:
             return out
         joined = out.join(top, (F.col("document_id") == F.col("_d")) & (F.element_at("up", -1) == F.col("_n")), "left")
         out = cut(joined.select("document_id", "node_id", F.coalesce(F.concat("up", F.expr("slice(_up, 2, size(_up))")), F.col("up")).alias("up"), F.col("_up").isNotNull().alias("grew")))
-        if out.where("grew").isEmpty():
-            return out.drop("grew")
+        # one row
+        state = out.agg(F.max("grew").alias("grew"), F.max(F.size(F.array_distinct("up")) < F.size("up")).alias("again")).first()
+        if state["again"]:
+            break
         out = out.drop("grew")
+        if not state["grew"]:
+            return out
     raise ValueError("the parents of some nodes form a circle")
 
 

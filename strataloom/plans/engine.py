@@ -13,17 +13,25 @@ from ..functions.text import approx_tokens, extractive_summary
 from ..operators.checkpoints import cut
 from ..operators.chunk import chunk_nodes
 from ..operators.context import answer, extractive_answer, flat_context, heat_top, pack_context, scope, summary_blocks, synthesis_prompt
-from ..operators.descent import Navigator, descend, heat_navigator
+from ..operators.descent import Navigator, descend, heat_navigator, model_navigator
 from ..operators.retrieve import hash_vector, heat_map, nearest, rerank, spread_heat
 from ..operators.tree import markdown_tree, worth_descending
 from ..sources.providers import embed, generate
 from ..sources.store import Store
 
 
+def _works(call) -> bool:
+    try:
+        call()
+    except Exception:  # the answer is that it does not
+        return False
+    return True
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder=None, llm=None, navigator: Navigator | None = None, settings: Settings = DEFAULT):
         self.spark, self.settings, self.embedder, self.llm = spark, settings, embedder, llm
-        self.navigator = navigator or heat_navigator()
+        self.navigator = navigator or (model_navigator(llm) if llm else heat_navigator())
         self.store = Store(spark, root, getattr(embedder, "model_key", "hash:64"))
 
     def _vectors(self, rows: DataFrame, text_col: str) -> DataFrame:
@@ -51,9 +59,22 @@ class Engine:
     def table_of_contents(self, document_id: int) -> DataFrame:
         return self.store.nodes(document_id)
 
+    def document(self, document_id: int):
+        """The row of a document; KeyError for one that is not there."""
+        row = self.store.read("documents").where(F.col("document_id") == document_id).first()
+        if row is None:
+            raise KeyError(document_id)
+        return row
+
     def delete(self, document_id: int) -> None:
+        """KeyError for a document that is not there."""
+        self.document(document_id)
         self.store.delete(document_id)
 
+    def health(self) -> dict:
+        """Which parts answer: the store, and with a word each the embedder and the language model."""
+        return {"store": _works(lambda: self.store.read("documents").limit(1).count()), "embedder": _works(lambda: self.embedder.query("x")) if self.embedder else None, "llm": _works(lambda: self.llm.generate("x")) if self.llm else None}
+
     def query(self, queries: DataFrame) -> DataFrame:
         """queries (query_id, document_id, query[, ablation]) -> (query_id, answer, selected_node_ids, execution_policy, fallback_triggered, context_tokens, heatmap_scores, blocks, prompt)."""
         s = self.settings
@@ -90,7 +111,8 @@ class Engine:
         return known.select("query_id", said.alias("answer"), F.col("selected").alias("selected_node_ids"), F.col("policy").alias("execution_policy"), F.col("fallback").alias("fallback_triggered"), F.coalesce("context_tokens", F.lit(0)).alias("context_tokens"), "heatmap_scores", "blocks", "prompt")
 
     def stream(self, document_id: int, query: str) -> Iterator[str]:
-        """A line of JSON about the query, then the answer in pieces; the extractive answer if the model gives none."""
+        """A line of JSON about the query, then the answer in pieces; the extractive answer if the model gives none. KeyError for a document that is not there."""
+        self.document(document_id)
         row = self.query(self.spark.createDataFrame([(0, document_id, query)], "query_id bigint, document_id bigint, query string")).first()
         yield json.dumps({"selected_node_ids": row["selected_node_ids"] or [], "execution_policy": row["execution_policy"], "fallback_triggered": row["fallback_triggered"], "context_tokens": row["context_tokens"], "heatmap_scores": row["heatmap_scores"] or {}}, ensure_ascii=False) + "\n"
         said = False

@@ -20,8 +20,26 @@ def post(url: str, body: dict, headers: dict, timeout: float = 60) -> dict:
         return json.load(reply)
 
 
-def strip_think(text: str) -> str:
-    return re.sub(r"<think>.*?</think>", "", text or "", flags=re.S).strip()
+Lines = Callable[[str, dict, dict], Iterator[bytes]]
+
+
+def post_lines(url: str, body: dict, headers: dict, timeout: float = 60) -> Iterator[bytes]:
+    """The lines of a reply as they come."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        yield from reply
+
+
+def spoken(text: str | None) -> str:
+    """What a reply says, without the thoughts before it."""
+    said, rest = "", text or ""
+    while "<think>" in rest:
+        before, _, after = rest.partition("<think>")
+        said += before
+        thought, end, rest = after.partition("</think>")
+        if not end:
+            return (said + "<think>" + thought).strip()
+    return (said + rest).strip()
 
 
 class OllamaEmbedder:
@@ -58,20 +76,54 @@ class OpenAIEmbedder:
 
 
 class OllamaLLM:
-    def __init__(self, url: str, model: str, send: Post = post):
-        self.url, self.model, self.send = url, model, send
+    """options: temperature and the like; keep_alive and think are sent only if they are set."""
+
+    def __init__(self, url: str, model: str, send: Post = post, lines: Lines = post_lines, options: dict | None = None, keep_alive: str | None = None, think: bool | None = None):
+        self.url, self.model, self.send, self.lines = url, model, send, lines
+        self.extra = {k: v for k, v in (("options", options), ("keep_alive", keep_alive), ("think", think)) if v is not None}
+
+    def _body(self, prompt: str, stream: bool, json_mode: bool, temperature: float | None) -> dict:
+        body = {"model": self.model, "prompt": prompt, "stream": stream, **self.extra} | ({"format": "json"} if json_mode else {})
+        return body if temperature is None else body | {"options": {**self.extra.get("options", {}), "temperature": temperature}}
 
-    def generate(self, prompt: str, json_mode: bool = False) -> str:
-        return strip_think(self.send(f"{self.url}/api/generate", {"model": self.model, "prompt": prompt, "stream": False} | ({"format": "json"} if json_mode else {}), {})["response"])
+    def generate(self, prompt: str, json_mode: bool = False, temperature: float | None = None) -> str:
+        return spoken(self.send(f"{self.url}/api/generate", self._body(prompt, False, json_mode, temperature), {})["response"])
+
+    def generate_stream(self, prompt: str) -> Iterator[str]:
+        return ndjson_pieces(self.lines(f"{self.url}/api/generate", self._body(prompt, True, False, None), {}))
 
 
 class OpenAILLM:
-    def __init__(self, url: str, model: str, key: str = "", send: Post = post):
-        self.url, self.model, self.key, self.send = url, model, key, send
+    def __init__(self, url: str, model: str, key: str = "", send: Post = post, lines: Lines = post_lines, options: dict | None = None):
+        self.url, self.model, self.send, self.lines, self.extra = url, model, send, lines, options or {}
+        self.headers = {"Authorization": f"Bearer {key}"} if key else {}
 
-    def generate(self, prompt: str, json_mode: bool = False) -> str:
-        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}]} | ({"response_format": {"type": "json_object"}} if json_mode else {})
-        return strip_think(self.send(f"{self.url}/chat/completions", body, {"Authorization": f"Bearer {self.key}"} if self.key else {})["choices"][0]["message"]["content"])
+    def _body(self, prompt: str, stream: bool, json_mode: bool, temperature: float | None) -> dict:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.extra} | ({"response_format": {"type": "json_object"}} if json_mode else {})
+        return body | ({"stream": True} if stream else {}) | ({} if temperature is None else {"temperature": temperature})
+
+    def generate(self, prompt: str, json_mode: bool = False, temperature: float | None = None) -> str:
+        return spoken(self.send(f"{self.url}/chat/completions", self._body(prompt, False, json_mode, temperature), self.headers)["choices"][0]["message"]["content"])
+
+    def generate_stream(self, prompt: str) -> Iterator[str]:
+        return sse_pieces(self.lines(f"{self.url}/chat/completions", self._body(prompt, True, False, None), self.headers))
+
+
+EMBEDDERS, MODELS = {"ollama": OllamaEmbedder, "openai": OpenAIEmbedder}, {"ollama": OllamaLLM, "openai": OpenAILLM}
+
+
+def embedder(kind: str, url: str, model: str, **more):
+    """An embedder by the name of its kind; ValueError for a name that is not known."""
+    if kind.lower() not in EMBEDDERS:
+        raise ValueError(f"no embedder is called {kind}")
+    return EMBEDDERS[kind.lower()](url, model, **more)
+
+
+def language_model(kind: str, url: str, model: str, **more):
+    """A language model by the name of its kind; ValueError for a name that is not known."""
+    if kind.lower() not in MODELS:
+        raise ValueError(f"no language model is called {kind}")
+    return MODELS[kind.lower()](url, model, **more)
 
 
 def ndjson_pieces(lines: Iterator[bytes], key: str = "response") -> Iterator[str]:
@@ -100,7 +152,7 @@ def sse_pieces(lines: Iterator[bytes]) -> Iterator[str]:
 
 
 def ask(llm, prompt: str, parse: Callable[[str], dict | None], strict: str = "\nReply with one JSON object and nothing else.") -> dict | None:
-    """A parsed reply in at most two tries, the second one strict; None if neither can be read."""
+    """A parsed reply in at most two tries without chance, the second one strict; None if neither can be read."""
     for text, json_mode in ((prompt, False), (prompt + strict, True)):
         try:
             if (got := parse(llm.generate(text, json_mode))) is not None:
@@ -110,15 +162,20 @@ def ask(llm, prompt: str, parse: Callable[[str], dict | None], strict: str = "\n
     return None
 
 
-def clean_json(raw: str) -> dict | None:
-    """The object in a reply, or None."""
-    bare = strip_think(raw)
-    found = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", bare, re.S) or re.search(r"(\{.*\})", bare, re.S)
-    try:
-        got = json.loads(re.sub(r",\s*([}\]])", r"\1", found[1])) if found else None
-    except ValueError:
+def one_object(raw: str | None) -> dict | None:
+    """The outermost JSON object in a reply, or None. A comma before a closing bracket is forgiven."""
+    text = spoken(raw)
+    if (at := text.find("{")) < 0 or (end := text.rfind("}")) < at:
         return None
-    return got if isinstance(got, dict) else None
+    decoder = json.JSONDecoder()
+    for body in (text[at:], re.sub(r",(?=\s*[}\]])", "", text[at : end + 1])):
+        try:
+            got, _ = decoder.raw_decode(body)
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            return got
+    return None
 
 
 def embed(rows: DataFrame, embedder, text_col: str = "content", batch: int = 16) -> DataFrame:

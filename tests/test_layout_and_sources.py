@@ -102,8 +102,33 @@ def test_providers():
             return '{"a": 1}' if self.calls == 2 else "nothing"
 
     llm = Twice()
-    assert providers.ask(llm, "p", providers.clean_json) == {"a": 1} and llm.calls == 2
-    assert providers.clean_json('x {"a": 1,} y') == {"a": 1}
+    assert providers.ask(llm, "p", providers.one_object) == {"a": 1} and llm.calls == 2
+    assert providers.one_object('x {"a": 1,} y') == {"a": 1}
+    assert providers.one_object('<think>{"b": 2}</think>```JSON\n{"a": [1, 2,], "c": {}}\n```') == {"a": [1, 2], "c": {}}
+    assert providers.one_object("no") is None and providers.one_object(None) is None and providers.one_object("[1]") is None
+
+
+def test_streams_factories_and_options():
+    sent = []
+
+    def lines(url, body, headers):
+        sent.append((url, body, headers))
+        return iter([b'{"response": "a"}', b'data: {"choices": [{"delta": {"content": "b"}}]}', b"data: [DONE]"])
+
+    def send(url, body, headers):
+        sent.append((url, body, headers))
+        return {"response": "x", "choices": [{"message": {"content": "y"}}]}
+
+    first = providers.language_model("Ollama", "u", "m", send=send, lines=lines, options={"num_ctx": 9}, keep_alive="5m")
+    second = providers.language_model("openai", "u", "m", key="k", send=send, lines=lines)
+    assert list(first.generate_stream("p")) == ["a"] and sent[-1][1] == {"model": "m", "prompt": "p", "stream": True, "options": {"num_ctx": 9}, "keep_alive": "5m"}
+    assert list(second.generate_stream("p")) == ["b"] and sent[-1][1]["stream"] and sent[-1][2] == {"Authorization": "Bearer k"}
+    assert (first.generate("p", temperature=0), second.generate("p", True, 0)) == ("x", "y")
+    assert sent[-2][1]["options"] == {"num_ctx": 9, "temperature": 0} and sent[-1][1]["temperature"] == 0
+    assert isinstance(providers.embedder("OLLAMA", "u", "m"), providers.OllamaEmbedder)
+    for make in (providers.embedder, providers.language_model):
+        with pytest.raises(ValueError):
+            make("none", "u", "m")
 
 
 MD = "# Abstract\nKısa özet.\n" + "\n".join(f"## Bölüm {i}\nArşiv belgesi {i} hakkında metin. Deniz {'mavi' if i == 3 else 'gri'}." for i in range(6))
@@ -126,6 +151,10 @@ def test_engine_and_store(spark, tmp_path):
     engine.store.set_path("a.md", "/new.md")
     assert {r["file_path"] for r in engine.list_documents().collect()} == {"/new.md", "/b.md"}
     engine.delete(1)
+    for call in (lambda: engine.delete(77), lambda: engine.document(1), lambda: list(engine.stream(1, "x"))):
+        with pytest.raises(KeyError):
+            call()
+    assert engine.health() == {"store": True, "embedder": None, "llm": None}
     assert engine.store.read("chunks").select("document_id").distinct().collect()[0][0] == 2
     # another model: vectors go, documents stay
     again = Store(spark, str(tmp_path / "s"), "other")
@@ -137,13 +166,15 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "in" / "a.md").write_text("# A\nx")
     engine = Engine(spark, str(tmp_path / "s"))
     ingest.watch(spark, str(tmp_path / "in"), engine.index, str(tmp_path / "status"), str(tmp_path / "cp")).awaitTermination()
-    (tmp_path / "in" / "b.txt").write_text("y")
+    (tmp_path / "in" / "b.TXT").write_text("y")
+    (tmp_path / "in" / "c.md").write_text("z")
 
     def fails(rows):
-        raise ValueError("no")
+        if rows.where("filename = 'b.TXT'").count():
+            raise ValueError("no")
 
     ingest.watch(spark, str(tmp_path / "in"), fails, str(tmp_path / "status"), str(tmp_path / "cp")).awaitTermination()
     status = {(r["filename"], r["status"]) for r in spark.read.parquet(str(tmp_path / "status")).collect()}
-    assert status == {("a.md", "completed"), ("b.txt", "failed")}
+    assert status == {("a.md", "completed"), ("b.TXT", "failed"), ("c.md", "completed")}
     assert engine.list_documents().count() == 1
     assert spark.range(1).select(ingest.percentage(F.lit(1), F.lit(3)).alias("p")).first()["p"] == 33.3

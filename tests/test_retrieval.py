@@ -75,6 +75,23 @@ def test_descent_by_script(spark):
     assert walk(spark, [([], ["5"], "HIGH")]) == ({5}, set(), ["HIGH"])
 
 
+def test_descent_by_a_model(spark):
+    class Scripted:
+        """Replies by what the prompt shows; the first one of a round cannot be read."""
+
+        def generate(self, prompt, json_mode=False):
+            if not json_mode:
+                return "hm"
+            assert "Question: where" in prompt
+            return '{"select": ["2", 99], "descend": [3], "confidence": "high",}' if "[ID:2]" in prompt else '{"select": [4], "descend": []}' if "[ID:4]" in prompt else '{"descend": [1, "5"]}'
+
+    queries = spark.createDataFrame([(0, 0, "where")], "query_id bigint, document_id bigint, query string")
+    heat = spark.createDataFrame([(0, 1, 0.5)], "query_id bigint, node_id int, heat double")
+    targets, opened, sure = descent.descend(frontier_tree(spark), queries, heat, descent.model_navigator(Scripted()))
+    assert {r["node_id"] for r in targets.collect()} == {5, 2, 4} and {r["node_id"] for r in opened.collect()} == {1, 3}
+    assert [r["confidence"] for r in sure.collect()] == ["MEDIUM"]
+
+
 def test_frontier_and_prompt(spark):
     wide = spark.createDataFrame([(0, i, {49: 0.9, 10: 0.8}.get(i)) for i in range(50)], "query_id bigint, node_id int, heat double")
     kept = {r["node_id"] for r in descent.cap_frontier(wide, Settings(frontier_cap=5)).collect()}

@@ -73,3 +73,19 @@ def test_parents_like_a_stack(spark, levels):
         expected.append(stack[-1][0] if stack else None)
         stack.append((i, v))
     assert [r[0] for r in rows(tree.tree_from_raw(raw.withColumn("level", F.col("level"))), "parent_id")] == expected
+
+
+def test_deep_chains(spark):
+    nodes = spark.createDataFrame([(0, i, i - 1 if i else None) for i in range(21)], "document_id bigint, node_id int, parent_id int")
+    got = {r["node_id"]: r["up"] for r in tree.ancestors(nodes).collect()}
+    assert got == {i: list(range(i, -1, -1)) for i in range(21)}
+    circle = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "document_id bigint, node_id int, parent_id int")
+    with pytest.raises(ValueError):
+        tree.ancestors(circle)
+
+
+def test_any_levels(spark):
+    raw = lambda levels: spark.createDataFrame([(0, i, str(i), v, "", 1, 1) for i, v in enumerate(levels)], "document_id bigint, seq int, heading string, level int, content string, start_page int, end_page int")
+    assert rows(tree.tree_from_raw(raw([3, 40, 900, 40, 17, 0]), Settings(max_tree_depth=1000)), "parent_id", "path") == [(None, "0"), (1, "0 > 1"), (2, "0 > 1 > 2"), (1, "0 > 3"), (1, "0 > 4"), (None, "5")]
+    with pytest.raises(ValueError):
+        tree.with_parents(raw(range(1, tree.MAX_LEVELS + 2)))

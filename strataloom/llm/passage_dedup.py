@@ -1,6 +1,7 @@
 """Repeated passages: MinHash banding of paragraphs, and runs of equal words inside them.
 
-A paragraph is a line of at least WORDS words. Paragraphs get BANDS bands of ROWS MinHashes over their runs of WORDS words (so a pair of
+A paragraph is a line of at least PARAGRAPH words, three shingles' width (a parameter; shorter lines that repeat are mostly boilerplate,
+which is the line deduplication's task). Paragraphs get BANDS bands of ROWS MinHashes over their runs of WORDS words (so a pair of
 similarity 0.8 meets with a probability of 0.997); those that share a band are verified by the exact Jaccard similarity of these runs,
 links form components, the first paragraph of a component stays.
 
@@ -26,19 +27,19 @@ from pyspark.sql.window import Window
 from .cluster import among, contrast_sets, link_classes, placed, shared_buckets, with_contents
 from .common import cut, hash_words, mix, slices, stored, table, windows
 
-WORDS, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 24, 26, 0.8, 8, 3
+WORDS, PARAGRAPH, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 15, 24, 26, 0.8, 8, 3
 KEYS = [f"k{b}" for b in range(BANDS)]
 _MOST = np.uint64(2**64 - 1)
 
 
-def paragraphs(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of the text, and first and last word + 1 of each line of at least WORDS words."""
+def paragraphs(text: str, least: int = PARAGRAPH) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of the text, and first and last word + 1 of each line of at least least words (WORDS or more)."""
     words, edges = [], [0]
     for line in text.split("\n"):
         words += line.split()
         edges.append(len(words))
     bounds = np.array(edges)
-    whole = np.flatnonzero(np.diff(bounds) >= WORDS)
+    whole = np.flatnonzero(np.diff(bounds) >= max(least, WORDS))
     return words, bounds[whole], bounds[whole + 1]
 
 
@@ -91,12 +92,12 @@ def _run_hash(sums: np.ndarray, hashes: np.ndarray, first: np.ndarray, stop: np.
         return mix(sums[stop - 1] - sums[first] + mix(hashes[stop - 1], seed + 2) + (stop - first).astype(np.uint64), seed).view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PARAGRAPH) -> DataFrame:
     """(h, h2, i, th, place, k0, k1, …): a row for each paragraph and block; h and h2 are hashes of its words, place is first word << 32 | last word + 1, the k are its bands (null for a block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
-            found = [paragraphs(text or "") for text in texts]
+            found = [paragraphs(text or "", least) for text in texts]
             lengths = np.array([len(w) for w, _, _ in found], np.int64)
             start = np.concatenate([[0], np.cumsum(lengths)])
             hashes = hash_words([w for words, _, _ in found for w in words])
@@ -251,16 +252,16 @@ def equal_runs(inner: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("i", "th", F.greatest(least, F.col("left.first") - F.col("grow_left")).alias("first"), "stop", F.col("left.keep_i").alias("keep_i"), "keeps")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PARAGRAPH) -> DataFrame:
     """(doc_id, first_word, last_word, n_words, keep_doc_id, keep_doc_ids): the spans to remove from each document, by places of its words.
 
     keep_doc_id is the document that keeps the first part of the span, keep_doc_ids all that keep a part of it; it may be the document
     itself, whose later copies of a passage go. Rows with a null id are left out, null and empty texts have no paragraphs; rows with equal
-    id and text are one document and have their spans once. Lines of fewer than WORDS words are no paragraphs, texts of fewer than BLOCK
+    id and text are one document and have their spans once. Lines of fewer than least words are no paragraphs, texts of fewer than BLOCK
     words have no blocks. Ties are settled by (id, hash of the text, place). Other columns are ignored, whatever their names; an empty
     table gives an empty result. A very long text needs memory in proportion to its own length only.
     """
-    found = stored(sketches(docs, id_col, text_col))
+    found = stored(sketches(docs, id_col, text_col, least))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     whole = paragraph_classes(found.where("k0 is not null"), source).select("i", "th", *_place(), "keep_i", F.array("keep_i").alias("keeps")).distinct()
     gone = whole.unionByName(equal_runs(found.where("k0 is null").drop(*KEYS), source))

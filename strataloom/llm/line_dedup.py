@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines (128 bits of hash of the line without outer white space) are one item. An item's shingles are all its runs of SHINGLE code
-points, in lower case (a shorter line is one shingle). For lines of few shingles each MinHash has a hash function of its own; for others
-one hash of each shingle is sorted, its top bits deal it to one of BINS bins, and the least hash of a bin is its MinHash (one
-permutation, an empty bin takes the next full one's). Lines near the limit get both. ROWS MinHashes form a band; BANDS bands find a pair
-of similarity 0.8 with a probability of 0.99 or more. Items that share a band are verified by the exact Jaccard similarity of their
-shingles. Components of the links keep their first line; later lines go.
+Equal lines (128 bits of hash of the line without outer white space) are one item, made before anything else is computed. An item's
+shingles are all its runs of SHINGLE code points, in lower case (a shorter line is one shingle). Each shingle is a row, and a MinHash is
+a least value of a hash function over the rows of an item, so that hashes and least values run in generated code; shingles are rows
+inside a task only, as they are grouped by the key that items are dealt by. ROWS MinHashes form a band; BANDS bands find a pair of
+similarity 0.8 with a probability of 0.997. Items that share a band are verified by the exact Jaccard similarity of their shingles.
+Components of the links keep their first line; later lines go.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from .cluster import alike_sets, among, contrast_sets, link_classes, placed, sha
 from .common import cut, let, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 8, 3
-#: Bins of the one permutation, a power of two of at least BANDS * ROWS.
-BINS = 32
+#: Shingles that start in a piece of a line.
+PIECE = 32
 # one match at each code point that a whole shingle follows, or one for a shorter line
 _EACH = rf"(?s)(?=(.{{{SHINGLE}}}|\A.{{1,{SHINGLE - 1}}}\z))."
-#: Lines of more distinct shingles are dense.
-SPARSE = 40
+# pieces that hold each of these shingles once, and cost no walk from the line's start
+_PIECES = rf"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}}|\A.{{1,{SHINGLE - 1}}}\z)).{{1,{PIECE}}}"
 _SPACE = " \t\r\x0b\x0c"
 
 
@@ -35,26 +35,22 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
 
 
-def _bands(mins: Column, kind: int) -> Column:
-    return let(mins, lambda m: F.array(*[F.xxhash64(F.lit(kind + b), *[F.get(m, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]))
+def shingle_rows(items: DataFrame, *keep: str) -> DataFrame:
+    """(keep, s): a row with the hash of 64 bits for each shingle of line, repeated ones included."""
+    pieces = items.select(*keep, F.explode(F.regexp_extract_all(F.lower("line"), F.lit(_PIECES), F.lit(1))).alias("piece"))
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (SHINGLE - 1), F.lit(1))))
+    return pieces.select(*keep, "piece", starts.alias("at")).select(*keep, F.xxhash64(F.col("piece").substr(F.col("at"), F.lit(SHINGLE))).alias("s"))
 
 
-def band_keys(line: Column) -> Column:
-    """2 * BANDS keys of a line with a character that is not white space: BANDS for lines of at most SPARSE shingles, BANDS for lines of at least SIMILARITY * SPARSE; null where they do not apply."""
-    shift = 65 - BINS.bit_length()
-    none = F.array_repeat(F.lit(None).cast("long"), BANDS)
-    # sorted as signed numbers: bins are contiguous, and the first of each is its least
-    new = lambda all_, h, i: F.coalesce(F.shiftrightunsigned(h.bitwiseXOR(F.get(all_, i - 1)), shift) != 0, F.lit(True))
-    firsts = lambda all_: F.filter(all_, lambda h, i: new(all_, h, i))
-    slot = lambda h: F.shiftright(h, shift).cast("int")
-    # each stands for its own bin and for the empty ones before it; the first also for those after the last
-    span = lambda m: F.transform(m, lambda h, i: F.array_repeat(h, slot(h) - F.coalesce(slot(F.get(m, i - 1)), F.lit(-1 - BINS // 2))))
-    rest = lambda m: F.array(F.array_repeat(F.get(m, F.lit(0)), F.lit(BINS // 2 - 1) - slot(F.element_at(m, -1))))
-    dense = lambda all_: _bands(let(let(F.sort_array(all_), firsts), lambda m: F.when(F.size(m) == BINS, m).otherwise(F.flatten(F.concat(span(m), rest(m))))), 100)
-    # few shingles would leave bins empty and bands alike by chance; they get a hash function for each MinHash
-    least = lambda all_, j: F.array_min(F.transform(all_, lambda h: F.xxhash64(h, F.lit(j))))
-    sparse = lambda all_: _bands(F.array(*[least(all_, j) for j in range(BANDS * ROWS)]), 0)
-    return let(shingle_set(line), lambda h: F.concat(F.when(F.size(h) <= SPARSE, sparse(h)).otherwise(none), F.when(F.size(h) >= SIMILARITY * SPARSE, dense(h)).otherwise(none)))
+def band_keys(items: DataFrame) -> DataFrame:
+    """(h1, h2, n, k0, ...) of items (h1, h2, n, line) of distinct lines with a character that is not white space: BANDS keys each."""
+    halves = []
+    for j in range(-(-BANDS * ROWS // 2)):
+        # one hash gives the values of two functions
+        h = F.xxhash64(F.col("s").bitwiseXOR(F.lit(j + 1).cast("long")))
+        halves += [h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)]
+    mins = shingle_rows(items, "h1", "h2", "n").groupBy("h1", "h2").agg(F.max("n").alias("n"), *[F.min(x).alias(f"m{i}") for i, x in enumerate(halves[: BANDS * ROWS])])
+    return mins.select("h1", "h2", "n", *[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)])
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,12 +66,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The first line of a class by (id, hash of the text, place) stays. Rows with equal id and text are one document.
     """
     lines = lines_of(docs, id_col, text_col)
-    keyed = lines.select("h1", "h2", band_keys(F.col("line")).alias("keys"))
-    keyed = keyed.select("h1", "h2", *[F.get("keys", F.lit(b)).alias(f"k{b}") for b in range(2 * BANDS)])
-    # equal lines have equal keys; sums and least values fit the fast aggregate
-    items = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(2 * BANDS)])
-    items = cut(items.withColumn("id", F.monotonically_increasing_id()))
-    bands = items.select("id", F.explode(F.array_compact(F.array(*[f"k{b}" for b in range(2 * BANDS)]))).alias("key"))
+    distinct = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    items = cut(band_keys(distinct).withColumn("id", F.monotonically_increasing_id()))
+    bands = items.select("id", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
     buckets = cut(shared_buckets(bands))
     wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", "id")
     # any of the equal lines gives the text

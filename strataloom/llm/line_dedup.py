@@ -10,6 +10,9 @@ Components of the links keep their first line; later lines go.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,9 @@ def band_keys(items: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(i, th, pos, line, h1, h2) of each line with more than white space; line is without outer white space."""
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("i", "th", "pos", F.btrim("raw", F.lit(_SPACE)).alias("line")).where("line <> ''")
+    # btrim walks the whole line, so only lines with something to take off go through it
+    edge = reduce(or_, [test(F.lit(x)) for x in _SPACE for test in (F.col("raw").startswith, F.col("raw").endswith)])
+    rows = rows.select("i", "th", "pos", F.when(edge, F.btrim("raw", F.lit(_SPACE))).otherwise(F.col("raw")).alias("line")).where("line <> ''")
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit("second")))
 
 

@@ -32,10 +32,10 @@ def _folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table in the folder of checkpoints and read again: smaller than a checkpoint, and a reader takes only the columns that it needs."""
+def stored(df: DataFrame, **options) -> DataFrame:
+    """df, written as a table in the folder of checkpoints and read again: smaller than a checkpoint, and a reader takes only the columns that it needs. options: the writer's."""
     path = f"{_folder(df.sparkSession)}/strataloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -66,14 +66,14 @@ def per_worker(key: str, make: Callable):
     return kept[key]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Cuts each batch to slices of SLICE_CHARS code points, so that temporary arrays stay small."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Cuts each batch to slices of size code points, so that temporary arrays stay small."""
     for batch in batches:
         texts = batch.column(column)
         lengths = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
         start = total = 0
         for i, n in enumerate(lengths.tolist()):
-            if total and total + n > SLICE_CHARS:
+            if total and total + n > size:
                 part = batch.slice(start, i - start)
                 yield part, part.column(column).to_pylist()
                 start, total = i, 0

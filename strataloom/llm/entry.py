@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, passage_dedup, periodic_runs, quality, sharding, token_counts, token_links
+from . import byte_bpe, decontaminate, html_text, language_id, language_model, line_dedup, near_dedup, passage_dedup, periodic_runs, quality, sharding, token_counts, token_links
 
-MODULES = (language_id, html_text, token_counts, sharding, quality, decontaminate, line_dedup, near_dedup, passage_dedup, byte_bpe, periodic_runs, token_links)
+MODULES = (language_id, html_text, token_counts, sharding, quality, decontaminate, line_dedup, near_dedup, passage_dedup, byte_bpe, language_model, token_links, periodic_runs)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
 from ..functions.text import char_ngrams, containment, let, tokens
+from .vectors import exactly
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -20,16 +21,9 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int, scope: DataFrame |
     """(query_id, passage columns, similarity, rank): the k passages of the query's document that are nearest, exactly.
 
     queries (query_id, document_id, query_vector), passages (document_id, node_id, chunk_id, embedding, …). scope (query_id, node_id)
-    keeps a query to its nodes; a query without a row in it searches its whole document. Passages meet only queries of their document,
-    and the rank filter drops all but k in each task before the last shuffle.
+    keeps a query to its nodes; a query without a row in it searches its whole document. vectors.Index searches a part of the passages.
     """
-    pairs = passages.join(queries.select("query_id", "document_id", "query_vector"), "document_id")
-    if scope is not None:
-        limited = scope.select("query_id").distinct().withColumn("_limited", F.lit(True))
-        inside = scope.select("query_id", "node_id").distinct().withColumn("_inside", F.lit(True))
-        pairs = pairs.join(limited, "query_id", "left").join(inside, ["query_id", "node_id"], "left").where("_limited is null or _inside").drop("_limited", "_inside")
-    scored = pairs.withColumn("similarity", F.greatest(F.lit(0.0), F.round(cosine(F.col("embedding"), F.col("query_vector")), 4))).drop("embedding", "query_vector")
-    return top(scored, k, F.desc("similarity"), F.asc("chunk_id"))
+    return exactly(queries, passages, k, scope)
 
 
 def top(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:

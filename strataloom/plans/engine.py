@@ -61,7 +61,7 @@ class Engine:
 
     def document(self, document_id: int):
         """The row of a document; KeyError for one that is not there."""
-        row = self.store.read("documents").where(F.col("document_id") == document_id).first()
+        row = self.store.document(document_id)
         if row is None:
             raise KeyError(document_id)
         return row

@@ -171,6 +171,9 @@ select n.document_id, n.node_id, level, heading, parent_id, path, start_line, en
 select 'doc_' || document_id || '_node_' || node_id || '_p_' || p_idx as chunk_id, document_id, node_id, p_idx,
   case when coalesce(sp, 0) = 0 then -1 when n <= 1 or ep <= sp then sp else sp + round_even(p_idx::double * (ep - sp) / (n - 1), 0)::int end as start_page, length(content) as n_chars from chk""",
     "knn": "with " + _VECTORS.format(n=1) + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim) select * from r where rank <= 30",
+    "knn_index_exact": "with " + _VECTORS.format(n=1) + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim) select * from r where rank <= 10",
+    "store_versions": """select doc_id as document_id, source as filename, len(string_split(text, chr(10))) as n_lines, md5(case when doc_id % 3 = 0 then array_to_string(list_transform(string_split(text, chr(10)), lambda x: '> ' || x), chr(10)) else text end) as text_md5,
+  case when doc_id % 3 = 0 then 5 else length(text) end as n_chars from documents where text is not null and doc_id % 7 <> 0""",
     "knn_scoped": "with " + _VECTORS.format(n=2) + ", r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim where query_id % 3 = 0 or node_id % 5 = query_id % 5) select * from r where rank <= 10",
     "label_heat": f"with {_VECTORS.format(n=1)}, r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from sim), h as (select query_id, node_id, round(max(similarity) * (1 + 0.1::double * log2(count(*))), 4) as heat from r where rank <= 30 group by 1, 2) select *, {_CLASS} as heat_class from h",
     "rank_passages": f"with {_HITS} select query_id, chunk_id, node_id, similarity, round(bm25, 4) as bm25, round(lexical, 4) as lexical, hybrid_score, hybrid_rank from hit where hybrid_rank <= 10",

@@ -6,15 +6,18 @@ a tree as well. Questions are the benchmark's texts, each asked of one source.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Settings
 from ..functions.text import approx_tokens, char_ngrams, extractive_summary, fold, heat_class, repair_json, tokens, valid_ids, words
-from ..operators import chunk, context, evaluate, layout, retrieve, tree
+from ..operators import chunk, context, evaluate, layout, retrieve, tree, vectors
 from ..operators import descent as descent_module
-from ..operators.checkpoints import cut
+from ..operators.checkpoints import cut, shared_folder
+from ..sources.store import Store
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -106,6 +109,38 @@ def knn(spark, sf):
     return retrieve.nearest(queries, passages, DEFAULT.scoped_top_k).select("query_id", "chunk_id", "node_id", "similarity", "rank")
 
 
+def knn_index(spark, sf):
+    """The same search in an index, in as many cells as reach a recall of 0.95; similarities are exact, a neighbour may be missing."""
+    queries, passages = _vectors(spark, sf)
+    index = vectors.build(passages)
+    index = vectors.Index(index.centers, cut(index.rows))
+    cells, _ = vectors.probes(index, queries, DEFAULT.scoped_top_k)
+    return index.search(queries, DEFAULT.scoped_top_k, cells).select("query_id", "chunk_id", "node_id", "similarity", "rank")
+
+
+def knn_index_exact(spark, sf):
+    """The index with all cells open, which is exact."""
+    queries, passages = _vectors(spark, sf)
+    index = vectors.build(passages)
+    return index.search(queries, DEFAULT.context_passages, len(index.centers)).select("query_id", "chunk_id", "node_id", "similarity", "rank")
+
+
+def store_versions(spark, sf):
+    """Documents and their lines go through the store: all are added, a third is indexed again as quotations, a seventh deleted, and all is read after a compaction."""
+    found = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "none")
+    docs = read(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.lit("/").alias("file_path"), "text")
+    nodes = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("node_id", "content"), F.col("filename").alias("heading"))
+    chunks = docs.select("document_id", F.col("document_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    found.add(docs, nodes, chunks)
+    third = F.col("document_id") % 3 == 0
+    found.add(docs.where(third), nodes.where(third).withColumn("content", F.concat(F.lit("> "), "content")), chunks.where(third).withColumn("content", F.lit("again")))
+    found.delete_all(docs.where("document_id % 7 = 0"))
+    found.compact()
+    lines = found.read("nodes").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "content"))), lambda x: x["content"]), "\n").cast("binary")).alias("text_md5"))
+    kept = found.read("documents").join(lines, "document_id").join(found.read("chunks").select("document_id", F.length("content").alias("n_chars")), "document_id")
+    return kept.select("document_id", "filename", "n_lines", "text_md5", "n_chars")
+
+
 def knn_scoped(spark, sf):
     """Only labels that the query's id allows; queries without any search their whole document."""
     queries, passages = _vectors(spark, sf, 2)
@@ -277,4 +312,4 @@ def golden(spark, sf):
     return evaluate.summary(evaluate.judge(cases)).select("mode", "n", "n_passed", F.round("pass_rate", 6).alias("pass_rate"), "n_routed", "n_routable", "mean_latency")
 
 
-QUERIES = {f.__name__: f for f in (text_features, ngram_counts, summaries, chunks, table_chunks, markdown_sections, folded_tree, tree_stats, subtree_sizes, descent_gate, node_chunks, knn, knn_scoped, label_heat, rank_passages, passage_heat, hottest_nodes, flat_context, fitting_blocks, chain_sizes, chain_heat, raw_tree, ancestor_heat, descent, frontier, replies, bookmarks, bookmark_tree, layout_headings, boxes_outside, renumbered, golden)}
+QUERIES = {f.__name__: f for f in (text_features, ngram_counts, summaries, chunks, table_chunks, markdown_sections, folded_tree, tree_stats, subtree_sizes, descent_gate, node_chunks, knn, knn_index, knn_index_exact, knn_scoped, store_versions, label_heat, rank_passages, passage_heat, hottest_nodes, flat_context, fitting_blocks, chain_sizes, chain_heat, raw_tree, ancestor_heat, descent, frontier, replies, bookmarks, bookmark_tree, layout_headings, boxes_outside, renumbered, golden)}

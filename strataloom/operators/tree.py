@@ -162,6 +162,54 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.join(up, ["document_id", "root"]).drop("root").distinct()
 
 
+def intervals(nodes: DataFrame) -> DataFrame:
+    """(document_id, node_id, first, last, n_below): numbers of the nodes of a document in the order of its tree, siblings by id; those from first to last are the node and all below it, n_below of them.
+
+    A walk around the tree enters and leaves each node once. Each of these steps knows the next one, and how many nodes are entered from
+    a step on is found by pointer jumping: in every round a step adds what its next one has counted and takes that one's next. So rows
+    stay twice the nodes, however deep a tree is, and rounds are the logarithm of the largest tree. Roots follow each other; a node whose
+    parent is not there is a root. Parents in a circle are an error.
+    """
+    own = nodes.select("document_id", F.col("node_id").cast("bigint").alias("v"), F.col("parent_id").cast("bigint").alias("p"))
+    there = own.select("document_id", F.col("v").alias("p"), F.lit(True).alias("there"))
+    own = own.join(there, ["document_id", "p"], "left").withColumn("p", F.when(F.col("there"), F.col("p"))).drop("there")
+    siblings = Window.partitionBy("document_id", "p").orderBy("v")
+    own = own.withColumn("after", F.lead("v").over(siblings))
+    down = own.where("p is not null").groupBy("document_id", F.col("p").alias("v")).agg(F.min("v").alias("child"))
+    enter, leave = lambda x: F.col(x) * 2, lambda x: F.col(x) * 2 + 1
+    walk = own.join(down, ["document_id", "v"], "left").select(
+        "document_id",
+        F.inline(F.array(
+            F.struct(enter("v").alias("step"), F.coalesce(enter("child"), leave("v")).alias("next"), F.lit(1).cast("bigint").alias("n")),
+            F.struct(leave("v").alias("step"), F.coalesce(enter("after"), leave("p")).alias("next"), F.lit(0).cast("bigint").alias("n")),
+        )),
+    )
+    walk = cut(walk)
+    # a jump doubles what a step has counted, so the longest walk ends after the logarithm of all steps
+    for _ in range(walk.count().bit_length() + 1):
+        open_ = walk.where("next is not null")
+        if open_.isEmpty():
+            break
+        further = walk.select("document_id", F.col("step").alias("next"), F.col("next").alias("then"), F.col("n").alias("more"))
+        walk = cut(walk.where("next is null").unionByName(open_.join(further, ["document_id", "next"]).select("document_id", "step", F.col("then").alias("next"), (F.col("n") + F.col("more")).alias("n"))))
+    else:
+        if not walk.where("next is not null").isEmpty():
+            raise ValueError("the parents of some nodes form a circle")
+    # nodes entered from a step on to the document's end
+    by_node = walk.groupBy("document_id", F.shiftright("step", 1).alias("node_id")).agg(F.max(F.when(F.col("step") % 2 == 0, F.col("n"))).alias("from"), F.max(F.when(F.col("step") % 2 == 1, F.col("n"))).alias("behind"))
+    whole = by_node.groupBy("document_id").agg(F.max("from").alias("whole"))
+    first = F.col("whole") - F.col("from") + 1
+    n_below = F.col("from") - F.col("behind")
+    return by_node.join(whole, "document_id").select("document_id", "node_id", first.alias("first"), (first + n_below - 1).alias("last"), n_below.alias("n_below"))
+
+
+def below(numbered: DataFrame, roots: DataFrame) -> DataFrame:
+    """(…roots' columns, node_id) of all nodes at or below the roots (document_id, root, …), from intervals: a test of ranges within the document."""
+    top = numbered.select("document_id", F.col("node_id").alias("root"), F.col("first").alias("_from"), F.col("last").alias("_to"))
+    open_ = roots.withColumn("root", F.col("root").cast("bigint")).join(top, ["document_id", "root"])
+    return open_.join(numbered.select("document_id", "node_id", "first"), "document_id").where("first between _from and _to").drop("root", "_from", "_to", "first").distinct()
+
+
 def abstract_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.lower(strip(F.col("heading"))).isin(*ABSTRACTS))
 

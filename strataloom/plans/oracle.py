@@ -166,6 +166,10 @@ select n.document_id, n.node_id, level, heading, parent_id, path, start_line, en
     "folded_tree": "with recursive " + _FOLDED,
     "tree_stats": "with recursive " + _TREE + " select level, count(*) as n, count(*) filter (where is_leaf = 1) as leaves from tree group by level",
     "subtree_sizes": "with recursive " + _TREE + _UP + " select document_id, a as node_id, count(*) as n_below from up group by 1, 2",
+    "tree_intervals": "with recursive " + _TREE + """,
+pre as (select document_id, node_id, [node_id] as trail from tree where parent_id is null union all select t.document_id, t.node_id, list_append(p.trail, t.node_id) from pre p join tree t on t.document_id = p.document_id and t.parent_id = p.node_id),
+num as (select *, row_number() over (partition by document_id order by trail) as first from pre)
+select a.document_id, a.node_id, a.first, max(b.first) as last from num a join num b on b.document_id = a.document_id and list_contains(b.trail, a.node_id) group by all""",
     "descent_gate": "with recursive " + _TREE + " select document_id from tree group by 1 having count(*) >= 25",
     "node_chunks": "with recursive " + _TREE + "," + _chunks("select document_id, node_id, start_page as sp, end_page as ep, " + _PROSE.format("content") + r" as c from tree where not regexp_matches(content, '(?m)^\s*\|')", "document_id, node_id, sp, ep") + """
 select 'doc_' || document_id || '_node_' || node_id || '_p_' || p_idx as chunk_id, document_id, node_id, p_idx,

@@ -214,9 +214,12 @@ def _long_chain(spark, sf):
 
 def chain_sizes(spark, sf):
     """Nodes at or below each node of the chains."""
-    nodes = _long_chain(spark, sf)
-    every = nodes.select("document_id", F.col("node_id").alias("root"), F.col("node_id").alias("top"))
-    return tree.subtree(nodes, every).groupBy("document_id", F.col("top").alias("node_id")).agg(F.count(F.lit(1)).alias("n_below"))
+    return tree.intervals(_long_chain(spark, sf)).select("document_id", "node_id", "n_below")
+
+
+def tree_intervals(spark, sf):
+    """Numbers of the sections of documents in the order of their trees, and how far those below a section reach."""
+    return tree.intervals(_tree(spark, sf)).select("document_id", "node_id", "first", "last")
 
 
 def chain_heat(spark, sf):
@@ -312,4 +315,4 @@ def golden(spark, sf):
     return evaluate.summary(evaluate.judge(cases)).select("mode", "n", "n_passed", F.round("pass_rate", 6).alias("pass_rate"), "n_routed", "n_routable", "mean_latency")
 
 
-QUERIES = {f.__name__: f for f in (text_features, ngram_counts, summaries, chunks, table_chunks, markdown_sections, folded_tree, tree_stats, subtree_sizes, descent_gate, node_chunks, knn, knn_index, knn_index_exact, knn_scoped, store_versions, label_heat, rank_passages, passage_heat, hottest_nodes, flat_context, fitting_blocks, chain_sizes, chain_heat, raw_tree, ancestor_heat, descent, frontier, replies, bookmarks, bookmark_tree, layout_headings, boxes_outside, renumbered, golden)}
+QUERIES = {f.__name__: f for f in (text_features, ngram_counts, summaries, chunks, table_chunks, markdown_sections, folded_tree, tree_stats, subtree_sizes, descent_gate, node_chunks, knn, knn_index, knn_index_exact, knn_scoped, store_versions, label_heat, rank_passages, passage_heat, hottest_nodes, flat_context, fitting_blocks, chain_sizes, tree_intervals, chain_heat, raw_tree, ancestor_heat, descent, frontier, replies, bookmarks, bookmark_tree, layout_headings, boxes_outside, renumbered, golden)}

@@ -152,10 +152,10 @@ def sse_pieces(lines: Iterator[bytes]) -> Iterator[str]:
 
 
 def ask(llm, prompt: str, parse: Callable[[str], dict | None], strict: str = "\nReply with one JSON object and nothing else.") -> dict | None:
-    """A parsed reply in at most two tries without chance, the second one strict; None if neither can be read."""
+    """A parsed reply in at most two tries at temperature 0, the second one strict; None if neither can be read."""
     for text, json_mode in ((prompt, False), (prompt + strict, True)):
         try:
-            if (got := parse(llm.generate(text, json_mode))) is not None:
+            if (got := parse(llm.generate(text, json_mode, 0.0))) is not None:
                 return got
         except Exception:  # a provider that fails counts as a reply that cannot be read
             continue

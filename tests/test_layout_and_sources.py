@@ -97,7 +97,7 @@ def test_providers():
     class Twice:
         calls = 0
 
-        def generate(self, prompt, json_mode=False):
+        def generate(self, prompt, json_mode=False, temperature=None):
             self.calls += 1
             return '{"a": 1}' if self.calls == 2 else "nothing"
 

@@ -79,7 +79,7 @@ def test_descent_by_a_model(spark):
     class Scripted:
         """Replies by what the prompt shows; the first one of a round cannot be read."""
 
-        def generate(self, prompt, json_mode=False):
+        def generate(self, prompt, json_mode=False, temperature=None):
             if not json_mode:
                 return "hm"
             assert "Question: where" in prompt

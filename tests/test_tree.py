@@ -84,6 +84,39 @@ def test_deep_chains(spark):
         tree.ancestors(circle)
 
 
+def test_intervals_of_any_forest(spark):
+    import random
+
+    r = random.Random(4)
+    links, below, order = [], {}, {}
+    for d in range(12):
+        n = r.choice([1, 2, 9, 40])
+        ids = r.sample(range(1000), n)
+        parent = {v: (r.choice([None, *ids[:k], *ids[max(0, k - 1) : k]]) if k else r.choice([None, 5000])) for k, v in enumerate(ids)}
+        links += [(d, v, p) for v, p in parent.items()]
+
+        def walk(v, d=d, parent=parent):
+            order[d, v] = len([1 for x in order if x[0] == d]) + 1
+            kids = sorted(x for x, p in parent.items() if p == v)
+            below[d, v] = {v}.union(*[walk(x) for x in kids]) if kids else {v}
+            return below[d, v]
+
+        for v in sorted(v for v, p in parent.items() if p not in parent):
+            walk(v)
+    nodes = spark.createDataFrame(links, "document_id bigint, node_id int, parent_id int")
+    numbered = tree.intervals(nodes)
+    got = {(x.document_id, x.node_id): (x.first, x.last, x.n_below) for x in numbered.collect()}
+    assert got == {k: (order[k], order[k] + len(below[k]) - 1, len(below[k])) for k in below}
+    roots = nodes.where("node_id % 3 = 0").select("document_id", F.col("node_id").alias("root"), F.col("node_id").alias("top"))
+    assert {tuple(x) for x in tree.below(numbered, roots).select("document_id", "top", "node_id").collect()} == {(d, v, x) for (d, v), xs in below.items() if v % 3 == 0 for x in xs}
+    assert tree.intervals(nodes.limit(0)).count() == 0
+    chain = spark.range(3000).select(F.lit(0).cast("bigint").alias("document_id"), F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    assert tree.intervals(chain).agg(F.sum("n_below"), F.max("last")).first()[:] == (3000 * 3001 // 2, 3000)
+    circle = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 2, None)], "document_id bigint, node_id int, parent_id int")
+    with pytest.raises(ValueError):
+        tree.intervals(circle)
+
+
 def test_any_levels(spark):
     raw = lambda levels: spark.createDataFrame([(0, i, str(i), v, "", 1, 1) for i, v in enumerate(levels)], "document_id bigint, seq int, heading string, level int, content string, start_page int, end_page int")
     assert rows(tree.tree_from_raw(raw([3, 40, 900, 40, 17, 0]), Settings(max_tree_depth=1000)), "parent_id", "path") == [(None, "0"), (1, "0 > 1"), (2, "0 > 1 > 2"), (1, "0 > 3"), (1, "0 > 4"), (None, "5")]

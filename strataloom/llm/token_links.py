@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import let, per_worker, slices, stored, table
 from .token_counts import MARK, PrefixCounter
 
-A, B, BROADCAST, SLICE = "byte_bpe_50k.json", "piece_bpe_32k.model", 2_000_000, 4_000_000
+A, B, BROADCAST, FEW, SLICE = "byte_bpe_50k.json", "piece_bpe_32k.model", 2_000_000, 48, 3_000_000
 _SIDE, _RANK = 1 << 31, (1 << 31) - 1
 _BEFORE_SPACE, _AFTER_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
@@ -126,6 +126,11 @@ def _coded(ends: Column, side: int = 0) -> Column:
     return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long") + F.lit(side)))
 
 
+def _packed(a: Column, b: Column) -> Column:
+    """Two ids as one number, which sorts and joins by B id first."""
+    return F.shiftleft(b.cast("long"), 32).bitwiseOR(a.cast("long"))
+
+
 def link_pairs(a: Column, ae: Column, b: Column, be: Column) -> Column:
     """array<bigint>: B id << 32 | A id of every link, in the order of the text."""
 
@@ -135,8 +140,7 @@ def link_pairs(a: Column, ae: Column, b: Column, be: Column) -> Column:
             of_a = c.bitwiseAND(F.lit(_SIDE)) == 0
             # an end of B that A has as well has closed its link with A's entry, just before
             twice = F.shiftright(c, 32) == F.shiftright(F.get(merged, m - 1), 32)
-            packed = lambda x, y: F.shiftleft(y.cast("long"), 32).bitwiseOR(x.cast("long"))
-            return F.when(of_a, packed(F.get(a, i), F.get(b, m - i))).when(F.coalesce(twice, F.lit(False)), F.lit(None)).otherwise(packed(F.get(a, m - i), F.get(b, i)))
+            return F.when(of_a, _packed(F.get(a, i), F.get(b, m - i))).when(F.coalesce(twice, F.lit(False)), F.lit(None)).otherwise(_packed(F.get(a, m - i), F.get(b, i)))
 
         return F.filter(F.transform(merged, pair), lambda x: x.isNotNull())
 
@@ -145,9 +149,11 @@ def link_pairs(a: Column, ae: Column, b: Column, be: Column) -> Column:
 
 def _places(cuts: Column, ends: Column) -> Column:
     """At which place of ends each cut stands; both ascend, and ends holds all cuts."""
+    looked_up = F.transform(cuts, lambda e: F.array_position(ends, e).cast("int") - 1)
     marks = F.transform(cuts, lambda e: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(_SIDE)))
     found = let(F.sort_array(F.concat(_coded(ends), marks)), lambda merged: F.filter(merged, lambda c, m: F.get(merged, m + 1).bitwiseAND(F.lit(_SIDE)) != 0))
-    return F.transform(found, lambda c: c.bitwiseAND(F.lit(_RANK)).cast("int"))
+    # few are looked up one by one, many are sorted in
+    return F.when(F.size(ends) <= FEW, looked_up).otherwise(F.transform(found, lambda c: c.bitwiseAND(F.lit(_RANK)).cast("int")))
 
 
 def group_text(a: Column, b: Column, at: Column, bt: Column) -> Column:
@@ -167,25 +173,41 @@ def aligned_words(words: Column) -> Column:
     """array<struct<n_a, n_b, n_groups, groups, links>> of words: sizes, the text of the groups, and the linked pairs."""
 
     def of(w: Column, cuts: Column) -> Column:
-        text = let(F.struct(_places(cuts, w["ae"]).alias("at"), _places(cuts, w["be"]).alias("bt")), lambda x: group_text(w["a"], w["b"], x["at"], x["bt"]))
-        return F.struct(F.size(w["a"]).alias("n_a"), F.size(w["b"]).alias("n_b"), F.size(cuts).alias("n_groups"), text.alias("groups"), link_pairs(w["a"], w["ae"], w["b"], w["be"]).alias("links"))
+        a, b, n = w["a"], w["b"], F.size(cuts)
+        # where every token is a group's only one of its side, and where all are one group, nothing has to be looked for
+        single = (n == F.size(a)) & (n == F.size(b))
+        joined = lambda of: F.array_join(of.cast("array<string>"), ",")
+        general = let(F.struct(_places(cuts, w["ae"]).alias("at"), _places(cuts, w["be"]).alias("bt")), lambda x: group_text(a, b, x["at"], x["bt"]))
+        pairs = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+        text = F.when(n == 1, F.concat(joined(a), F.lit("|"), joined(b))).when(single, pairs).otherwise(general)
+        links = F.when(single, F.zip_with(a, b, _packed)).otherwise(link_pairs(a, w["ae"], b, w["be"]))
+        return F.struct(F.size(a).alias("n_a"), F.size(b).alias("n_b"), n.alias("n_groups"), text.alias("groups"), links.alias("links"))
+
+    cuts = lambda w: F.when(w["ae"] == w["be"], w["ae"]).otherwise(F.array_intersect(w["ae"], w["be"]))
+    return F.transform(words, lambda w: let(cuts(w), lambda found: of(w, found)))
+
 
-    return F.transform(words, lambda w: let(F.array_intersect(w["ae"], w["be"]), lambda cuts: of(w, cuts)))
+def _apart(*names: str) -> Column:
+    """The fields of the column words as arrays. They are bound once a row, as a field of an array of structs is gathered whenever it is named."""
+    return F.struct(*[F.col(f"words.{x}").alias(x) for x in names])
+
+
+def _total(w: Column, words: Column, name: str) -> Column:
+    """The sum of a number over a document's words."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda s, k: s + F.get(words[name], k)).alias(name)
 
 
 def alignment(tokenised: DataFrame) -> DataFrame:
     """(links, n, docs): by slice the links of each word and its number in the slice, and (i, w, n_a, n_b, n_groups, groups_sha256) of each document."""
     known = tokenised.select("n", "docs", aligned_words(F.col("words")).alias("words"))
 
-    def total(w: Column, name: str) -> Column:
-        return F.aggregate(w, F.lit(0).cast("long"), lambda s, k: s + F.get(F.col(f"words.{name}"), k)).alias(name)
-
-    def doc(d: Column) -> Column:
+    def doc(d: Column, words: Column) -> Column:
         w = d["w"]
-        text = F.array_join(F.transform(w, lambda k: F.get(F.col("words.groups"), k)), ";")
-        return F.struct(d["i"].alias("i"), w.alias("w"), *[total(w, x) for x in ("n_a", "n_b", "n_groups")], F.when(F.size(w) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"))
+        text = F.array_join(F.transform(w, lambda k: F.get(words["groups"], k)), ";")
+        return F.struct(d["i"].alias("i"), w.alias("w"), *[_total(w, words, x) for x in ("n_a", "n_b", "n_groups")], F.when(F.size(w) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"))
 
-    return known.select(F.col("words.links").alias("links"), "n", F.transform("docs", doc).alias("docs"))
+    docs = let(_apart("n_a", "n_b", "n_groups", "groups"), lambda words: F.transform("docs", lambda d: doc(d, words)))
+    return known.select(F.col("words.links").alias("links"), "n", docs.alias("docs"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -215,13 +237,10 @@ def token_links(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_co
     dense = F.when(F.size("words") == F.col("m"), F.col("words")).otherwise(F.array_sort(F.concat("words", F.transform(F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.col("words.k")), lambda k: F.struct(k.alias("k"), F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))))))
     rows = rows.withColumn("words", dense)
 
-    def total(w: Column, name: str) -> Column:
-        return F.aggregate(w, F.lit(0).cast("long"), lambda s, k: s + F.get(F.col(f"words.{name}"), k)).alias(name)
-
-    def doc(d: Column) -> Column:
-        return F.struct(d["i"].alias(id_col), d["n_a"], d["n_b"], d["n_groups"], (d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"), *[total(d["w"], x) for x in ("n_best", "count_sum")], d["groups_sha256"])
+    def doc(d: Column, words: Column) -> Column:
+        return F.struct(d["i"].alias(id_col), d["n_a"], d["n_b"], d["n_groups"], (d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"), *[_total(d["w"], words, x) for x in ("n_best", "count_sum")], d["groups_sha256"])
 
-    return rows.select(F.inline(F.transform("docs", doc)))
+    return rows.select(F.inline(let(_apart("n_best", "count_sum"), lambda words: F.transform("docs", lambda d: doc(d, words)))))
 
 
 def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:

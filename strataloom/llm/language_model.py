@@ -18,10 +18,12 @@ task that runs twice leaves it whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import _folder, per_worker, sha_safe, slices, stored, table
 
-ORDER, FOLDS, HELD_OUT = 2, 5, 1
+ORDER, FOLDS, HELD_OUT, HELD, BITS = 2, 5, 1, 3_000_000, 42
 STATS = ["t", "n1", "n2", "n3", "n4", "types"]
+#: HELD: tokens that a task counts before it hands n-grams on.
 #: xxhash64 is a published hash; these are its primes, and Spark's seed.
 _P1, _P2, _P3, _P4, _P5, _SEED = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 42))
 
@@ -55,7 +58,8 @@ def key_of(words: list[np.ndarray]) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
+    """Hashes of BITS bits, so that an n-gram is short where it travels; of a thousand million words one in 4,000 shares its hash with another."""
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> np.uint64(64 - BITS) if words else np.zeros(0, np.uint64)
 
 
 #: No word holds white space, so these stand for no word.
@@ -87,16 +91,78 @@ def names(order: int) -> list[str]:
     return [f"w{k}" for k in range(1, order + 1)]
 
 
+class Packing:
+    """The words of an n-gram as one row of bits, in columns p1, p2, … of 63 bits, the last one with what is left; its count stands above those bits where 42 are free there, else in a column of its own."""
+
+    def __init__(self, order: int):
+        total = BITS * order
+        self.order, self.last = order, (total - 1) % 63 + 1
+        self.shared = self.last <= 63 - 42
+        self.columns = [f"p{k + 1}" for k in range(-(-total // 63))]
+        # (column, its bits to the right, width, bits of the word to the right) of the parts of each word
+        self.parts: list[list[tuple[int, int, int, int]]] = []
+        for k in range(order):
+            at, end, parts = BITS * k, BITS * (k + 1), []
+            while at < end:
+                column = at // 63
+                close = min(63 * (column + 1), total)
+                width = min(end, close) - at
+                at += width
+                parts.append((column, close - at, width, end - at))
+            self.parts.append(parts)
+
+    @property
+    def names(self) -> list[str]:
+        return self.columns + ["c"] * (not self.shared)
+
+    def pack(self, words: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(n), np.uint64) for _ in self.columns]
+        for w, parts in zip(words, self.parts):
+            for column, right, width, left in parts:
+                out[column] |= ((w >> np.uint64(left)) & np.uint64(2**width - 1)) << np.uint64(right)
+        if not self.shared:
+            return [*out, n.astype(np.uint64)]
+        out[-1] |= n.astype(np.uint64) << np.uint64(self.last)
+        return out
+
+    def unpack(self, found: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        words = []
+        for parts in self.parts:
+            w = np.zeros(len(found[0]), np.uint64)
+            for column, right, width, left in parts:
+                w |= ((found[column] >> np.uint64(right)) & np.uint64(2**width - 1)) << np.uint64(left)
+            words.append(w)
+        return words, found[-1] >> np.uint64(self.last) if self.shared else found[-1]
+
+    def words(self) -> list[Column]:
+        """The words as columns."""
+        piece = lambda column, right, width, left: F.shiftleft(F.shiftrightunsigned(self.columns[column], right).bitwiseAND(F.lit(2**width - 1)), left)
+        return [reduce(Column.bitwiseOR, (piece(*x) for x in parts)) for parts in self.parts]
+
+
 def grams(texts: DataFrame, order: int) -> DataFrame:
-    """(w1, …, wn, c) from (t): n-grams by the hashes of their words, counted in each slice of texts."""
+    """The columns of Packing(order) from (t): n-grams, counted over HELD tokens at a time and in the order of their words, in which shuffle files compress better."""
+    packing = Packing(order)
+
+    def counted(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        words = [np.concatenate(x) for x in zip(*parts)]
+        _, first, n = np.unique(key_of(words), return_index=True, return_counts=True)
+        found = packing.pack([w[first] for w in words], n)
+        order_of = np.lexsort(found[::-1])
+        return pa.RecordBatch.from_arrays([pa.array(x[order_of].view(np.int64)) for x in found], packing.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for _, part in slices(batches, "t"):
-            words, _ = sequences(part, order)
-            _, first, n = np.unique(key_of(words), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(w[first].view(np.int64)) for w in words), pa.array(n.astype(np.int64))], [*names(order), "c"])
+            parts.append(sequences(part, order)[0])
+            held += len(parts[-1][0])
+            if held > HELD:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
 
-    return texts.mapInArrow(run, ", ".join(f"{w} long" for w in names(order)) + ", c long")
+    return texts.mapInArrow(run, ", ".join(f"{x} long" for x in packing.names))
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -110,35 +176,58 @@ def _columns(order: int, highest: int) -> list[tuple[str, type]]:
 
 
 def _write(rows: DataFrame, folder: str, order: int, highest: int) -> DataFrame:
-    """rows as they are; each shard of theirs is written to folder on the way. rows (shard, key, …) has whole shards in a partition."""
-    columns = _columns(order, highest)
+    """Writes each shard of rows (shard, w1, …, wn, c, raw, t, left; of the highest order shard and its packed n-grams) to folder and gives what it adds to the next lower order: (w1, …, wn-1, c, raw, t, n1, n2, n3, n4, types).
 
-    def put(shard: int, parts: list[pa.RecordBatch]) -> None:
-        got = pa.Table.from_batches(parts)
-        key = got["key"].to_numpy().view(np.uint64)
-        sort = np.argsort(key)
+    An n-gram adds one to the count of what stands behind its first word, and its own count to what follows its context. All rows of a
+    shard have to be in one partition, which is held while it is sorted.
+    """
+    columns, packing = _columns(order, highest), Packing(order)
+    sums = ["c", "raw", *STATS]
+
+    def put(shard: int, key: np.ndarray, values: dict[str, np.ndarray]) -> None:
         name = f"{folder}/{order}-{shard}"
         own = f"{name}.{uuid.uuid4().hex}"
         with open(own, "wb") as file:
-            for values, kind in [(key, np.uint64), *((got[c].to_numpy(), t) for c, t in columns)]:
-                file.write(np.ascontiguousarray(values[sort], kind).tobytes())
+            for column, kind in [(key, np.uint64), *((values[c], t) for c, t in columns)]:
+                file.write(np.ascontiguousarray(column, kind).tobytes())
         os.replace(own, name)
 
+    def lower(words: list[np.ndarray], c: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        n = len(c)
+        behind, before = words[1:], words[:-1]
+        if order > 1:
+            _, first, place = np.unique(np.concatenate([key_of(behind), key_of(before)]), return_index=True, return_inverse=True)
+        else:
+            first, place = np.arange(min(n, 1)), np.zeros(2 * n, np.int64)
+        total = lambda x, y: np.bincount(place, np.concatenate([x, y]), len(first)).astype(np.int64)
+        none = np.zeros(n)
+        found = [total(c > 0, none), total(raw, none), total(none, c), *(total(none, c == k) for k in range(1, 5)), total(none, c > 0)]
+        both = [np.concatenate([x, y])[first].view(np.int64) for x, y in zip(behind, before)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, both), *map(pa.array, found)], [*names(order - 1), *sums])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
         os.makedirs(folder, exist_ok=True)
-        held: dict[int, list[pa.RecordBatch]] = {}
-        for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            for shard in np.unique(shards).tolist():
-                # rows come shard by shard, so those before are whole
-                for done in [x for x in held if x != shard]:
-                    put(done, held.pop(done))
-                held.setdefault(shard, []).append(batch.filter(pa.array(shards == shard)).select(["key", *(c for c, _ in columns)]))
-            yield batch
-        for shard, parts in held.items():
-            put(shard, parts)
+        got = pa.Table.from_batches(parts)
+        del parts
+        shards = got.column("shard").to_numpy()
+        for shard in np.unique(shards).tolist():
+            part = got.filter(pa.array(shards == shard))
+            values = {c: part.column(c).to_numpy() for c in part.column_names if c != "shard"}
+            if order == highest:
+                words, n = packing.unpack([values[x].view(np.uint64) for x in packing.names])
+                values = {"c": n, "raw": n}
+            else:
+                words = [values[w].view(np.uint64) for w in names(order)]
+            # what several tasks have counted meets here
+            key, first, place = np.unique(key_of(words), return_index=True, return_inverse=True)
+            values = {c: np.bincount(place, x, len(key)) if c in ("c", "raw") else x[first] for c, x in values.items() if c not in names(order)}
+            put(shard, key, values)
+            yield lower([w[first] for w in words], values["c"], values["raw"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in [*names(order - 1), *sums]))
 
 
 @dataclass(frozen=True)
@@ -216,16 +305,6 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return found if all(0 < d < k for k, d in enumerate(found, 1)) else (0.5, 1.0, 1.5)
 
 
-def _lower(rows: DataFrame, order: int) -> DataFrame:
-    """(w1, …, wn-1, c, raw, t, n1, n2, n3, n4, types): the next lower order's counts, and what follows each of its n-grams as a context."""
-    counts = F.col("c") > 0
-    behind = [*[F.col(f"w{k + 1}").alias(f"w{k}") for k in range(1, order)], counts.cast("long").alias("c"), "raw", *[F.lit(0).cast("long").alias(x) for x in STATS]]
-    before = [*names(order - 1), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("raw"), F.col("c").alias("t"), *[(F.col("c") == k).cast("long").alias(f"n{k}") for k in range(1, 5)], counts.cast("long").alias("types")]
-    both = F.array(F.struct(*behind), F.struct(*before))
-    sums = [F.sum(x).alias(x) for x in ["c", "raw", *STATS]]
-    return rows.select(F.inline(both)).groupBy(*names(order - 1)).agg(*sums) if order > 1 else rows.select(F.inline(both)).agg(*sums)
-
-
 def fit(texts: DataFrame, order: int = ORDER, shards: int | None = None, folder: str | None = None) -> Model:
     """A model of the texts (t), null ones as empty. An empty table gives a model that knows no word.
 
@@ -240,26 +319,26 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int | None = None, folder:
             raise ValueError(f"workers cannot map files of {folder}; name a folder of a shared file system")
         folder = "/" + folder.removeprefix("file:").lstrip("/")
     folder = f"{folder}/strataloom-ngrams-{uuid.uuid4().hex}"
+    packing = Packing(order)
     rows, steps = grams(texts, order), []
     for k in range(order, 0, -1):
-        by = names(k)
-        key = F.xxhash64(*by)
         if k == order:
-            # sums within a slice are made already; a shard's rows meet where it is written
-            rows = rows.withColumn("shard", shard_of(key, shards)).repartition(shards, "shard").groupBy("shard", *by).agg(F.sum("c").alias("c"))
-            rows = rows.withColumn("raw", F.col("c"))
-            left = []
+            words, columns = packing.words(), packing.names
         else:
-            rows = stored(rows)
             # the order above has as many n-grams with a count of 1 as its contexts have in all
-            step = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS[1:5]]).first()
-            steps.append(discounts(*step))
+            steps.append(discounts(*rows.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in STATS[1:5]]).first()))
             d1, d2, d3 = steps[-1]
             rest = d1 * F.col("n1") + d2 * F.col("n2") + d3 * (F.col("types") - F.col("n1") - F.col("n2"))
-            rows = rows.withColumn("shard", shard_of(key, shards)).repartition(shards, "shard")
-            left = [F.when(F.col("t") > 0, rest / F.col("t")).otherwise(0.0).alias("left")]
-        written = _write(rows.withColumn("key", key).select("*", *left).sortWithinPartitions("shard"), folder, k, order)
-        rows = _lower(written, k)
+            words, columns = names(k), [*names(k), "c", "raw", "t", F.when(F.col("t") > 0, rest / F.col("t")).otherwise(0.0).alias("left")]
+        # a shard's rows meet where it is written
+        dealt = rows.select(shard_of(F.xxhash64(*words), shards).alias("shard"), *columns).repartitionById(shards, F.col("shard"))
+        # what the shards add to words that they share; the shuffle of n-grams goes once it is written
+        added = stored(_write(dealt, folder, k, order), compression="zstd")
+        del dealt
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        sums = [F.sum(x).alias(x) for x in ["c", "raw", *STATS]]
+        rows = stored(added.groupBy(*names(k - 1)).agg(*sums)) if k > 1 else added.agg(*sums)
     top = rows.first()
     steps.append(discounts(*(top[x] or 0 for x in STATS[1:5])))
     d1, d2, d3 = steps[-1]

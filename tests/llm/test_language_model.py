@@ -79,6 +79,18 @@ def test_hashes_are_sparks(spark):
     assert [x.shard for x in got] == (((lm.key_of([a]) >> np.uint64(33)) * np.uint64(7)) >> np.uint64(31)).tolist()
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
+def test_packed_ngrams(spark, order):
+    r, packing = np.random.default_rng(order), lm.Packing(order)
+    words, n = [r.integers(0, 2**lm.BITS, 40, np.uint64) for _ in range(order)], r.integers(1, 2**40, 40, np.uint64)
+    words[0][0] = words[-1][1] = 2**lm.BITS - 1
+    found = packing.pack(words, n)
+    back, counts = packing.unpack(found)
+    assert all((a == b).all() for a, b in zip(words, back)) and (counts == n).all()
+    rows = spark.createDataFrame([tuple(map(int, x)) for x in zip(*found)], ", ".join(f"{x} long" for x in packing.names)).select(*packing.words()).collect()
+    assert [tuple(x) for x in rows] == [tuple(map(int, x)) for x in zip(*words)]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_equal_brute_force(spark, order):
     train, others = corpus(150, 1), corpus(40, 2) + ["unknown words only", "w1 unknown w2"]

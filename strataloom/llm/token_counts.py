@@ -1,14 +1,16 @@
 """Exact token counts by prefix dynamic programming over a SentencePiece vocabulary.
 
 The vocabulary marks a word's start with U+2581 and has no piece in which that mark follows another character (checked when it is
-loaded), so no merge crosses the start of a word. Nor does one cross two neighbouring characters that stand side by side in no piece:
-there a word falls into segments that are encoded alone. So the count of a prefix obeys
+loaded), so no merge crosses the start of a word: the count of a prefix is a running sum over the words before it and the count of the
+part of the last word that lies in it. In a word, tokens are those of the library if every two neighbours are what the library makes of
+the two alone. So the tokens of a prefix are those of a shorter prefix and one more piece, the only one that ends there and goes with the
+last token of the shorter prefix:
 
-    count(prefix) = count(all segments that end before it) + count(the part of the last segment that lies in it)
+    count(prefix) = count(prefix without its last piece) + 1
 
-The first term is a running sum over words, and in a word over its segments; the second comes from the segment alone. Words repeat, so
-each worker keeps the counts of those it has met (at most CACHED of them). All questions about budgets and cuts are then answered from
-these sums, to the code point.
+which is found from left to right in time that grows with the length of the word times that of the longest piece. Words repeat, so each
+worker keeps the counts of those it has met (at most CACHED of them, none longer than LONG). All questions about budgets and cuts are
+then answered from these sums, to the code point; a cut stops where no longer prefix can fit.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import per_worker, slices, table
 
-VOCABULARY, LIMIT, CACHED = "piece_bpe_32k.model", 4096, 400_000
+VOCABULARY, LIMIT, CACHED, LONG = "piece_bpe_32k.model", 4096, 400_000, 200
 MARK = "▁"
 
 
@@ -42,6 +44,12 @@ class PrefixCounter:
         with open(path, "rb") as file:
             self.bare = sentencepiece.SentencePieceProcessor(model_proto=file.read() + b"\x1a\x02\x18\x00")
         self.pairs = {piece[i : i + 2] for piece in map(self.model.id_to_piece, range(self.model.get_piece_size())) for i in range(len(piece) - 1)}
+        # pieces that the library can make, by their text
+        normal = [k for k in range(self.model.get_piece_size()) if not (self.model.is_byte(k) or self.model.is_control(k) or self.model.is_unknown(k) or self.model.is_unused(k))]
+        found = self.bare.encode([self.model.id_to_piece(k).replace(MARK, " ") for k in normal], num_threads=1)
+        self.pieces = {self.model.id_to_piece(k): k for k, ids in zip(normal, found) if ids == [k]}
+        self.longest = max(map(len, self.pieces))
+        self.beside: dict[tuple[str, str], bool] = {}
         self.known: dict[str, int] = {}
         self.tables: dict[str, np.ndarray] = {}
 
@@ -67,28 +75,51 @@ class PrefixCounter:
             if len(known) + len(new) > CACHED:
                 known.clear()
                 new = list(set(words))
-            known.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
-            if "" in known:
-                known[""] = 1
+            own = dict(zip(new, map(len, self.model.encode(new, num_threads=1))))
+            if "" in own:
+                own[""] = 1
+            known.update((w, n) for w, n in own.items() if len(w) <= LONG)
+            return [known[w] if w in known else own[w] for w in words]
         return list(map(known.__getitem__, words))
 
-    def table(self, word: str) -> np.ndarray:
-        """The count of each prefix of a word (as words gives it), from one code point on."""
+    def goes(self, left: str | None, right: str) -> bool:
+        """Whether the library leaves the two pieces side by side; left is None for a character that is no piece."""
+        if left is None or left[-1] + right[0] not in self.pairs:
+            return True
+        key = (left, right)
+        if key not in self.beside:
+            if len(self.beside) >= CACHED:
+                self.beside.clear()
+            self.beside[key] = self.bare.encode((left + right).replace(MARK, " ")) == [self.pieces[left], self.pieces[right]]
+        return self.beside[key]
+
+    def table(self, word: str, budget: int | None = None) -> np.ndarray:
+        """The count of each prefix of a word (as words gives it), from one code point on. With a budget, up to where no longer prefix can keep to it."""
         if word in self.tables:
             return self.tables[word]
         marked = MARK + word.replace(" ", MARK)
-        # a segment of the word begins where its first character never follows the one before it in a piece
-        starts = [0, *(k for k in range(1, len(word)) if marked[k : k + 2] not in self.pairs), len(word)]
-        out, base = [], 0
-        for a, b in zip(starts, starts[1:]):
-            model = self.bare if a else self.model
-            counts = [base + len(x) for x in model.encode([word[a:k] for k in range(a + 1, b + 1)], num_threads=1)]
-            out += counts
-            base = counts[-1] if counts else base
-        if len(self.tables) >= CACHED // 10:
-            self.tables.clear()
-        self.tables[word] = np.array(out, np.int64)
-        return self.tables[word]
+        counts, last, pieces, over = [0], [None], self.pieces, 0
+        for end in range(1, len(marked) + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = marked[start:end]
+                if piece in pieces and (not start or self.goes(last[start], piece)):
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
+                    break
+            else:
+                counts.append(counts[-1] + len(self.bare.encode(marked[end - 1])))
+                last.append(None)
+            over = 0 if budget is None or counts[-1] <= budget else over + 1
+            # a prefix has one token more than one that is at most longest shorter
+            if over > self.longest:
+                break
+        out = np.array(counts[2:], np.int64)
+        if len(word) <= LONG:
+            if len(self.tables) >= CACHED // 10:
+                self.tables.clear()
+            if len(out) == len(word):
+                self.tables[word] = out
+        return out
 
     def prefix(self, text: str) -> "Prefix":
         words = self.words(text)
@@ -131,7 +162,7 @@ class Prefix:
         if j == len(self.words):
             return whole
         before = int(self.sums[j - 1]) if j else 0
-        fits = np.flatnonzero(before + self.counter.table(self.words[j]) <= budget)
+        fits = np.flatnonzero(before + self.counter.table(self.words[j], budget - before) <= budget)
         return (whole + 1 if j else 0) + int(fits[-1]) + 1 if len(fits) else whole
 
 

@@ -53,9 +53,29 @@ def test_every_prefix(text):
     assert prefix.count(prefix.cut(5)) <= 5 and prefix.cut(5) >= max(ok, default=0)
 
 
+def test_long_words_need_linear_time():
+    import time
+    import tracemalloc
+
+    r = random.Random(1)
+    base64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    counter = _counter()
+    for word in ("1" * 1_000_000, "".join(r.choice("0123456789") for _ in range(1_000_000)), "a" * 1_000_000, "汉字没有空格" * 170_000, base64, "▁" * 1_000_000, "😀" * 300_000):
+        start = time.time()
+        prefix = counter.prefix(word)
+        tracemalloc.start()
+        at = prefix.cut(4096)
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+        assert time.time() - start < 20 and len(counter.model.encode(word[:at])) <= 4096
+        assert at == len(word) or len(counter.model.encode(word[: at + 1])) > 4096 or word[at] in " ▁" or word[at - 1] in " ▁"
+    word = base64[:3000] + "aaaaaaa" * 50 + "▁▁▁▁" + "日本語" * 40 + "ing" * 60
+    assert counter.prefix(word).every().tolist() == [len(counter.model.encode(word[:i])) for i in range(1, len(word) + 1)]
+
+
 def test_a_text_without_spaces_is_cut_inside():
     counter = _counter()
-    for text in ("汉字没有空格" * 4000, "x" * 3000, "Donaudampfschifffahrt" * 100):
+    for text in ("汉字没有空格" * 4000, "x" * 200_000, "Donaudampfschifffahrt" * 100):
         prefix = counter.prefix(text)
         at = prefix.cut(1000)
         assert 0 < at and prefix.total() == len(counter.model.encode(text))

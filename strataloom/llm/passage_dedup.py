@@ -1,7 +1,6 @@
 """Repeated passages: MinHash banding of paragraphs, and runs of equal words inside them.
 
-A paragraph is a line of at least PARAGRAPH words, three shingles' width (a parameter; shorter lines that repeat are mostly boilerplate,
-which is the line deduplication's task). Paragraphs get BANDS bands of ROWS MinHashes over their runs of WORDS words (so a pair of
+A paragraph is a line of at least PARAGRAPH words, as many as a shingle has. Paragraphs get BANDS bands of ROWS MinHashes over their runs of WORDS words (so a pair of
 similarity 0.8 meets with a probability of 0.997); those that share a band are verified by the exact Jaccard similarity of these runs,
 links form components, the first paragraph of a component stays.
 
@@ -27,7 +26,7 @@ from pyspark.sql.window import Window
 from .cluster import among, contrast_sets, link_classes, placed, shared_buckets, with_contents
 from .common import cut, hash_words, mix, slices, stored, table, windows
 
-WORDS, PARAGRAPH, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 15, 24, 26, 0.8, 8, 3
+WORDS, PARAGRAPH, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 5, 24, 26, 0.8, 8, 3
 KEYS = [f"k{b}" for b in range(BANDS)]
 _MOST = np.uint64(2**64 - 1)
 

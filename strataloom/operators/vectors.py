@@ -203,7 +203,7 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
 
 
 def probes(index: Index, queries: DataFrame, k: int, least: float = 0.95, sample: int = 200) -> tuple[int, float]:
-    """The least power of two of cells (or all) at which a search of sample queries, the ones with the least hashes of their ids, has a recall of least against all rows, and that recall."""
+    """The least of 1, 2, 4, 7, 11, 17, … cells (or all) at which a search of sample queries, the ones with the least hashes of their ids, has a recall of least against all rows, and that recall."""
     some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
     exact = exactly(some, index.rows.drop("cell"), k)
     n = 1
@@ -211,7 +211,7 @@ def probes(index: Index, queries: DataFrame, k: int, least: float = 0.95, sample
         found = recall(index.search(some, k, n), exact)
         if found >= least:
             return n, found
-        n *= 2
+        n += n // 2 + 1
     return len(index.centers), 1.0
 
 

@@ -65,10 +65,15 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit("second")))
 
 
+#: Whether a line is the one of its class that stays.
+_STAYS = "i <=> keep_i and th = keep_th and pos = keep_pos"
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(i, th, pos, class, keep_i, keep_th, keep_pos) of each line that equals or resembles another one.
 
-    The first line of a class by (id, hash of the text, place) stays. Rows with equal id and text are one document.
+    The first line of a class by (id, hash of the text, place) stays; a null id comes before all others. Rows with equal id and text are
+    one document, also with a null id. A long line is compared whole; an empty table gives an empty result.
     """
     lines = lines_of(docs, id_col, text_col)
     distinct = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
@@ -102,9 +107,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A null or empty text stays as it is; a text whose lines all go becomes empty. Lines of white space only stay where they are unless
     all other lines go. Ties are settled by (id, hash of the text, place); rows with equal id and text keep the same lines.
     """
-    gone = classes(docs).where("i <> keep_i or th <> keep_th or pos <> keep_pos").distinct().groupBy("i", "th").agg(F.collect_set("pos").alias("_gone"))
+    gone = classes(docs).where(f"not ({_STAYS})").distinct().groupBy("i", "th").agg(F.collect_set("pos").alias("_gone"))
     gone = gone.select(F.col("i").alias("_i"), F.col("th").alias("_th"), "_gone")
-    joined = docs.join(gone, (docs["doc_id"] == gone["_i"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_i"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left")
     kept = let(F.split(docs["text"], "\n", -1), lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), gone["_gone"]), lambda p: F.get(all_, p)), "\n"))
     kept = let(kept, lambda x: F.when(F.btrim(x, F.lit(_SPACE + "\n")) == "", F.lit("")).otherwise(x))
     text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(kept)
@@ -115,7 +120,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line that has an equal or similar one: where it stands, and the line of its class that stays."""
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("i").alias("doc_id"), F.col("pos").alias("line_no"), F.col("keep_i").alias("keep_doc_id"), F.col("keep_pos").alias("keep_line_no"), F.expr("i = keep_i and th = keep_th and pos = keep_pos").alias("kept"))
+    return found.select(F.col("i").alias("doc_id"), F.col("pos").alias("line_no"), F.col("keep_i").alias("keep_doc_id"), F.col("keep_pos").alias("keep_line_no"), F.expr(_STAYS).alias("kept"))
 
 
 QUERIES, SQL = {"op5_line_dedup": op5_line_dedup}, {}

@@ -75,3 +75,14 @@ def test_bands_meet_often_enough(spark):
     keys = {(r["h1"], r["h2"]): {r[f"k{b}"] for b in range(line_dedup.BANDS)} for r in line_dedup.band_keys(rows).collect()}
     assert sum(bool(keys[i, 0] & keys[i, 1]) for i in range(400)) >= 0.98 * 400
     assert not any(keys[i, 0] & keys[i + 1, 0] for i in range(399))
+
+
+def test_null_ids_come_first_and_repeated_rows_agree(spark, tmp_path):
+    line = "one and the same long line of words that stands in several documents"
+    rows = [(None, f"{line}\nowner\n{line}"), (1, f"first\n{line}"), (2, f"second\n{line}"), (2, f"second\n{line}"), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in line_dedup.dedup_lines(df).collect())
+    assert got == sorted([("None", f"{line}\nowner"), ("1", "first"), ("2", "second"), ("2", "second"), ("3", "None"), ("None", "")])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    # the second line of the repeated row stands in both of its rows
+    assert sorted(str(r.doc_id) for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect() if r.kept) == ["2", "2", "None"]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -151,6 +153,10 @@ def sse_pieces(lines: Iterator[bytes]) -> Iterator[str]:
             continue
 
 
+#: Calls of a task at a time, tries of each, and seconds before the second one.
+THREADS, TRIES, WAIT = 4, 3, 0.2
+
+
 def ask(llm, prompt: str, parse: Callable[[str], dict | None], strict: str = "\nReply with one JSON object and nothing else.") -> dict | None:
     """A parsed reply in at most two tries at temperature 0, the second one strict; None if neither can be read."""
     for text, json_mode in ((prompt, False), (prompt + strict, True)):
@@ -178,29 +184,53 @@ def one_object(raw: str | None) -> dict | None:
     return None
 
 
-def embed(rows: DataFrame, embedder, text_col: str = "content", batch: int = 16) -> DataFrame:
-    """rows with embedding, in batches. An error of the embedder fails the job."""
+def patiently(call: Callable, tries: int = TRIES, wait: float = WAIT):
+    """call(), tried again after a pause that doubles each time; the last error is raised."""
+    for k in range(tries - 1):
+        try:
+            return call()
+        except Exception:  # the provider may be busy
+            time.sleep(wait * 2**k)
+    return call()
+
+
+def at_once(ask: Callable, items: list, threads: int) -> list:
+    """ask(item) for each item, in their order, threads at a time; equal items are asked once."""
+    single = list(dict.fromkeys(items))
+    with ThreadPoolExecutor(max(1, min(threads, len(single) or 1))) as pool:
+        found = dict(zip(single, pool.map(ask, single)))
+    return [found[x] for x in items]
+
+
+def embed(rows: DataFrame, embedder, text_col: str = "content", batch: int = 16, threads: int = THREADS) -> DataFrame:
+    """rows with embedding. A task asks for batches of texts, threads at a time; equal texts of an Arrow batch are asked once. An error that stays after TRIES fails the job."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([v for at in range(0, len(part), batch) for v in embedder.documents(part.iloc[at : at + batch].tolist())], index=part.index, dtype=object)
+            texts = list(dict.fromkeys(part))
+            batches = [tuple(texts[at : at + batch]) for at in range(0, len(texts), batch)]
+            got = at_once(lambda some: patiently(lambda: embedder.documents(list(some))), batches, threads)
+            found = dict(zip(texts, (v for vectors in got for v in vectors)))
+            yield pd.Series([found[x] for x in part], index=part.index, dtype=object)
 
     return rows.withColumn("embedding", run(F.col(text_col)))
 
 
-def generate(rows: DataFrame, llm, prompt_col: str, out: str) -> DataFrame:
-    """rows with a model's text; null where it fails or says nothing, so that a fallback can follow."""
+def generate(rows: DataFrame, llm, prompt_col: str, out: str, threads: int = THREADS) -> DataFrame:
+    """rows with a model's text; null where it says nothing, has no prompt, or fails TRIES times, so that a fallback can follow. A task asks threads at a time; equal prompts of an Arrow batch are asked once."""
 
     def one(prompt: str | None) -> str | None:
+        if prompt is None:
+            return None
         try:
-            return (llm.generate(prompt) or "").strip() or None
+            return (patiently(lambda: llm.generate(prompt)) or "").strip() or None
         except Exception:  # the extractive fallback takes over
             return None
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(one)
+            yield pd.Series(at_once(one, [None if x is None or x != x else x for x in part], threads), index=part.index, dtype=object)
 
     return rows.withColumn(out, run(F.col(prompt_col)))

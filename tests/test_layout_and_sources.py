@@ -131,6 +131,62 @@ def test_streams_factories_and_options():
             make("none", "u", "m")
 
 
+def test_calls_are_bounded_ordered_and_tried_again(tmp_path):
+    import threading
+    import time
+
+    lock, busy, most, asked = threading.Lock(), [0], [0], []
+
+    def slow(item):
+        with lock:
+            busy[0] += 1
+            most[0] = max(most[0], busy[0])
+            asked.append(item)
+        time.sleep(0.02 * (item % 3))
+        with lock:
+            busy[0] -= 1
+        return item * 10
+
+    items = [5, 3, 5, 1, 2, 3, 4, 5, 6, 7]
+    assert providers.at_once(slow, items, 3) == [10 * x for x in items]
+    assert sorted(asked) == sorted(set(items)) and 1 < most[0] <= 3 and providers.at_once(slow, [], 3) == []
+    failures = iter([True, True, False])
+
+    def flaky():
+        if next(failures):
+            raise OSError("busy")
+        return "said"
+
+    assert providers.patiently(flaky, 3, 0.001) == "said"
+    with pytest.raises(OSError):
+        failures = iter([True] * 3)
+        providers.patiently(flaky, 3, 0.001)
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Model:
+        def generate(self, prompt, json_mode=False, temperature=None):
+            import uuid
+
+            open(f"{folder}/{prompt}-{uuid.uuid4().hex}", "w").close()
+            if prompt == "bad":
+                raise OSError("no")
+            return f" {prompt}! "
+
+    class Vectors:
+        def documents(self, texts):
+            assert len(texts) <= 2
+            return [[float(len(x))] for x in texts]
+
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "b", "a", None, "bad", "b", "a"])], "k int, p string").coalesce(1)
+    assert [r.said for r in sorted(providers.generate(rows, Model(), "p", "said").collect())] == ["a!", "b!", "a!", None, None, "b!", "a!"]
+    assert sorted(x.name.split("-")[0] for x in tmp_path.iterdir()) == ["a", "b", "bad", "bad", "bad"]
+    texts = rows.where("p is not null").withColumn("p", F.repeat("p", F.col("k") + 1))
+    assert [r.embedding for r in providers.embed(texts, Vectors(), "p", batch=2).orderBy("k").collect()] == [[1.0], [2.0], [3.0], [15.0], [6.0], [7.0]]
+
+
 MD = "# Abstract\nKısa özet.\n" + "\n".join(f"## Bölüm {i}\nArşiv belgesi {i} hakkında metin. Deniz {'mavi' if i == 3 else 'gri'}." for i in range(6))
 
 

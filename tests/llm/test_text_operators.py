@@ -397,4 +397,4 @@ def test_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert set(entry.queries()) | {"pipeline"} <= names and {x.split("_")[0] for x in entry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert set(entry.queries()) | {"pipeline"} <= names and {x.split("_")[0] for x in entry.queries()} == {f"op{i}" for i in range(1, 14)}

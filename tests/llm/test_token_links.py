@@ -67,7 +67,8 @@ def test_rows_equal_brute_force(spark, libraries, monkeypatch):
     texts = EDGE + ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(1, 40))) for _ in range(150)] + ["same text"] * 3
     want = brute(libraries, texts)
     df = spark.createDataFrame([(k if k % 7 else None, t, "x", "y") for k, t in enumerate(texts)], DOCS).repartition(3)
-    for broadcast in (tl.BROADCAST, 0):
+    for broadcast, cached in ((tl.BROADCAST, tl.CACHED), (0, 5)):
+        monkeypatch.setattr(tl, "CACHED", cached)
         got = tl.token_links(df, public_tokenizers.path(tl.A), public_tokenizers.path(tl.B), broadcast=broadcast)
         assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
         rows = {x.doc_id: tuple(x)[1:] for x in got.collect() if x.doc_id is not None}

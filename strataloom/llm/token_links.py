@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -28,6 +29,7 @@ from .common import let, per_worker, slices, stored, table
 from .token_counts import MARK, PrefixCounter
 
 A, B, BROADCAST, FEW, SLICE = "byte_bpe_50k.json", "piece_bpe_32k.model", 2_000_000, 48, 3_000_000
+CACHED, LONG, NONE = 200_000, 64, array("i")
 _SIDE, _RANK = 1 << 31, (1 << 31) - 1
 _BEFORE_SPACE, _AFTER_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
@@ -44,11 +46,19 @@ class Side:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], raw: list[bytes]):
         self.encode, self.raw, self.size = encode, raw, np.array([len(x) for x in raw], np.int32)
+        self.known: dict[str, array | None] = {}
 
-    def tokens(self, words: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        """The ids of each word, and whether they join to its bytes."""
-        found = self.encode(words)
-        return found, np.array([b"".join(map(self.raw.__getitem__, ids)) == w.encode() for w, ids in zip(words, found)], bool)
+    def tokens(self, words: list[str]) -> list[array | None]:
+        """The ids of each word, None where they do not join to its bytes. At most CACHED words are remembered, none longer than LONG."""
+        known, new = self.known, [w for w in words if w not in self.known]
+        if len(known) + len(new) > CACHED:
+            known.clear()
+            new = words
+        own = {w: array("i", ids) if b"".join(map(self.raw.__getitem__, ids)) == w.encode() else None for w, ids in zip(new, self.encode(new))}
+        out = [own[w] if w in own else known[w] for w in words]
+        if len(own) <= CACHED:
+            known.update((w, ids) for w, ids in own.items() if len(w) <= LONG)
+        return out
 
 
 def byte_level(path: str) -> Side:
@@ -108,8 +118,9 @@ def tokens(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: st
             number: dict[str, int] = {}
             of = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(x)), np.int32) if x and MARK not in x else np.zeros(0, np.int32) for x in texts]
             words = list(number)
-            (found_a, good_a), (found_b, good_b) = (side.tokens(words) for side in sides)
-            good = good_a & good_b
+            found_a, found_b = (side.tokens(words) for side in sides)
+            good = np.array([x is not None and y is not None for x, y in zip(found_a, found_b)], bool)
+            found_a, found_b = ([x if x is not None else NONE for x in found] for found in (found_a, found_b))
             of = [w if good[w].all() else w[:0] for w in of]
             n = np.bincount(np.concatenate([np.zeros(0, np.int32), *of]), minlength=len(words))
             fields = [_lists(found_a, pa.int32()), _ends(found_a, sides[0].size), _lists(found_b, pa.int32()), _ends(found_b, sides[1].size)]
@@ -227,7 +238,9 @@ def token_links(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_co
     """
     aligned = stored(alignment(tokens(docs, a, b, id_col, text_col)).withColumn("slice", F.monotonically_increasing_id()), compression="zstd", **{"parquet.dictionary.page.size": 8 << 20})
     counts = stored(pair_counts(aligned))
-    links = aligned.select("slice", F.posexplode("links").alias("k", "links")).select("slice", "k", F.explode("links").alias("pair"))
+    # dealt by slice once, while a slice is one row: both sums below need no other shuffle
+    dealt = aligned.select("slice", "links").repartition("slice")
+    links = dealt.select("slice", F.posexplode("links").alias("k", "links")).select("slice", "k", F.explode("links").alias("pair"))
     met = links.join(F.broadcast(counts) if counts.count() <= broadcast else counts, "pair")
     words = met.groupBy("slice", "k").agg(F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("count").alias("count_sum"))
     # a slice has as many rows here as it has distinct words; all words of documents have links

@@ -1,13 +1,13 @@
 """Nearest vectors in blocks: exactly, or by an inverted file of cells.
 
-Passages and queries meet in blocks of bounded size. A bucket (a document, or a cell of a document) with more than BLOCK passages is dealt
-to several blocks by a hash of its rows, and its queries are copied to each of them; small buckets share a block. Queries are dealt to
-groups of QUERIES as well, so that no task holds all of a hot bucket. In a block one product of matrices gives all similarities, from
-norms that stand with the vectors, and only the k best of each query leave it.
+Passages and queries meet in blocks of bounded size. A bucket (a document, or a set of cells of a document) with more than BLOCK passages
+is dealt to several blocks by a hash of its rows, and its queries are copied to each of them; small buckets share a block. Queries are
+dealt to groups of QUERIES as well, so that no task holds all of a hot bucket. In a block products of matrices give all similarities,
+from norms that stand with the vectors, for as many queries at once as make PRODUCT numbers; only the k best of each query leave it.
 
 The index has cells around centers that are fitted on a bounded sample (SAMPLE vectors, the ones with the least hashes of their ids); every
 vector is assigned to its nearest center, and zero vectors to the first. A search opens the cells nearest to the query and scores their
-vectors exactly. How many cells that takes is measured: probes() compares a bounded set of queries with the exact search over all rows.
+vectors exactly. Cells are dealt to sets of about BLOCK vectors, and a query goes once to each set that holds some of its cells. How many cells that takes is measured: probes() compares a bounded set of queries with the exact search over all rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 
 #: Passages and queries of a block; vectors and rounds that centers are fitted with; most cells and rows of a table that is broadcast.
 BLOCK, QUERIES, SAMPLE, ROUNDS, MAX_CELLS, BROADCAST = 20_000, 2_000, 20_000, 12, 4_096, 100_000
+#: Numbers that a product of matrices may have (or one row of it), and rows of the k best that a block gathers before it drops all but the k best of each query.
+PRODUCT, GATHERED = 1_000_000, 500_000
 DIGITS = 4
 
 
@@ -54,26 +56,36 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def best_in_blocks(queries: DataFrame, passages: DataFrame, k: int, by: list[str], allowed: str | None = None) -> DataFrame:
+def _first_of_each(owners: np.ndarray, places: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each owner; ties by place."""
+    order = np.lexsort((places, -scores, owners))
+    owners = owners[order]
+    rank = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    order = order[rank < k]
+    return owners[rank < k], places[order], scores[order]
+
+
+def best_in_blocks(queries: DataFrame, passages: DataFrame, k: int, by: list[str], allowed: str | None = None, cells: str | None = None) -> DataFrame:
     """(query_id, the passages' columns but embedding and norm, similarity): for each query the k best of each block of its buckets, or more.
 
-    queries (query_id, *by, query_vector[, allowed]), passages (*by, node_id, chunk_id, embedding, norm, …). allowed names an array of the
-    node ids that a query may meet; null means all.
+    queries (query_id, *by, query_vector[, allowed, cells]), passages (*by, node_id, chunk_id, embedding, norm, …). allowed names an array
+    of the node ids that a query may meet; null means all. cells names an array of the cells that it opens, of those in the passages' cell.
     """
     asked = queries.groupBy(*by).agg(F.count(F.lit(1)).alias("_q"))
     sizes = passages.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(asked, by)
-    more = sizes.select(*by, "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_q") / QUERIES).cast("int").alias("_groups"))
+    more = sizes.select(*by, "_n", "_q", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_q") / QUERIES).cast("int").alias("_groups"))
     # one row; what needs no second block nor group is not looked up
-    whole = more.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count_if(F.expr("_blocks > 1 or _groups > 1")).alias("large")).first()
-    large = more.where("_blocks > 1 or _groups > 1").drop("_n")
+    small = F.expr("_blocks = 1 and _groups = 1")
+    whole = more.agg(*[F.coalesce(F.sum(F.when(small, F.col(c))), F.lit(0)).alias(c) for c in ("_n", "_q")], F.count_if(~small).alias("large")).first()
+    large = more.where(~small).drop("_n", "_q")
     large = F.broadcast(large) if whole["large"] <= BROADCAST else large
-    shared = max(1, -(-whole["n"] // BLOCK))
+    shared = max(1, -(-whole["_n"] // BLOCK), -(-whole["_q"] // QUERIES))
 
     def dealt(rows: DataFrame, block: Column, group: Column) -> DataFrame:
-        """rows with _part and _group. Small buckets share parts, each block of a large one is a part."""
+        """rows with _part and _group. Small buckets share parts, of about as many passages and queries as one block; each block of a large one is a part."""
         rows = rows.join(large, by, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_blocks", "_groups")})
         rows = rows.withColumn("_block", block).withColumn("_group", group)
-        part = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64(*by), F.lit(shared)).cast("long")).otherwise(F.xxhash64(*by, "_block"))
+        part = F.when(small, F.pmod(F.xxhash64(*by), F.lit(shared)).cast("long")).otherwise(F.xxhash64(*by, "_block"))
         return rows.withColumn("_part", part).drop("_blocks", "_groups", "_block")
 
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -88,33 +100,44 @@ def best_in_blocks(queries: DataFrame, passages: DataFrame, k: int, by: list[str
             return pa.table({f.name: rows.column(f.name).slice(0, 0) if f.name in rows.column_names else asked.column("query_id").slice(0, 0) if f.name == "query_id" else pa.array([], pa.float64()) for f in schema.fields})
         rows = rows.sort_by("chunk_id")
         places, owners = {}, {}
-        for at, table in ((places, rows), (owners, asked)):
-            for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in by))):
-                at.setdefault(key, []).append(i)
+        for i, key in enumerate(zip(*(rows.column(c).to_pylist() for c in [*by, *(["cell"] if cells else [])]))):
+            places.setdefault(key, []).append(i)
+        opened = asked.column(cells).to_pylist() if cells else None
+        for i, key in enumerate(zip(*(asked.column(c).to_pylist() for c in by))):
+            for one in [key] if opened is None else [(*key, c) for c in opened[i]]:
+                owners.setdefault(one, []).append(i)
         nodes = np.asarray(rows.column("node_id"))
-        out_rows, out_queries, out_scores = [], [], []
+        out, gathered = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         for key, mine in owners.items():
             there = np.array(places.get(key, []), np.int64)
             if not len(there):
                 continue
-            part, those = rows.take(pa.array(there)), asked.take(pa.array(mine))
-            lengths = [np.asarray(pc.fill_null(pc.list_value_length(t.column(c)), 0)) for t, c in ((part, "embedding"), (those, "query_vector"))]
-            found = similarities(matrix(part.column("embedding")), np.asarray(part.column("norm"), np.float64), lengths[0], matrix(those.column("query_vector")), lengths[1])
-            limits = those.column(allowed).to_pylist() if allowed else [None] * len(mine)
-            for q, limit, scores in zip(mine, limits, found):
-                open_ = np.arange(len(there)) if limit is None else np.flatnonzero(np.isin(nodes[there], limit))
-                mine_scores = scores[open_]
-                if len(open_) > k:
-                    # all that tie with the k-th stay for now; rows stand in the order of ids
-                    open_ = open_[mine_scores >= np.partition(mine_scores, -k)[-k]]
-                    open_ = open_[np.argsort(-scores[open_], kind="stable")[:k]]
-                out_rows.append(there[open_])
-                out_queries.append(np.full(len(open_), q))
-                out_scores.append(scores[open_])
-        pick = pa.array(np.concatenate([np.zeros(0, np.int64), *out_rows]))
-        got = rows.take(pick)
-        ids = asked.column("query_id").take(pa.array(np.concatenate([np.zeros(0, np.int64), *out_queries])))
-        return pa.table({f.name: ids if f.name == "query_id" else pa.array(np.concatenate([np.zeros(0), *out_scores])) if f.name == "similarity" else got.column(f.name) for f in schema.fields})
+            part = rows.take(pa.array(there))
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(part.column("embedding")), 0))
+            vectors, norms = matrix(part.column("embedding")), np.asarray(part.column("norm"), np.float64)
+            step = max(1, PRODUCT // len(there))
+            for at in range(0, len(mine), step):
+                those = asked.take(pa.array(mine[at : at + step]))
+                asked_lengths = np.asarray(pc.fill_null(pc.list_value_length(those.column("query_vector")), 0))
+                found = similarities(vectors, norms, lengths, matrix(those.column("query_vector")), asked_lengths)
+                limits = those.column(allowed).to_pylist() if allowed else [None] * len(those)
+                for q, limit, scores in zip(mine[at : at + step], limits, found):
+                    open_ = np.arange(len(there)) if limit is None else np.flatnonzero(np.isin(nodes[there], limit))
+                    mine_scores = scores[open_]
+                    if len(open_) > k:
+                        # all that tie with the k-th stay for now; rows stand in the order of ids
+                        open_ = open_[mine_scores >= np.partition(mine_scores, -k)[-k]]
+                        open_ = open_[np.argsort(-scores[open_], kind="stable")[:k]]
+                    out.append((np.full(len(open_), q), there[open_], scores[open_]))
+                    gathered += len(open_)
+                if gathered > GATHERED:
+                    out = [_first_of_each(*map(np.concatenate, zip(*out)), k)]
+                    # at least as many again, so that sorting stays in proportion
+                    gathered = -len(out[0][0])
+        out_queries, out_rows, out_scores = _first_of_each(*map(np.concatenate, zip(*out)), k)
+        got = rows.select([f.name for f in kept]).take(pa.array(out_rows))
+        ids = asked.column("query_id").take(pa.array(out_queries))
+        return pa.table({f.name: ids if f.name == "query_id" else pa.array(out_scores) if f.name == "similarity" else got.column(f.name) for f in schema.fields})
 
     return left.groupBy("_part", "_group").cogroup(right.groupBy("_part", "_group")).applyInArrow(score, schema)
 
@@ -141,8 +164,16 @@ class Index:
     def search(self, queries: DataFrame, k: int, probes: int, scope: DataFrame | None = None) -> DataFrame:
         """(query_id, passages' columns, similarity, rank): the k nearest of the query's document in its probes nearest cells; with all cells, exactly what the exact search gives."""
         asked = with_scope(queries.select("query_id", "document_id", "query_vector"), scope)
-        opened = _cells(asked, "query_vector", self.centers, probes).withColumn("cell", F.explode("cell"))
-        return best(best_in_blocks(opened, self.rows, k, ["document_id", "cell"], "allowed"), k).drop("cell")
+        if probes >= len(self.centers):
+            # cells that are all open need not be told apart
+            return best(best_in_blocks(asked, self.rows, k, ["document_id"], "allowed"), k).drop("cell")
+        # sets of cells: as many as the rows make blocks, if no document has more of them
+        sets = max(1, min(len(self.centers), -(-self.rows.count() // BLOCK)))
+        own = lambda c: F.pmod(c, F.lit(sets))
+        opened = _cells(asked, "query_vector", self.centers, probes).withColumnRenamed("cell", "_open")
+        opened = opened.withColumn("_set", F.explode(F.array_distinct(F.transform("_open", own)))).withColumn("_open", F.filter("_open", lambda c: own(c) == F.col("_set")))
+        rows = self.rows.withColumn("_set", own(F.col("cell")))
+        return best(best_in_blocks(opened, rows, k, ["document_id", "_set"], "allowed", "_open"), k).drop("cell", "_set")
 
     def write(self, path: str) -> None:
         """Partitioned by cell, so that a search reads only the cells that it opens; the centers beside it."""
@@ -164,10 +195,12 @@ def _cells(rows: DataFrame, column: str, centers: np.ndarray, n: int) -> DataFra
     units = np.divide(centers, size[:, None], out=np.zeros_like(centers), where=size[:, None] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PRODUCT // len(units))
         for batch in batches:
             vectors = matrix(batch.column(column))
             width = min(vectors.shape[1], units.shape[1])
-            order = np.argsort(-(vectors[:, :width] @ units[:, :width].T), axis=1, kind="stable")[:, :n].astype(np.int32)
+            order = [np.argsort(-(vectors[at : at + step, :width] @ units[:, :width].T), axis=1, kind="stable")[:, :n].astype(np.int32) for at in range(0, len(vectors), step)]
+            order = np.concatenate([np.zeros((0, n), np.int32), *order])
             cells = pa.ListArray.from_arrays(np.arange(0, order.size + 1, n, dtype=np.int32), order.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cell"])
 

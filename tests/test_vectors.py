@@ -78,3 +78,24 @@ def test_a_hot_bucket_is_dealt_to_blocks(spark, monkeypatch):
     got = vectors.exactly(q, p, 5)
     assert {(r.query_id, r.chunk_id) for r in got.collect()} == {(a, b) for a in range(40) for b in range(5)}
     assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("cells", [1, 8])
+def test_products_of_a_block_are_bounded(spark, monkeypatch, cells):
+    whole = vectors.similarities
+
+    def watched(vectors_, norms, lengths, queries, query_lengths):
+        assert len(vectors_) * len(queries) <= 1_000
+        return whole(vectors_, norms, lengths, queries, query_lengths)
+
+    monkeypatch.setattr(vectors, "similarities", watched)
+    monkeypatch.setattr(vectors, "PRODUCT", 1_000, raising=False)
+    monkeypatch.setattr(vectors, "GATHERED", 50, raising=False)
+    r = random.Random(5)
+    passages = [(0, 0, f"c{k:04d}", [r.gauss(0, 1) for _ in range(5)], "") for k in range(300)]
+    queries = [(q, 0, [r.gauss(0, 1) for _ in range(5)]) for q in range(60)]
+    p, q = spark.createDataFrame(passages, PASSAGES), spark.createDataFrame(queries, QUERIES)
+    index = vectors.build(p, cells=10)
+    found = vectors.exactly(q, p, 4) if cells == 1 else index.search(q, 4, cells)
+    assert vectors.recall(found, spark.createDataFrame(sorted(brute(queries, passages, 4)), "query_id bigint, chunk_id string, content string, similarity double, rank int")) > (0.999 if cells == 1 else 0.8)
+    assert found.count() == 240

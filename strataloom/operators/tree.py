@@ -16,6 +16,8 @@ NOISE = ("icindekiler", "sekiller listesi", "tablolar listesi", "sekil listesi",
 ABSTRACTS = ("özet", "abstract", "ozet", "öz", "summary")
 #: Distinct levels that raw nodes may have; more are refused. Markdown has MARKDOWN_LEVELS.
 MAX_LEVELS, MARKDOWN_LEVELS = 64, (1, 2, 3, 4, 5)
+#: Raw nodes of a task, about: what a task sorts and gathers is many times what its nodes take in a shuffle, by which Spark joins partitions.
+TASK_NODES = 200_000
 #: Doubling steps after which a chain of parents must be a circle.
 MAX_STEPS = 40
 HEADING, MARKER = r"^(#{1,5})\s+(.+)$", r"^<!-- Page (\d+) -->"
@@ -69,10 +71,12 @@ def with_parents(sections: DataFrame, levels: tuple[int, ...] | None = None) ->
     """
     sections = sections.withColumn("level", F.greatest("level", F.lit(1)))
     if levels is None:
-        # at most MAX_LEVELS + 1 numbers
-        levels = sorted(r["level"] for r in sections.select("level").distinct().limit(MAX_LEVELS + 1).collect())
+        # at most MAX_LEVELS + 1 rows
+        found = sections.groupBy("level").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LEVELS + 1).collect()
+        levels = sorted(r["level"] for r in found)
         if len(levels) > MAX_LEVELS:
             raise ValueError(f"nodes of more than {MAX_LEVELS} levels")
+        sections = sections.repartition(sum(r["n"] for r in found) // TASK_NODES + 1, "document_id")
     order = Window.partitionBy("document_id").orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     nodes = sections.withColumn("node_id", F.row_number().over(order))

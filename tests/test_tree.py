@@ -122,3 +122,10 @@ def test_any_levels(spark):
     assert rows(tree.tree_from_raw(raw([3, 40, 900, 40, 17, 0]), Settings(max_tree_depth=1000)), "parent_id", "path") == [(None, "0"), (1, "0 > 1"), (2, "0 > 1 > 2"), (1, "0 > 3"), (1, "0 > 4"), (None, "5")]
     with pytest.raises(ValueError):
         tree.with_parents(raw(range(1, tree.MAX_LEVELS + 2)))
+
+
+def test_raw_nodes_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tree, "TASK_NODES", 10, raising=False)
+    raw = spark.range(100).select((F.col("id") % 20).alias("document_id"), F.col("id").alias("seq"), (F.col("id") % 3 + 1).cast("int").alias("level"), F.lit("h").alias("heading"), F.lit("c").alias("content"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    nodes = tree.tree_from_raw(raw)
+    assert nodes.count() == 100 and nodes.rdd.getNumPartitions() == 11

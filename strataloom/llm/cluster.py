@@ -14,13 +14,14 @@ Nothing here collects a bucket, a component or a link to the driver or to one ta
    So with the differences of a member in order of their frequency, all but an end of that weight (the prefix filter) must hold one that
    the two share. These differences are the new, much smaller buckets, and no link is lost. They go to step 2, and again to step 3.
 
-After ROUNDS refinements the pairs that are left are verified, whatever their number, so the components are always those of all
-candidate pairs.
+After ROUNDS refinements, a further one follows only as long as the last one has at least halved the pairs of large buckets. Then the pairs
+that are left are verified, whatever their number, so the components are always those of all candidate pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, let
 
-#: Refinements, and the pairs for each member up to which a bucket is compared as it is.
+#: Refinements that are made in any case, and the pairs for each member up to which a bucket is compared as it is.
 ROUNDS, FEW = 3, 4
 MAX_STEPS = 60
 #: Rows that a partition of a table of links should hold at least.
@@ -149,17 +150,21 @@ def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     rows = rows.join(pivots, "key").withColumn("side", F.col("id"))
     roots = components(cut(verify(_pairs(rows.select(F.col("id").alias("x"), F.col("p").alias("y"))))))
     roots = cut(roots)
-    for step in range(ROUNDS + 1):
+    before = float("inf")
+    for step in count():
         labelled = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min("side").alias("lo"), F.max("side").alias("hi"))
         whole = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("roots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         whole = whole.where("roots > 1 and lo <> hi")
-        few = ((F.col("all") * F.col("all") - F.col("squares")) / 2 <= FEW * F.col("all")) | F.lit(step == ROUNDS)
-        left = cut(labelled.join(whole.select("key", few.alias("few")), "key"))
-        # two numbers
-        there = {r["few"] for r in left.select("few").distinct().collect()}
+        across = (F.col("all") * F.col("all") - F.col("squares")) / 2
+        left = cut(labelled.join(whole.select("key", (across <= FEW * F.col("all")).alias("few"), (across / F.col("all")).alias("share")), "key"))
+        # two rows: the pairs across components of small buckets and of large ones
+        there = {r["few"]: r["pairs"] for r in left.groupBy("few").agg(F.sum("share").alias("pairs")).collect()}
         if not there:
             break
+        if False in there and step >= ROUNDS and there[False] > before / 2:
+            there, left = {True: 0.0}, left.withColumn("few", F.lit(True))
+        before = there.get(False, 0.0)
         links = []
         if True in there:
             # a bucket's first pivot has met all its members

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import let, per_worker, slices, stored, table
 from .token_counts import MARK, PrefixCounter
 
-A, B, BROADCAST, FEW, SLICE = "byte_bpe_50k.json", "piece_bpe_32k.model", 2_000_000, 48, 3_000_000
-_SIDE, _RANK = 1 << 31, (1 << 31) - 1
+A, B, BROADCAST, FEW, SLICE, JOINED = "byte_bpe_50k.json", "piece_bpe_32k.model", 2_000_000, 48, 5_000_000, 200
+#: Slices that a task holds on average where words are summed up, and encoded bytes of a row group of them. Both bound a task's memory, whatever the input.
+DEALT, GROUP = 5, 32 << 20
+# a row is megabytes, so that a row group's size is looked at after each row; a reader holds a row group at most
+STORED = {"parquet.dictionary.page.size": 8 << 20, "parquet.page.size": 8 << 20, "parquet.block.size": GROUP, "parquet.page.size.row.check.min": 1}
+_SIDE, _RANK, _PART = 1 << 31, (1 << 31) - 1, (1 << 21) - 1
 _BEFORE_SPACE, _AFTER_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
@@ -45,10 +50,30 @@ class Side:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], raw: list[bytes]):
         self.encode, self.raw, self.size = encode, raw, np.array([len(x) for x in raw], np.int32)
 
-    def tokens(self, words: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        """The ids of each word, and whether they join to its bytes."""
-        found = self.encode(words)
-        return found, np.array([b"".join(map(self.raw.__getitem__, ids)) == w.encode() for w, ids in zip(words, found)], bool)
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, one word after another, how many each word has, and whether they join to its bytes.
+
+        Words are tokenised JOINED at a time as one text, which is cut where words begin; a text that does not come back is tokenised word by word.
+        """
+        # a word that ends in white space would take in the space of the next one
+        alone = np.flatnonzero([w[-1].isspace() for w in words]) + 1
+        edges = np.unique(np.concatenate([np.arange(0, len(words), JOINED), alone, [len(words)]])).tolist()
+        parts = list(zip(edges, edges[1:]))
+        texts = ["".join(words[i:j]) for i, j in parts]
+        lengths = np.array([len(w.encode()) for w in words], np.int64)
+        flat, n, good = [np.zeros(0, np.int32)], np.zeros(len(words), np.int32), np.ones(len(words), bool)
+        for (i, j), text, ids in zip(parts, texts, self.encode(texts)):
+            found = np.array(ids, np.int32)
+            ends, begin = np.cumsum(self.size[found], dtype=np.int64), np.cumsum(lengths[i:j])
+            stop = np.searchsorted(ends, begin)
+            if b"".join(map(self.raw.__getitem__, ids)) == text.encode() and (ends[stop] == begin).all():
+                n[i:j] = np.diff(stop + 1, prepend=0)
+                flat.append(found)
+                continue
+            each = self.encode(words[i:j])
+            n[i:j], good[i:j] = [len(x) for x in each], [b"".join(map(self.raw.__getitem__, x)) == w.encode() for w, x in zip(words[i:j], each)]
+            flat.append(np.fromiter(chain.from_iterable(each), np.int32))
+        return np.concatenate(flat), n, good
 
 
 def byte_level(path: str) -> Side:
@@ -82,18 +107,15 @@ def pieces(path: str) -> Side:
 WORD = "struct<a: array<int>, ae: array<int>, b: array<int>, be: array<int>>"
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.ListArray:
-    """One list of numbers a row."""
-    ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(rows), kind.to_pandas_dtype(), ends[-1]), kind))
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """values, dealt to lists of n each."""
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(values))
 
 
-def _ends(found: list[list[int]], size: np.ndarray) -> pa.ListArray:
-    """Where each token of a word ends, in bytes."""
-    ids = _lists(found, pa.int32())
-    sums = np.append(0, np.cumsum(size[ids.values.to_numpy()], dtype=np.int64))
-    starts = ids.offsets.to_numpy()
-    return pa.ListArray.from_arrays(ids.offsets, pa.array((sums[1:] - np.repeat(sums[starts[:-1]], np.diff(starts))).astype(np.int32)))
+def _ends(ids: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each token of a word ends, in bytes; words have n tokens each."""
+    sums = np.append(0, np.cumsum(size[ids], dtype=np.int64))
+    return (sums[1:] - np.repeat(sums[np.cumsum(n) - n], n)).astype(np.int32)
 
 
 def tokens(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,16 +127,20 @@ def tokens(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = per_worker(f"links {a} {b}", lambda: (byte_level(a), pieces(b)))
         for part, texts in slices(batches, "t", SLICE):
-            number: dict[str, int] = {}
-            of = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(x)), np.int32) if x and MARK not in x else np.zeros(0, np.int32) for x in texts]
+            number = defaultdict(count().__next__)
+            of = [np.fromiter(map(number.__getitem__, words_of(x)), np.int32) if x and MARK not in x else np.zeros(0, np.int32) for x in texts]
             words = list(number)
-            (found_a, good_a), (found_b, good_b) = (side.tokens(words) for side in sides)
-            good = good_a & good_b
-            of = [w if good[w].all() else w[:0] for w in of]
-            n = np.bincount(np.concatenate([np.zeros(0, np.int32), *of]), minlength=len(words))
-            fields = [_lists(found_a, pa.int32()), _ends(found_a, sides[0].size), _lists(found_b, pa.int32()), _ends(found_b, sides[1].size)]
+            fields, good = [], np.ones(len(words), bool)
+            for side in sides:
+                ids, n, right = side.tokens(words)
+                fields += [_lists(ids, n), _lists(_ends(ids, n, side.size), n)]
+                good &= right
+            if not good.all():
+                of = [w if good[w].all() else w[:0] for w in of]
+            numbers = np.concatenate([np.zeros(0, np.int32), *of])
+            n = np.bincount(numbers, minlength=len(words))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            rows = pa.StructArray.from_arrays([part.column("i"), _lists(of, pa.int32())], ["i", "w"])
+            rows = pa.StructArray.from_arrays([part.column("i"), _lists(numbers, [len(w) for w in of])], ["i", "w"])
             yield pa.RecordBatch.from_arrays([one(pa.StructArray.from_arrays(fields, ["a", "ae", "b", "be"])), one(pa.array(n, pa.int64())), one(rows)], ["words", "n", "docs"])
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
@@ -134,7 +160,10 @@ def _packed(a: Column, b: Column) -> Column:
 def link_pairs(a: Column, ae: Column, b: Column, be: Column) -> Column:
     """array<bigint>: B id << 32 | A id of every link, in the order of the text."""
 
-    def of(merged: Column) -> Column:
+    def of(word: Column) -> Column:
+        # bound once a word, as a field of a row is made anew whenever it is named
+        a, b, merged = (word[x] for x in ("a", "b", "merged"))
+
         def pair(c: Column, m: Column) -> Column:
             i = c.bitwiseAND(F.lit(_RANK)).cast("int")
             of_a = c.bitwiseAND(F.lit(_SIDE)) == 0
@@ -144,7 +173,7 @@ def link_pairs(a: Column, ae: Column, b: Column, be: Column) -> Column:
 
         return F.filter(F.transform(merged, pair), lambda x: x.isNotNull())
 
-    return let(F.sort_array(F.concat(_coded(ae), _coded(be, _SIDE))), of)
+    return let(F.struct(a.alias("a"), b.alias("b"), F.sort_array(F.concat(_coded(ae), _coded(be, _SIDE))).alias("merged")), of)
 
 
 def _places(cuts: Column, ends: Column) -> Column:
@@ -197,6 +226,13 @@ def _total(w: Column, words: Column, name: str) -> Column:
     return F.aggregate(w, F.lit(0).cast("long"), lambda s, k: s + F.get(words[name], k)).alias(name)
 
 
+def _totals(w: Column, words: Column, names: tuple[str, ...]) -> Column:
+    """The sums of three numbers over a document's words, added as one number of 21 bits each where none can reach them."""
+    one = F.aggregate(w, F.lit(0).cast("long"), lambda s, k: s + F.get(words["packed"], k))
+    apart = lambda s: F.struct(*[F.shiftright(s, 21 * n).bitwiseAND(F.lit(_PART)).alias(x) for n, x in enumerate(names)])
+    return F.when(F.size(w) * words["most"] <= _PART, let(one, apart)).otherwise(F.struct(*[_total(w, words, x) for x in names]))
+
+
 def alignment(tokenised: DataFrame) -> DataFrame:
     """(links, n, docs): by slice the links of each word and its number in the slice, and (i, w, n_a, n_b, n_groups, groups_sha256) of each document."""
     known = tokenised.select("n", "docs", aligned_words(F.col("words")).alias("words"))
@@ -204,9 +240,13 @@ def alignment(tokenised: DataFrame) -> DataFrame:
     def doc(d: Column, words: Column) -> Column:
         w = d["w"]
         text = F.array_join(F.transform(w, lambda k: F.get(words["groups"], k)), ";")
-        return F.struct(d["i"].alias("i"), w.alias("w"), *[_total(w, words, x) for x in ("n_a", "n_b", "n_groups")], F.when(F.size(w) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"))
+        digest = F.when(F.size(w) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256")
+        return let(_totals(w, words, names), lambda sums: F.struct(d["i"].alias("i"), w.alias("w"), *[sums[x].alias(x) for x in names], digest))
 
-    docs = let(_apart("n_a", "n_b", "n_groups", "groups"), lambda words: F.transform("docs", lambda d: doc(d, words)))
+    names = ("n_a", "n_b", "n_groups")
+    packed = F.transform("words", lambda x: F.shiftleft(x["n_groups"].cast("long"), 42).bitwiseOR(F.shiftleft(x["n_b"].cast("long"), 21)).bitwiseOR(x["n_a"].cast("long")))
+    most = F.coalesce(F.greatest(*[F.array_max(f"words.{x}") for x in names]), F.lit(0)).cast("long")
+    docs = let(F.struct(*[F.col(f"words.{x}").alias(x) for x in (*names, "groups")], packed.alias("packed"), most.alias("most")), lambda words: F.transform("docs", lambda d: doc(d, words)))
     return known.select(F.col("words.links").alias("links"), "n", docs.alias("docs"))
 
 
@@ -225,10 +265,11 @@ def token_links(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_co
     all returned, so are rows with a null id; ties between pairs of a B id are all best; other columns are ignored; an empty table gives an
     empty result. A long text is tokenised in its task, with memory in proportion to its length.
     """
-    aligned = stored(alignment(tokens(docs, a, b, id_col, text_col)).withColumn("slice", F.monotonically_increasing_id()), compression="zstd", **{"parquet.dictionary.page.size": 8 << 20})
+    aligned = stored(alignment(tokens(docs, a, b, id_col, text_col)).withColumn("slice", F.monotonically_increasing_id()), compression="zstd", **STORED)
     counts = stored(pair_counts(aligned))
     # dealt by slice once, while a slice is one row: both sums below need no other shuffle
-    dealt = aligned.select("slice", "links").repartition("slice")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-aligned.count() // DEALT))
+    dealt = aligned.select("slice", "links").repartition(parts, "slice")
     links = dealt.select("slice", F.posexplode("links").alias("k", "links")).select("slice", "k", F.explode("links").alias("pair"))
     met = links.join(F.broadcast(counts) if counts.count() <= broadcast else counts, "pair")
     words = met.groupBy("slice", "k").agg(F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("count").alias("count_sum"))

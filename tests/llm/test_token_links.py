@@ -91,3 +91,32 @@ def test_a_long_text(spark):
     text = "pneumonoultramicroscopic " * 60_000
     row = tl.token_links(spark.createDataFrame([(1, text, "", "")], DOCS), public_tokenizers.path(tl.A), public_tokenizers.path(tl.B)).first()
     assert row.n_links == row.n_a + row.n_b - row.n_groups and row.count_sum > row.n_links
+
+
+def test_words_tokenised_together_are_those_of_single_words():
+    r = random.Random(5)
+    texts = [x for x in EDGE if x and "▁" not in x] + ["".join(r.choice("abc é\n日😀\u3000\uff21") for _ in range(r.randint(1, 30))) for _ in range(300)]
+    words = list(dict.fromkeys(w for x in texts for w in tl.words_of(x)))
+    for side in (tl.byte_level(public_tokenizers.path(tl.A)), tl.pieces(public_tokenizers.path(tl.B))):
+        ids, n, good = side.tokens(words)
+        each = side.encode(words)
+        assert n.tolist() == [len(x) for x in each] and ids.tolist() == [i for x in each for i in x]
+        assert good.tolist() == [b"".join(side.raw[i] for i in x) == w.encode() for w, x in zip(words, each)]
+
+
+def test_a_task_holds_few_slices_whatever_the_input(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tl, "SLICE", 40_000)
+    monkeypatch.setitem(tl.STORED, "parquet.block.size", 200_000)
+    r = random.Random(7)
+    rows = [(k, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(2_000)), "", "") for k in range(200)]
+    kept, stored = [], tl.stored
+    monkeypatch.setattr(tl, "stored", lambda df, **options: kept.append(stored(df, **options)) or kept[-1])
+    found = tl.token_links(spark.createDataFrame(rows, DOCS).coalesce(1), public_tokenizers.path(tl.A), public_tokenizers.path(tl.B))
+    files = [pq.ParquetFile(x.replace("file:", "")) for x in kept[0].inputFiles()]
+    slices = kept[0].count()
+    assert slices > 12 * tl.DEALT and found.count() == 200
+    # before, a row group held 100 rows at least, and the shuffle's partitions did not grow with the slices
+    assert max(f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) <= 20
+    assert f", {-(-slices // tl.DEALT)}" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -40,19 +40,20 @@ def stored(df: DataFrame, **options) -> DataFrame:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with checkpoint(); its folder is the cluster's spark.checkpoint.dir.
-
-    Shuffle files and checkpoints of earlier steps go when the driver collects its garbage, which a small driver heap may put off for
-    long; so it is collected here.
-    """
+    """Cuts the lineage with checkpoint(); its folder is the cluster's spark.checkpoint.dir."""
     _folder(df.sparkSession)
     out = df.checkpoint(eager)
     if eager:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        sweep(df.sparkSession)
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints of earlier steps go when the driver collects its garbage, which a small driver heap may put off for long; so it is collected here."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(expr: Column, use: Callable[[Column], Column]) -> Column:
     """use(expr), with expr evaluated once however often use names it."""
     return F.element_at(F.transform(F.array(expr), use), 1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cluster import among, contrast_sets, link_classes, placed, shared_buckets, with_contents
-from .common import cut, hash_words, mix, slices, stored, table, windows
+from .common import cut, hash_words, mix, slices, stored, sweep, table, windows
 
 WORDS, PARAGRAPH, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 5, 24, 26, 0.8, 8, 3
 KEYS = [f"k{b}" for b in range(BANDS)]
@@ -229,7 +229,9 @@ def equal_runs(inner: DataFrame, docs: DataFrame) -> DataFrame:
             asked = part if asked is None else asked.unionByName(part)
     # many runs may meet one place, so each place is taken once
     spots = cut(asked.distinct().withColumn("stop", F.col("first") + BLOCK).withColumn("id", F.monotonically_increasing_id()))
-    flanks = spots.join(_words(docs, spots, _flanks, "before array<bigint>, behind array<bigint>"), "id")
+    # read four times below; the texts are shuffled for it, and those files may go before the next ones are written
+    flanks = stored(spots.join(_words(docs, spots, _flanks, "before array<bigint>, behind array<bigint>"), "id"), compression="zstd")
+    sweep(docs.sparkSession)
 
     def agreed(a: str, b: str):
         """How many elements agree from the start."""

@@ -16,6 +16,12 @@ Nothing here collects a bucket, a component or a link to the driver or to one ta
 
 After ROUNDS refinements, a further one follows only as long as the last one has at least halved the pairs of large buckets. Then the pairs
 that are left are verified, whatever their number, so the components are always those of all candidate pairs.
+
+Plain sets (set_classes) need no refinement: after step 1, the pairs of a bucket across components meet as sketches of 64 * WORDS bits, and
+only pairs that these cannot tell apart are verified. A bit of a sketch is the parity of the elements that fall on it, so two sketches
+differ in no more bits than the sets do in elements, and a pair that differs in too many has no similarity of the threshold: no link is
+lost. Sketches are compared inside a join, in tiles of buckets, so a bucket is dealt to many tasks; this is quadratic in a bucket, at some
+ten machine instructions a pair, but no row is made of a pair that sketches tell apart.
 """
 
 from __future__ import annotations
@@ -134,6 +140,62 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return among(bands, "key", several, "key").join(several, "key")
 
 
+#: Words of 64 bits in a sketch, and members that a tile of a bucket has on average.
+WORDS, TILE = 16, 1000
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, w0, w1, …) of sets (id, s): the size of s, an array without repeated elements, and for each of 64 * WORDS bits the parity of the elements on it."""
+    h = sets.select("id", F.explode("s").alias("v")).select("id", F.xxhash64("v").alias("h"))
+    spots = h.select("id", F.expr(f"pmod(shiftright(h, 6), {WORDS})").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return spots.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(F.col("w") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
+
+
+def _near(members: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, far) of the pairs a < b of one key and two roots whose sketches allow a similarity of threshold; far is 1 where they hardly do. members: (key, id, root, many: the members of the key)."""
+    words = [f"w{j}" for j in range(WORDS)]
+    dealt = members.join(marks, "id").withColumn("tiles", F.expr(f"cast(ceil(many / {TILE}) as int)")).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
+    # a tile meets itself and each other one
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("many", "tiles", "other")
+    half = lambda x: dealt.select("key", "lo", "hi", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "tile", "n", *words)])
+    # sets of similarity t differ in no more than (1 - t) / (1 + t) of their sizes' sum
+    most = f"(x_n + y_n) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6D"
+    unlike = " + ".join(f"bit_count(x_{w} ^ y_{w})" for w in words)
+    met = f"x_id < y_id and x_root <> y_root and (lo = hi or x_tile <> y_tile) and abs(x_n - y_n) <= {most} and {unlike} <= {most}"
+    pairs = half("x").join(half("y"), ["key", "lo", "hi"]).where(met)
+    return pairs.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.min(F.expr(f"({unlike}) / ({most})")).alias("far"))
+
+
+def set_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], contents: DataFrame, elements: Column, threshold: float) -> DataFrame:
+    """(id, root) as link_classes gives them, for sets: elements of contents (id, ...) is an array of type long without repeated elements."""
+    rows, roots, _ = _met(buckets, verify)
+    # a pivot has met all members of its bucket
+    others = rows.where("id <> p").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = others.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "many")
+    left = cut(others.join(mixed, "key"))
+    marks = sketches(contents.join(left.select("id").distinct(), "id", "left_semi").select("id", elements.alias("s")))
+    near = cut(_near(left, marks, threshold))
+    # each member with the one nearest to it first, so that most links of a group need not be verified
+    ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far"))
+    best = ends.groupBy("x").agg(F.min(F.struct("far", "y"))["y"].alias("y"))
+    roots = cut(_joined(roots, [cut(verify(_pairs(best)))]))
+    name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = near.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    return cut(_joined(roots, [cut(verify(apart))]))
+
+
+def _met(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, id, pop, p) with the most popular member p of each bucket, the (id, root) that links to these give, and (id, pop)."""
+    rows = buckets.select("key", "id", "n")
+    popular = cut(rows.groupBy("id").agg(F.sum("n").alias("pop")))
+    rows = cut(rows.join(popular, "id").select("key", "id", "pop"))
+    pivots = rows.groupBy("key").agg(F.max(F.struct("pop", "id"))["id"].alias("p"))
+    rows = rows.join(pivots, "key")
+    roots = components(cut(verify(_pairs(rows.select(F.col("id").alias("x"), F.col("p").alias("y"))))))
+    return rows, cut(roots), popular
+
+
 def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], contrast: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(id, root) of the ids with a link, by the components of all verified candidate pairs.
 
@@ -142,14 +204,9 @@ def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     tokens, weights: the differences of b from a with their weights; w, whole: w and C of the text above). A token stands for a shingle
     and the sign of the difference. Both may be called several times.
     """
-    rows = buckets.select("key", "id", "n")
-    popular = cut(rows.groupBy("id").agg(F.sum("n").alias("pop")))
-    rows = cut(rows.join(popular, "id").select("key", "id", "pop"))
-    pivots = rows.groupBy("key").agg(F.max(F.struct("pop", "id"))["id"].alias("p"))
+    rows, roots, popular = _met(buckets, verify)
     # members of one side need not meet: here each is a side of its own
-    rows = rows.join(pivots, "key").withColumn("side", F.col("id"))
-    roots = components(cut(verify(_pairs(rows.select(F.col("id").alias("x"), F.col("p").alias("y"))))))
-    roots = cut(roots)
+    rows = rows.withColumn("side", F.col("id"))
     before = float("inf")
     for step in count():
         labelled = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

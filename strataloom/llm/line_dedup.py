@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import alike_sets, among, contrast_sets, link_classes, placed, shared_buckets, with_contents
+from .cluster import alike_sets, among, placed, set_classes, shared_buckets, with_contents
 from .common import cut, let, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 8, 3
@@ -89,10 +89,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sides = with_contents(pairs, texts, "line")
         return sides.where(alike_sets(shingle_set(F.col("x")), shingle_set(F.col("y")), SIMILARITY)).select("a", "b")
 
-    def contrast(pairs: DataFrame) -> DataFrame:
-        return contrast_sets(with_contents(pairs, texts, "line"), shingle_set(F.col("x")), shingle_set(F.col("y")), SIMILARITY)
-
-    roots = link_classes(buckets, verify, contrast, SIMILARITY)
+    roots = set_classes(buckets, verify, texts, shingle_set(F.col("line")), SIMILARITY)
     member = items.select("h1", "h2", "id", "n").join(roots, "id", "left").where("n > 1 or root is not null").select("h1", "h2", F.coalesce("root", "id").alias("class"))
     member = cut(member)
     places = among(lines.select("i", "th", "pos", "h1", "h2"), "h1", member, "h1").join(member, ["h1", "h2"]).select("class", "i", "th", "pos")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import among, contrast_sets, link_classes, placed, shared_buckets, with_contents
+from .cluster import among, placed, set_classes, shared_buckets, with_contents
 from .common import cut, hash_words, mix, slices, stored, sweep, table, windows
 
 WORDS, PARAGRAPH, BLOCK, NEAR, SIMILARITY, BANDS, ROWS = 5, 5, 24, 26, 0.8, 8, 3
@@ -180,10 +180,7 @@ def paragraph_classes(lines: DataFrame, docs: DataFrame, threshold: float = SIMI
     def verify(pairs: DataFrame) -> DataFrame:
         return with_contents(pairs, sets, "s").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
-    def contrast(pairs: DataFrame) -> DataFrame:
-        return contrast_sets(with_contents(pairs, sets, "s"), F.col("x"), F.col("y"), threshold)
-
-    roots = link_classes(buckets, verify, contrast, threshold)
+    roots = set_classes(buckets, verify, sets, F.col("s"), threshold)
     named = items.select("h", "h2", "id", "n").join(roots, "id", "left").where("n > 1 or root is not null").select("h", "h2", F.coalesce("root", "id").alias("class"))
     named = cut(named)
     members = cut(among(lines, "h", named, "h").join(named, ["h", "h2"]).select("class", "i", "th", "place"))

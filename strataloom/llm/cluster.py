@@ -17,16 +17,18 @@ Nothing here collects a bucket, a component or a link to the driver or to one ta
 After ROUNDS refinements, a further one follows only as long as the last one has at least halved the pairs of large buckets. Then the pairs
 that are left are verified, whatever their number, so the components are always those of all candidate pairs.
 
-Plain sets (set_classes) need no refinement: after step 1, the pairs of a bucket across components meet as sketches of 64 * WORDS bits, and
-only pairs that these cannot tell apart are verified. A bit of a sketch is the parity of the elements that fall on it, so two sketches
-differ in no more bits than the sets do in elements, and a pair that differs in too many has no similarity of the threshold: no link is
-lost. Sketches are compared inside a join, in tiles of buckets, so a bucket is dealt to many tasks; this is quadratic in a bucket, at some
-ten machine instructions a pair, but no row is made of a pair that sketches tell apart.
+Sketches (sketched_classes, and set_classes for plain sets) need no refinement: after step 1, the pairs of a bucket across components meet
+as sketches of 64 * WORDS bits, and only pairs that these cannot tell apart are verified. A bit of a sketch is the parity of the elements
+that fall on it, so two sketches differ in no more bits than the sets do in elements, and a pair that differs in too many has no similarity
+of the threshold: no link is lost. Elements may have weights: each word then takes elements of a least weight only, its grade, and a bit
+counts as much. Sketches are compared inside a join, in tiles of buckets, so a bucket is dealt to many tasks; this is quadratic in a bucket,
+at some ten machine instructions a pair, but no row is made of a pair that sketches tell apart. Members of large buckets first meet some
+PIVOTS members only. That makes most of a group of near copies one component, whose pairs need not meet and so make no rows either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -38,10 +40,16 @@ from .common import cut, let
 #: Refinements that are made in any case, and the pairs for each member up to which a bucket is compared as it is.
 ROUNDS, FEW = 3, 4
 MAX_STEPS = 60
-#: Rows that a partition of a table of links should hold at least.
+#: Rows that a partition of a table of ids, keys or links should hold at least.
 DENSE = 50_000
 
 
+def dense(df: DataFrame) -> DataFrame:
+    """df, cut, with partitions joined to DENSE rows at least: small tables take few tasks, and the smallest no shuffle."""
+    df = cut(df)
+    return df.coalesce(df.count() // DENSE + 1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in links (a, b): root is the least id of its component.
 
@@ -49,35 +57,31 @@ def components(links: DataFrame) -> DataFrame:
     and repeated links are allowed; no links give no rows. Partitions are joined as the edges shrink, so that small graphs take few tasks.
     """
 
-    def dense(df: DataFrame, rows: int) -> DataFrame:
-        return df.coalesce(rows // DENSE + 1)
+    def each(df: DataFrame, *rows: tuple) -> DataFrame:
+        # no union, as that would shuffle a single partition
+        return df.select(F.inline(F.array(*[F.struct(F.expr(u).alias("u"), F.expr(v).alias("v")) for u, v in rows])))
 
-    def count(df: DataFrame) -> tuple:
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def state(df: DataFrame) -> tuple:
+        """The edges, and the ids that are neither the center of a star nor a leaf of one."""
+        ends = each(df, ("u", "1"), ("v", "0")).groupBy("u").agg(F.sum("v").alias("up"), F.min("v").alias("least"))
+        return ends.agg(F.sum("up"), F.count_if(F.expr("up > 1 or up = 1 and least = 0"))).first()
 
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = count(edges)
     for _ in range(MAX_STEPS):
-        if not mark[0]:
+        rows, others = state(edges)
+        edges = edges.coalesce((rows or 0) // DENSE + 1)
+        # each component is the star of its least id
+        if not others:
             break
-        edges = dense(edges, mark[0])
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = each(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
+        small = each(large.join(down, "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
         edges = cut(small)
-        # one row: the edges are stars once a step changes nothing
-        now = count(edges)
-        if now == mark:
-            edges = dense(edges, now[0])
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+    return each(edges, ("u", "v"), ("v", "v")).distinct().toDF("id", "root")
 
 
 #: Bits of the map that thins out rows before a join; its size does not depend on the tables.
@@ -97,7 +101,7 @@ def sifted(rows: DataFrame, col: str, wanted: DataFrame, by: str) -> tuple[DataF
     """
     at = lambda c: F.col(c).bitwiseAND(F.lit(BITS - 1))
     words = wanted.select(at(by).alias("b")).select(F.expr("b div 64").cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    slots = rows.sparkSession.range(BITS // 64).select(F.col("id").cast("int").alias("w"))
+    slots = rows.sparkSession.range(0, BITS // 64, 1, 1).select(F.col("id").cast("int").alias("w"))
     full = slots.join(words, "w", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0).cast("long")).alias("m")))), lambda x: x["m"]).alias("_map"))
     hit = F.expr(f"(element_at(_map, cast(({col} & {BITS - 1}) div 64 as int) + 1) & shiftleft(1L, cast(({col} & 63) as int))) <> 0")
     full = F.broadcast(cut(full))
@@ -136,12 +140,14 @@ def alike_sets(x: Column, y: Column, threshold: float) -> Column:
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """bands (key, id) without repeated rows and without keys of a single id, with n: the ids of the key. One shuffle for counts, and a small one for what may have a common key."""
-    several = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    several = dense(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return among(bands, "key", several, "key").join(several, "key")
 
 
 #: Words of 64 bits in a sketch, and members that a tile of a bucket has on average.
 WORDS, TILE = 16, 1000
+#: Members of a bucket from which on it meets some of them first, and how many of them.
+LARGE, PIVOTS = 300, 16
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -151,49 +157,94 @@ def sketches(sets: DataFrame) -> DataFrame:
     return spots.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(F.col("w") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
 
 
-def _near(members: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, far) of the pairs a < b of one key and two roots whose sketches allow a similarity of threshold; far is 1 where they hardly do. members: (key, id, root, many: the members of the key)."""
+def _near(members: DataFrame, threshold: float, grades: Sequence[float], pivots: bool = False) -> DataFrame:
+    """(a, b, far, root_a, root_b) of the pairs a < b of one key and two roots whose sketches allow a similarity of threshold; far is 1 where they hardly do.
+
+    members: (key, id, root, many: the members of the key, n, w0, w1, …). pivots: of large buckets, and only pairs with one of some PIVOTS members.
+    """
     words = [f"w{j}" for j in range(WORDS)]
-    dealt = members.join(marks, "id").withColumn("tiles", F.expr(f"cast(ceil(many / {TILE}) as int)")).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
-    # a tile meets itself and each other one
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("many", "tiles", "other")
-    half = lambda x: dealt.select("key", "lo", "hi", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "tile", "n", *words)])
+    # tiles of members, which pivots are few beside
+    dealt = members.withColumn("tiles", F.expr(f"cast(ceil(many / {TILE}) as int)")).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    if pivots:
+        dealt = dealt.where(f"many > {LARGE}")
+        sides = dealt.withColumn("lo", F.col("tile")), dealt.where(f"pmod(xxhash64(id, 7), many) < {PIVOTS}").withColumn("lo", every)
+        once, keys = "x_id <> y_id", ["key", "lo"]
+    else:
+        # a tile meets itself and each other one
+        dealt = dealt.select("*", every.alias("other")).withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
+        sides = dealt, dealt
+        once, keys = "x_id < y_id and (lo = hi or x_tile <> y_tile)", ["key", "lo", "hi"]
+    # a single partition would make all pairs in one task
+    half = lambda side, x: side.repartition(*keys).select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "root", "tile", "n", *words)])
     # sets of similarity t differ in no more than (1 - t) / (1 + t) of their sizes' sum
-    most = f"(x_n + y_n) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6D"
-    unlike = " + ".join(f"bit_count(x_{w} ^ y_{w})" for w in words)
-    met = f"x_id < y_id and x_root <> y_root and (lo = hi or x_tile <> y_tile) and abs(x_n - y_n) <= {most} and {unlike} <= {most}"
-    pairs = half("x").join(half("y"), ["key", "lo", "hi"]).where(met)
-    return pairs.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.min(F.expr(f"({unlike}) / ({most})")).alias("far"))
+    most = f"((x_n + y_n) * {(1 - threshold) / (1 + threshold) + 1e-6!r}D + 1e-6D)"
+    by_grade = {g: " + ".join(f"bit_count(x_{w} ^ y_{w})" for w, at in zip(words, grades, strict=True) if at == g) for g in dict.fromkeys(grades)}
+    unlike = " + ".join(f"{float(g)!r}D * ({bits})" for g, bits in by_grade.items())
+    met = f"{once} and x_root <> y_root and abs(x_n - y_n) <= {most} and {unlike} <= {most}"
+    pairs = half(sides[0], "x").join(half(sides[1], "y"), keys).where(met)
+    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.expr(f"({unlike}) / {most}").alias("far"), F.expr("if(x_id < y_id, x_root, y_root)").alias("root_a"), F.expr("if(x_id < y_id, y_root, x_root)").alias("root_b"))
+    return pairs.groupBy("a", "b").agg(F.min("far").alias("far"), F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b"))
+
+
+def _nearest(near: DataFrame, *by: str) -> DataFrame:
+    """Pairs of each member with the one nearest to it, by the other columns named."""
+    flip = {"a": "b", "b": "a", "root_a": "root_b", "root_b": "root_a"}
+    ends = near.unionByName(near.select(*[F.col(flip.get(c, c)).alias(c) for c in near.columns]))
+    best = ends.groupBy("a", *by).agg(F.min(F.struct("far", "b"))["b"].alias("y"))
+    return _pairs(best.select(F.col("a").alias("x"), "y"))
 
 
 def set_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], contents: DataFrame, elements: Column, threshold: float) -> DataFrame:
     """(id, root) as link_classes gives them, for sets: elements of contents (id, ...) is an array of type long without repeated elements."""
+
+    def marked(rows: DataFrame) -> DataFrame:
+        rows = cut(rows)
+        return rows.join(sketches(contents.join(rows.select("id").distinct(), "id", "left_semi").select("id", elements.alias("s"))), "id")
+
+    return sketched_classes(buckets, verify, marked, threshold)
+
+
+def sketched_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marked: Callable[[DataFrame], DataFrame], threshold: float, grades: Sequence[float] = (1.0,) * WORDS) -> DataFrame:
+    """(id, root) as link_classes gives them, by sketches.
+
+    marked adds (n, w0, w1, …) to rows (id, …): n is the sum of the weights of all elements, and wj the parities of elements that weigh
+    grades[j] or more each. An element that stands k times is k elements.
+    """
     rows, roots, _ = _met(buckets, verify)
     # a pivot has met all members of its bucket
-    others = rows.where("id <> p").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = others.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "many")
-    left = cut(others.join(mixed, "key"))
-    marks = sketches(contents.join(left.select("id").distinct(), "id", "left_semi").select("id", elements.alias("s")))
-    near = cut(_near(left, marks, threshold))
+    others = rows.where("id <> p").select("key", "id")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        members = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = members.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        return members.join(several.select("key", "many"), "key")
+
+    left = cut(marked(mixed(others)))
+    near = dense(_near(left, threshold, grades, pivots=True))
+    if not near.isEmpty():
+        roots = dense(_joined(roots, [dense(verify(_nearest(near, "root_b")))]))
+        left = mixed(left.drop("root", "many"))
+    near = dense(_near(left, threshold, grades))
+    if near.isEmpty():
+        return roots
     # each member with the one nearest to it first, so that most links of a group need not be verified
-    ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "far"))
-    best = ends.groupBy("x").agg(F.min(F.struct("far", "y"))["y"].alias("y"))
-    roots = cut(_joined(roots, [cut(verify(_pairs(best)))]))
-    name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = near.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    return cut(_joined(roots, [cut(verify(apart))]))
+    roots = dense(_joined(roots, [dense(verify(_nearest(near)))]))
+    name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"now_{x}"))
+    apart = dense(near.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(now_a, a) <> coalesce(now_b, b)").select("a", "b"))
+    return roots if apart.isEmpty() else dense(_joined(roots, [dense(verify(apart))]))
 
 
 def _met(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(key, id, pop, p) with the most popular member p of each bucket, the (id, root) that links to these give, and (id, pop)."""
     rows = buckets.select("key", "id", "n")
-    popular = cut(rows.groupBy("id").agg(F.sum("n").alias("pop")))
-    rows = cut(rows.join(popular, "id").select("key", "id", "pop"))
+    # an id has a few keys
+    rows = dense(rows.select("key", "id", F.sum("n").over(Window.partitionBy("id")).alias("pop")))
+    popular = rows.select("id", "pop").distinct()
     pivots = rows.groupBy("key").agg(F.max(F.struct("pop", "id"))["id"].alias("p"))
     rows = rows.join(pivots, "key")
-    roots = components(cut(verify(_pairs(rows.select(F.col("id").alias("x"), F.col("p").alias("y"))))))
-    return rows, cut(roots), popular
+    roots = components(dense(verify(_pairs(rows.select(F.col("id").alias("x"), F.col("p").alias("y"))))))
+    return rows, dense(roots), popular
 
 
 def link_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], contrast: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
@@ -251,11 +302,9 @@ def _joined(roots: DataFrame, links: list[DataFrame]) -> DataFrame:
         edges = edges.unionByName(more)
     name = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
     edges = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
-    new = cut(components(edges)).select(F.col("id").alias("root"), F.col("root").alias("to"))
-    moved = roots.join(new, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    # ids that had no link so far
-    fresh = new.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("to").alias("root"))
-    return moved.unionByName(fresh)
+    new = components(edges).select(F.col("id").alias("old"), F.col("root").alias("to"))
+    # ids that had no link so far have no row in roots
+    return roots.join(new, F.col("root") == F.col("old"), "full_outer").select(F.coalesce("id", "old").alias("id"), F.coalesce("to", "root").alias("root"))
 
 
 def _centers(rows: DataFrame, popular: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import among, link_classes, placed, shared_buckets, with_contents
+from .cluster import WORDS as MARKS
+from .cluster import among, dense, placed, shared_buckets, sketched_classes, with_contents
 from .common import cut, hash_words, mix, per_worker, slices, table, windows
 
 WORDS, SIMILARITY, BANDS, ROWS, FEATURES = 5, 0.8, 8, 3, 1 << 18
@@ -80,6 +81,26 @@ def document_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (1 - np.minimum(common, 1.0) * (1 - 1 / IDF_RANGE)).astype(np.float32)
 
 
+#: The weight from which on a shingle goes to the second half of a sketch's words.
+HEAVY = 0.85
+
+
+def marks(shingle: np.ndarray, count: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A sketch (see cluster) of MARKS words for each text, a stretch between starts. weight: of a shingle that stands once; what stands k times is k elements."""
+    owner = np.repeat(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), count)
+    level = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    h = mix(np.repeat(mix(shingle, 71), count) ^ level.astype(np.uint64), 72)
+    word = (h >> np.uint64(6)).astype(np.int64) % (MARKS // 2) + MARKS // 2 * (np.repeat(weight, count) >= HEAVY)
+    out = np.zeros((len(starts) - 1) * MARKS, np.uint64)
+    np.bitwise_xor.at(out, owner * MARKS + word, np.uint64(1) << (h & np.uint64(63)))
+    return out.reshape(-1, MARKS)
+
+
+def grades(weights: np.ndarray) -> list[float]:
+    """What an element of each word of marks weighs at least."""
+    return [x for x in (float(weights.min()), HEAVY) for _ in range(MARKS // 2)]
+
+
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
     """Quantiles of Gamma(2, 1) at 2**16 places, and their logarithms."""
     x = np.concatenate([[0], np.geomspace(1e-6, 60, 400_000)])
@@ -165,8 +186,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     known = cut(rows.mapInArrow(sketch, "i long, h1 long, h2 long, keys array<bigint>"))
     items = known.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("lo"), F.min(F.struct("i", "keys")).alias("first"))
     items = cut(items.select("h1", "h2", "n", "lo", F.col("first.i").alias("i"), F.col("first.keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()))
-    buckets = cut(shared_buckets(items.select("id", F.explode("keys").alias("key")).distinct()))
-    wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", F.col("i").alias("first"), "id")
+    buckets = dense(shared_buckets(items.select("id", F.explode("keys").alias("key")).distinct()))
+    wanted = dense(items.join(buckets.select("id").distinct(), "id").select("h1", "h2", F.col("i").alias("first"), "id"))
     # one of the equal texts, by the least id
     found = among(rows, "h1", wanted, "h1").join(wanted, ["h1", "h2"]).where(F.col("i").eqNullSafe(F.col("first"))).select("id", "t")
 
@@ -174,9 +195,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         for part, texts in slices(batches, "t"):
             shingle, count, starts = _bags(texts)
             packed = [pack(shingle[a:b], count[a:b]) for a, b in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "bag"])
+            size = np.add.reduceat(weigh(shingle, count).astype(np.float64), starts[:-1])
+            words = marks(shingle, count, weigh(shingle, np.ones_like(count)), starts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary()), pa.array(size), *map(pa.array, words.T.copy())], ["id", "bag", "n", *names])
 
-    bags = placed(found.dropDuplicates(["id"]).mapInArrow(contents, "id long, bag binary"))
+    names = [f"w{j}" for j in range(MARKS)]
+    bags = placed(found.dropDuplicates(["id"]).mapInArrow(contents, "id long, bag binary, n double, " + ", ".join(f"{x} long" for x in names)))
 
     def unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
         shingle, count = unpack(packed)
@@ -193,19 +217,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         for part in parts(batches, 1024):
             yield part.select(["a", "b"]).filter(pa.array([similarity(x, y) >= threshold for x, y in sides(part)], pa.bool_()))
 
-    def contrasted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, 64):
-            found = [differences(x, y, threshold) for x, y in sides(part)]
-            kinds = (pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *(pa.array(x, t) for x, t in zip(zip(*found), kinds))], ["a", "b", "linked", "w", "whole", "tokens", "weights"])
-
     def verify(pairs: DataFrame) -> DataFrame:
         return with_contents(pairs, bags, "bag").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
-    def contrast(pairs: DataFrame) -> DataFrame:
-        return with_contents(pairs, bags, "bag").select("a", "b", "x", "y").mapInArrow(contrasted, "a long, b long, linked boolean, w double, whole double, tokens array<bigint>, weights array<double>")
-
-    roots = link_classes(buckets, verify, contrast, threshold)
+    roots = sketched_classes(buckets, verify, lambda rows: rows.join(bags.select("id", "n", *names), "id"), threshold, grades(weights))
     member = items.select("h1", "h2", "id", "n", "lo").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     whole = member.groupBy("root").agg(F.min("lo").alias("class_id"), F.sum("n").alias("class_size"))
     named = member.join(whole, "root").select("h1", "h2", "root", "class_id", "class_size")

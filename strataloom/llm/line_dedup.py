@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import alike_sets, among, placed, set_classes, shared_buckets, with_contents
+from .cluster import alike_sets, among, dense, placed, set_classes, shared_buckets, with_contents
 from .common import cut, let, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 8, 3
@@ -79,8 +79,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     distinct = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
     items = cut(band_keys(distinct).withColumn("id", F.monotonically_increasing_id()))
     bands = items.select("id", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
-    buckets = cut(shared_buckets(bands))
-    wanted = items.join(buckets.select("id").distinct(), "id").select("h1", "h2", "id")
+    buckets = dense(shared_buckets(bands))
+    wanted = dense(items.join(buckets.select("id").distinct(), "id").select("h1", "h2", "id"))
     # any of the equal lines gives the text
     found = among(lines.select("h1", "h2", "line"), "h1", wanted, "h1").join(wanted, ["h1", "h2"])
     texts = placed(found.groupBy("id").agg(F.min("line").alias("line")))
